@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, repetition, toxicity
+from . import bpe, importance, neighbours, ngram_join, packing, pii, repetition, templates, toxicity, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,10 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The listed rules.
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), good)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules, carry=["page_id"])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=5, query=F.col("id") % 50 == 0)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -44,5 +66,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op6_pii, op7_ngram_jaccard_join, op8_bpe, op9_packing, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_importance_resampling, op2_url_filters, op3_quality_rules, op4_html_extraction, op5_nearest_neighbours, op6_pii, op7_ngram_jaccard_join, op8_bpe, op9_packing, op10_toxicity)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": r"""
+        WITH parts AS (
+            SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) AS path
+            FROM pages
+        ), clean AS (SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path FROM parts),
+        rules(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        fits AS (
+            SELECT c.*, r.rule_host || r.rule_path AS rule, r.verdict,
+                   row_number() OVER (PARTITION BY c.page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) AS place
+            FROM clean c LEFT JOIN rules r ON (c.host = r.rule_host OR ends_with(c.host, '.' || r.rule_host)) AND starts_with(c.path, r.rule_path)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
+    """,
+}
