@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import dropped, written
+from .shared import dropped, joined_by_id, written
 
 LANES = 8  # 64-bit words of a parity sketch
 BAND = 1.25  # ratio of a band's bounds
@@ -234,7 +234,7 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id",
     buckets = written(named.withColumns({"hub": F.min("id").over(whole), "high": F.max("id").over(whole)}).filter("hub < high").select("sig", "id", "hub"), "buckets")
     dropped(raw)
     # Only members of such buckets can have links: their texts are read again for their sets.
-    sets = written(_sets(docs.join(buckets.select("id").distinct(), "id", "left_semi"), n), "sets")
+    sets = written(_sets(joined_by_id(docs, buckets.select("id").distinct(), "id", "left_semi"), n), "sets")
     # Each member meets its smallest hub first, which joins most groups; then what is still apart meets.
     first = written(buckets.filter("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "first")
     edges = written(_verified(first, sets, percent), "edges")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,12 @@ def dropped(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows of one 64-bit id that are sent to all executors at most, about 32 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def joined_by_id(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi or anti join of wide rows with a table of ids: up to ``BROADCAST_IDS`` ids, which are counted, go to the rows; more meet them in a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
