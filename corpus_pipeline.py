@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fernwood.llm import ngram_join, packing, pii, repetition, toxicity
 from fernwood.llm.queries import VOCABULARY
-from fernwood.llm.shared import written
+from fernwood.llm.shared import joined_by_id, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC_FROM = 0.7
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near copies (five words, 0.8) the document with the smallest id stays; those without words all stay."""
     linked = ngram_join.join(docs, n=5, percent=80)
-    gone = linked.filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = written(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return joined_by_id(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
