@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fernwood.plans import record_queries, search_queries, stream_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (search_queries, text_queries, record_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid evidence search."""
+    return search_queries.hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
