@@ -39,7 +39,8 @@ def query_terms(query: str) -> list[str]:
 
 def bm25(pieces: DataFrame, terms: list[str], text: str = "text") -> tuple[DataFrame, Column]:
     """``pieces`` with their words, and the expression of their BM25 score; statistics cover all pieces."""
-    held = pieces.withColumn("_words", T.tokens(T.folded(F.col(text))))
+    # Words are made once a row: no filter on a score moves below the generator and repeats the expression there.
+    held = pieces.select("*", F.explode(F.array(T.tokens(T.folded(F.col(text))))).alias("_words"))
     keys = list(dict.fromkeys(terms))
     stats = held.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("avgdl"), *(F.sum(F.array_contains("_words", t).cast("bigint")).alias(f"df{i}") for i, t in enumerate(keys))).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
