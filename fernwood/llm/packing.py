@@ -8,7 +8,7 @@ Every task packs the documents it reads, in bounded batches, so nothing is shuff
   smallest of the other, so that imbalances cancel. If the fullest window exceeds the capacity, k rises and the
   batch is dealt again;
 * what a batch holds beyond k windows (less than one window plus the slack) is cut into sequences of a power of two,
-  which need no padding.
+  which need no padding. A task's last batch is small, so its pieces are cut to a quarter.
 
 A row is a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. sequence_id joins the number of the
 task's partition and a running number; a task that runs again gives the same ids.
@@ -103,6 +103,9 @@ class Packer:
         pieces, self.pieces = self.pieces, []
         total = sum(len(p[2]) for p in pieces) // 4
         k = total // self.capacity
+        if len(pieces) < self.batch:  # few windows come out uneven; smaller pieces even them
+            fine = max(1, self.piece // 4)
+            pieces = [(doc, start + at, ids[4 * at : 4 * (at + fine)], of) for doc, start, ids, of in pieces for at in range(0, len(ids) // 4, fine)]
         self.powers_of_two(pieces, total - k * (self.capacity - self.slack))
         sizes = [len(p[2]) // 4 for p in pieces]
         while sizes:
@@ -136,7 +139,7 @@ class Packer:
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (np.array(rows, np.int64).reshape(-1, 7).T)], schema=OUT)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=OUT)
 
 
 def pack(docs: DataFrame, path: str, *, end_id: int = 1, capacity: int = 2048, piece: int = 512, batch: int = 2048, slack: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:

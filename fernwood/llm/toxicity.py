@@ -96,7 +96,8 @@ def clauses(labels: list[tuple[int, float]]) -> list[float]:
     for kind, weight in [*labels, (END, 0.0)]:
         if kind == END:
             for at, w in pending:
-                sums[1 if at == 0 and aimed else at] += w
+                if at != 4 or aimed:  # a threat needs a target, before it or after
+                    sums[1 if at == 0 and aimed else at] += w
             aimed = reported = False
             reach, pending = 0, []
             continue
@@ -108,7 +109,7 @@ def clauses(labels: list[tuple[int, float]]) -> list[float]:
             reach = REACH + 1
         elif kind == INSULT:
             pending.append((2 if reach else 3 if reported else 0, weight))
-        elif kind == THREAT and aimed and not reach and not reported:
+        elif kind == THREAT and not reach and not reported:
             pending.append((4, weight))
         reach = max(0, reach - 1)
     return sums
