@@ -3,7 +3,7 @@
 A document's set holds the distinct hashes of its word n-grams. Two sets with Jaccard similarity of at least
 ``percent``/100 = t differ in at most ``floor(min size * (1 - t) / t)`` elements (union less intersection). So:
 
-* sizes fall into geometric bands; a set signs for its band, and for the next one if a partner may lie there;
+* sizes fall into geometric bands; a set signs for its band, and for the one below if a smaller partner may lie there;
 * a band with at most k differences splits the feature domain by a hash into n1 = k // 2 + 1 parts. In some part
   at most one element differs. Each part splits again into three; one of the three pairs of thirds is then free
   of differences. The hash of (band, part, pair, its elements) is a signature: 3 * n1 for each set, and similar sets
@@ -104,12 +104,10 @@ def signatures(elements: np.ndarray, percent: int, low: list[int]) -> np.ndarray
     band = int(np.searchsorted(low, size, side="right")) - 1
     if band < 0:
         return np.zeros(0, np.uint64)
-    high = low[band + 1] - 1
-    # A partner in the next band has at least high + 1 elements, and at most size * 100 / percent.
-    tags = [(band, high)] + ([(band + 1, low[band + 2] - 1)] if size * 100 >= (high + 1) * percent else [])
+    # A pair is signed under the band of its smaller set: each set signs for its own band, and for the one below if a partner may lie there.
+    tags = [(band, low[band + 1] - 1)] + ([(band - 1, low[band] - 1)] if band and size * percent <= 100 * (low[band] - 1) else [])
     out: list[np.ndarray] = []
     for tag, top in tags:
-        # A pair of one tag has its smaller set in that band or the one before, so it differs in at most k elements.
         parts = most_different(top, percent) // 2 + 1
         out += _signed_under(elements, tag, parts, 0, depth_of(top), np.uint64(0))
     return np.concatenate(out)
