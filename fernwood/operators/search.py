@@ -1,7 +1,7 @@
 """Lexical, vector and hybrid evidence search over chunks.
 
 Nothing is collected but the query's own statistics: one row with the number of chunks, their mean length and a count
-for each query term. Scoring needs no shuffle; lists are bounded by the candidate budget before they meet.
+for each query term. Chunking and scoring need no shuffle and read texts once; lists are bounded by the candidate budget before they meet.
 """
 
 from __future__ import annotations
@@ -14,56 +14,94 @@ from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
 from fernwood.functions import vectors as V
+from fernwood.sources.scratch import written
 
 SEGMENT = 800  # characters of a chunk
+BLOCK = 500  # lines whose lengths are summed at once
 K1, B = 1.2, 0.75
 RRF_K = 60
 PER_VERSION = 5
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, ordinal, char_start, char_end, text: every line in segments of ``SEGMENT`` characters; blank ones go, offsets stay."""
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    size = F.transform("lines", lambda x: F.length(x) + 1)
-    lines = lines.withColumn("ends", F.aggregate(size, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
-    line = lines.select("doc_id", F.posexplode(F.arrays_zip("lines", "ends")).alias("line_no", "x")).select("doc_id", "line_no", F.col("x.lines").alias("line"), (F.col("x.ends") - F.length("x.lines") - 1).alias("at")).filter("length(line) > 0")
-    part = line.select("doc_id", "line_no", "line", "at", F.explode(F.sequence(F.lit(0), F.length("line") - 1, F.lit(SEGMENT))).alias("off"))
-    cut = part.select("doc_id", (F.col("at") + F.col("off")).cast("bigint").alias("char_start"), F.col("line").substr(F.col("off") + 1, F.lit(SEGMENT)).alias("text")).filter("trim(text) <> ''")
-    order = Window.partitionBy("doc_id").orderBy("char_start")
-    return cut.select("doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("ordinal"), "char_start", (F.col("char_start") + F.length("text")).cast("bigint").alias("char_end"), "text")
+def _starts(lengths: Column) -> Column:
+    """Sums of all elements before each one. Appending copies an array, so blocks of ``BLOCK`` elements keep the work linear."""
+
+    def running(values: Column, base: Column) -> Column:
+        return F.aggregate(values, F.array(base), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda acc, n: acc + n))
+    zero = F.lit(0).cast("bigint")
+    return F.flatten(F.zip_with(blocks, F.slice(running(totals, zero), F.lit(1), F.size(blocks)), lambda x, base: F.slice(running(x, base), F.lit(1), F.size(x))))
+
+
+def chunks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ordinal, char_start, char_end, text and the columns ``carry``: every line in segments of ``SEGMENT`` characters; blank ones go, offsets stay.
+
+    All chunks of a document are made where its row is: nothing is shuffled.
+    """
+    keep = ["doc_id", *carry]
+    lines = docs.select(*keep, F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    sized = lines.withColumn("_lengths", F.transform("_lines", lambda x: F.length(x).cast("bigint") + 1))
+    placed = sized.withColumn("_starts", _starts(F.col("_lengths")))
+    segments = F.zip_with(
+        "_lines", "_starts",
+        lambda line, start: F.transform(
+            F.regexp_extract_all(line, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)),
+            lambda part, i: F.struct((start + i * SEGMENT).alias("char_start"), part.alias("text")),
+        ),
+    )
+    solid = F.filter(F.flatten(segments), lambda x: F.trim(x["text"]) != "")
+    cut = placed.select(*keep, F.posexplode(solid).alias("_at", "_x"))
+    start, text = F.col("_x.char_start"), F.col("_x.text")
+    return cut.select(*keep, F.col("_at").cast("bigint").alias("ordinal"), start.alias("char_start"), (start + F.length(text)).cast("bigint").alias("char_end"), text.alias("text"))
 
 
 def query_terms(query: str) -> list[str]:
     return re.findall(r"\w+", query.lower())
 
 
-def bm25(pieces: DataFrame, terms: list[str], text: str = "text") -> tuple[DataFrame, Column]:
-    """``pieces`` with their words, and the expression of their BM25 score; statistics cover all pieces."""
-    # Words are made once a row: no filter on a score moves below the generator and repeats the expression there.
+def tallied(pieces: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """``pieces`` without their text but with what scores need: _hits (terms found as substrings), _n_words and _tf of each different term.
+
+    Texts are read once: the numbers are written, and statistics, scores and later joins read only them.
+    """
+    # Words are made once a row: no projection moves below the generator and repeats the expression there.
     held = pieces.select("*", F.explode(F.array(T.tokens(T.folded(F.col(text))))).alias("_words"))
+    tf = F.array(*[F.size(F.filter("_words", _equals(t))) for t in dict.fromkeys(terms)])
+    numbers = held.withColumns({"_hits": T.substring_hits(F.col(text), terms), "_n_words": F.size("_words"), "_tf": tf})
+    return written(numbers.drop(text, "_words"), "tallies")
+
+
+def bm25(tallies: DataFrame, terms: list[str]) -> Column:
+    """The expression of the BM25 score of ``tallied`` rows; repeated terms count again, statistics cover all rows."""
     keys = list(dict.fromkeys(terms))
-    stats = held.agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("avgdl"), *(F.sum(F.array_contains("_words", t).cast("bigint")).alias(f"df{i}") for i, t in enumerate(keys))).first()
+    stats = tallies.agg(F.count("*").alias("n"), F.avg("_n_words").alias("avgdl"), *(F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(keys)))).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     score = F.lit(0.0)
     for t in terms:
-        df = stats[f"df{keys.index(t)}"] or 0
+        df = stats[f"df{keys.index(t)}"]
         idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) if n else 0.0
-        tf = F.size(F.filter("_words", _equals(t))).cast("double")
-        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.size("_words") / avgdl))
-    return held, score
+        tf = F.col("_tf")[keys.index(t)].cast("double")
+        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("_n_words") / avgdl))
+    return score
 
 
 def _equals(term: str):
     return lambda w: w == term
 
 
+def matching(tallies: DataFrame, terms: list[str]) -> DataFrame:
+    """``tallied`` rows that match: score = substring hits + BM25, above 0."""
+    if not terms:
+        return tallies.withColumn("score", F.lit(0.0)).filter("false")
+    return tallies.withColumn("score", F.col("_hits") + bm25(tallies, terms)).drop("_hits", "_n_words", "_tf").filter("score > 0")
+
+
 def lexical(pieces: DataFrame, query: str) -> DataFrame:
-    """``pieces`` that match: score = substring hits + BM25, above 0."""
+    """``pieces`` (without their text) that match ``query``, with their score."""
     terms = query_terms(query)
-    if not terms:
-        return pieces.withColumn("score", F.lit(0.0)).filter("false")
-    held, score = bm25(pieces, terms)
-    return held.withColumn("score", T.substring_hits(F.col("text"), terms) + score).drop("_words").filter("score > 0")
+    return matching(tallied(pieces, terms) if terms else pieces.drop("text"), terms)
 
 
 def retained(scored: DataFrame, budget: int) -> DataFrame:
@@ -90,8 +128,10 @@ def hybrid(eligible: DataFrame, vectors: DataFrame, query: str, query_vector: li
     ``eligible``: chunk_id, version_id, text, formal, preferred; ``vectors``: chunk_id, vector.
     """
     fields = ["chunk_id", "version_id", "formal", "preferred", "score"]
-    lex = retained(lexical(eligible, query).select(fields), budget)
-    near = eligible.drop("text").join(vectors, "chunk_id").withColumn("score", V.cosine(F.col("vector"), V.literal(query_vector))).select(fields)
+    terms = query_terms(query)
+    tallies = tallied(eligible, terms)
+    lex = retained(matching(tallies, terms).select(fields), budget)
+    near = tallies.join(vectors, "chunk_id").withColumn("score", V.cosine(F.col("vector"), V.literal(query_vector))).select(fields)
     both = fused([lex, retained(near, budget)]).orderBy(*final_order()).limit(budget)
     capped = both.withColumn("of_version", F.row_number().over(Window.partitionBy("version_id").orderBy(*final_order()))).filter(F.col("of_version") <= PER_VERSION)
     page = capped.orderBy(*final_order()).limit(top_k)

@@ -67,8 +67,8 @@ def _eligible(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of documents; English counts as formal, good quality as preferred."""
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("preferred", F.lit(True))
     docs = table(spark, d, "documents")
-    flags = docs.select("doc_id", (F.col("lang") == "en").alias("formal")).join(good, "doc_id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
-    pieces = search.chunks(docs).join(flags, "doc_id")
+    flagged = docs.select("doc_id", "text", (F.col("lang") == "en").alias("formal")).join(good, "doc_id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
+    pieces = search.chunks(flagged, carry=("formal", "preferred"))
     return pieces.select((F.col("doc_id") * 100_000 + F.col("ordinal")).alias("chunk_id"), F.col("doc_id").alias("version_id"), "text", "formal", "preferred")
 
 
@@ -83,9 +83,10 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fields = ["chunk_id", "version_id", "formal", "preferred", "score"]
-    eligible = _eligible(spark, d)
-    near = eligible.drop("text").join(_vectors(spark, d), "chunk_id").withColumn("score", V.cosine(F.col("vector"), V.literal(_query_vector(spark, d))))
-    return search.lexical(eligible, QUERY).select(fields), near.select(fields)
+    terms = search.query_terms(QUERY)
+    tallies = search.tallied(_eligible(spark, d), terms)
+    near = tallies.join(_vectors(spark, d), "chunk_id").withColumn("score", V.cosine(F.col("vector"), V.literal(_query_vector(spark, d))))
+    return search.matching(tallies, terms).select(fields), near.select(fields)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:

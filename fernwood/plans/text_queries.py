@@ -48,8 +48,9 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    held, score = search.bm25(table(spark, d, "documents").select("doc_id", "text"), search.query_terms(QUERY))
-    best = held.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    terms = search.query_terms(QUERY)
+    held = search.tallied(table(spark, d, "documents").select("doc_id", "text"), terms)
+    best = held.select("doc_id", search.bm25(held, terms).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
     return best.select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -6,20 +6,14 @@ executors see, so running it again takes only new files.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WATERMARK = "1 hour"
-
+from fernwood.sources.scratch import folder
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; on a machine of its own, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+WATERMARK = "1 hour"
 
 
 def source(spark: SparkSession, path: str, like: str | None = None) -> DataFrame:
@@ -44,7 +38,7 @@ def deduplicated(events: DataFrame) -> DataFrame:
 
 def taken(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and returns its rows; ``complete`` replaces earlier results, ``append`` adds."""
-    spark, out = stream.sparkSession, folder(stream.sparkSession)
+    spark, out = stream.sparkSession, folder(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         # A batch that runs again after a failure replaces its own files only.

@@ -20,10 +20,9 @@ def one(df):
 
 def test_bm25_counts_repeated_terms_twice(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox fox"), (3, "green")], "id long, text string")
-    held, once = search.bm25(docs, ["red"])
-    held2, twice = search.bm25(docs, ["red", "red"])
-    a = dict(held.select("id", once).collect())
-    b = dict(held2.select("id", twice).collect())
+    held, held2 = search.tallied(docs, ["red"]), search.tallied(docs, ["red", "red"])
+    a = dict(held.select("id", search.bm25(held, ["red"])).collect())
+    b = dict(held2.select("id", search.bm25(held2, ["red", "red"])).collect())
     assert b[1] == 2 * a[1] > 0 and a[3] == 0
 
 
@@ -56,6 +55,14 @@ def test_five_of_a_version_at_most(spark):
     assert sum(r.version_id == 7 for r in got) == 5 and sum(r.version_id == 8 for r in got) == 1
 
 
+def test_chunks_of_many_lines_and_of_none(spark):
+    many = "\n".join(f"line {i}" for i in range(2 * search.BLOCK + 3))
+    docs = spark.createDataFrame([(1, many, "x"), (2, None, "y"), (3, "", "z"), (4, " \n\n ", "z")], "doc_id long, text string, lang string")
+    got = search.chunks(docs, carry=("lang",)).orderBy("ordinal").collect()
+    assert len(got) == 2 * search.BLOCK + 3 and {r.doc_id for r in got} == {1} and {r.lang for r in got} == {"x"}
+    assert all(many[r.char_start : r.char_end] == r.text and r.ordinal == i for i, r in enumerate(got))
+
+
 def test_chunks_keep_offsets(spark):
     text = "a" * 801 + "\n\n  \nß😀z"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
