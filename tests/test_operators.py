@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
 from fernwood.functions import vectors as V
-from fernwood.operators import documents, graphs, literature, planning, search
+from fernwood.operators import documents, graphs, literature, planning, search, statistics
 from fernwood.sources import tables
 from fernwood.streaming import events
 
@@ -168,3 +170,34 @@ def test_stream_index_runs_once_for_each_file(spark, tmp_path):
     for _ in range(2):
         events.index_incrementally(events.source(spark, str(tmp_path / "in")), lambda b: b.select("event_id"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small data stay in several tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_batches_of_one_hot_group_over_many_runs(spark, uncoalesced):
+    rng = random.Random(5)
+    rows = [("hot" if i % 4 else None if i % 8 else "rare", i, rng.choice([1, 5, 40, 99, 130])) for i in range(3000)]
+    texts = spark.createDataFrame(rows, "source string, doc_id long, chars long")
+    got = {r.doc_id: r.batch for r in planning.greedy_batches(texts, group="source", order="doc_id", batch_size=4, max_chars=100).collect()}
+    state = {}
+    for source, i, n in rows:
+        batch, used, held = state.get(source, (0, 0, 0))
+        if used and (used >= 4 or held + n > 100):
+            batch, used, held = batch + 1, 0, 0
+        state[source] = (batch, used + 1, held + n)
+        assert got[i] == batch
+    assert planning.greedy_batches(texts.filter("false"), group="source", order="doc_id", batch_size=4, max_chars=100).count() == 0
+
+
+def test_exact_ranks_with_ties(spark, uncoalesced):
+    rows = [("a", float(i % 7)) for i in range(501)] + [("b", 3.0)] * 9 + [("c", None)]
+    data = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r["name"]): r.v for r in statistics.at_ranks(data, "g", "v", {"p95": statistics.quantile(95, 100), "first": lambda n: n * 0 + 1}).collect()}
+    a = sorted(v for g, v in rows if g == "a")
+    assert got == {("a", "p95"): a[-(-501 * 95 // 100) - 1], ("a", "first"): 0.0, ("b", "p95"): 3.0, ("b", "first"): 3.0}
