@@ -5,35 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernwood.sources.scratch import written
+
 MAX_DEPTH = 32
+MAX_ROUNDS = 20
 
 
 def closure(roots: DataFrame, edges: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """root, node, depth: all nodes reachable from each root with the least number of steps; ``edges`` is (src, dst).
 
-    A loop ends when a step finds nothing new. Its frontier is checkpointed where the session has a folder for it.
+    A loop ends when a step finds nothing new. Its frontier is written, so a lost executor costs no earlier step.
     """
     reached = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
     frontier = reached
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
-        if frontier.sparkSession.conf.get("spark.checkpoint.dir", None):
-            frontier = frontier.checkpoint()
-        else:
-            frontier = frontier.persist()
+        frontier = written(frontier, "frontier")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
     return reached
 
 
-def canonical(aliases: DataFrame, *, max_hops: int = MAX_DEPTH) -> DataFrame:
-    """id, owner, hops: where each id's chain of merges ends, by pointer jumping; ``aliases`` is (id, merged_into) with null for no merge."""
-    now = aliases.select("id", F.coalesce("merged_into", "id").alias("owner"), F.when(F.col("merged_into").isNull(), 0).otherwise(1).cast("bigint").alias("hops"))
-    span = 1
-    while span < max_hops:
-        ahead = now.select(F.col("id").alias("owner"), F.col("owner").alias("next"), F.col("hops").alias("more"))
-        now = now.join(ahead, "owner", "left").select("id", F.coalesce("next", "owner").alias("owner"), (F.col("hops") + F.when(F.col("next") != F.col("owner"), F.col("more")).otherwise(0)).alias("hops"))
-        span *= 2
-    return now
+def canonical(aliases: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """id, owner, hops: where each id's chain of merges ends, by pointer jumping; ``aliases`` is (id, merged_into) with null for no merge.
+
+    Every round doubles the hops, is written, and the loop ends when no owner moves: a chain of n merges takes log2(n)
+    rounds. Ids on a circle have no end; they keep what ``max_rounds`` leaves them with.
+    """
+    moved = F.col("merged_into").isNotNull()
+    now = written(aliases.select("id", F.coalesce("merged_into", "id").alias("owner"), moved.cast("bigint").alias("hops"), moved.alias("moved")), "owners")
+    for _ in range(max_rounds):
+        if now.filter("moved").isEmpty():
+            break
+        ahead = now.filter("owner <> id").select(F.col("id").alias("owner"), F.col("owner").alias("next"), F.col("hops").alias("more"))
+        joined = now.join(ahead, "owner", "left")
+        now = written(joined.select("id", F.coalesce("next", "owner").alias("owner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "owners")
+    return now.drop("moved")

@@ -118,9 +118,12 @@ def json_metadata_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Copies merge into the copy before them; each chain's end is its owner."""
-    order = Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id")
-    chain = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lag("doc_id").over(order).alias("merged_into"))
+    """Copies merge into the first copy of their source, and that into the first of all; each chain's end is its owner."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), "source")
+    of_source = docs.groupBy("hash", "source").agg(F.min("doc_id").alias("near"))
+    firsts = of_source.join(of_source.groupBy("hash").agg(F.min("near").alias("far")), "hash")
+    target = F.when(F.col("doc_id") != F.col("near"), F.col("near")).when(F.col("near") != F.col("far"), F.col("far"))
+    chain = docs.join(firsts, ["hash", "source"]).select(F.col("doc_id").alias("id"), target.alias("merged_into"))
     return graphs.canonical(chain).select("id", "owner")
 
 

@@ -201,3 +201,9 @@ def test_exact_ranks_with_ties(spark, uncoalesced):
     got = {(r.g, r["name"]): r.v for r in statistics.at_ranks(data, "g", "v", {"p95": statistics.quantile(95, 100), "first": lambda n: n * 0 + 1}).collect()}
     a = sorted(v for g, v in rows if g == "a")
     assert got == {("a", "p95"): a[-(-501 * 95 // 100) - 1], ("a", "first"): 0.0, ("b", "p95"): 3.0, ("b", "first"): 3.0}
+
+
+def test_owner_of_a_long_chain_and_of_a_circle(spark):
+    chain = [(i, i - 1 if i else None) for i in range(100)] + [(200, 201), (201, 200)]
+    got = {r.id: (r.owner, r.hops) for r in graphs.canonical(spark.createDataFrame(chain, "id long, merged_into long"), max_rounds=9).collect()}
+    assert all(got[i] == (0, i) for i in range(100)) and len(got) == 102
