@@ -3,8 +3,8 @@
 Tokens are opening tags, told apart by their path of enclosing structure (tag, id, class), and short runs of text, told
 apart by path and wording. Over a host's pages every token has an occurrence vector (how often it stands in each page).
 Tokens with one vector form a class; vectors are compared by count, total and a 64-bit sum that any task can add up
-alone. A class is valid if it covers nearly all pages and its tokens nest: each one's parent lies in a valid class. The
-valid classes, nested by parent, are the host's template; what lies between its tokens are slots.
+alone; a class is split by parent. It is valid if it covers nearly all pages and its parent is valid, which is settled from
+the root down. The valid classes, nested by parent, are the host's template; what lies between its tokens are slots.
 
 A page is then read again with its host's template: wording that belongs to the template goes, and so do slots that are
 not article: those under structure that by name holds menus, headers, footers, sidebars, notices, adverts, forms or
@@ -77,13 +77,13 @@ def step_of(tag: str, attrs: str) -> tuple[str, bool]:
 
 
 class Frame:
-    __slots__ = ("tag", "path", "bad", "main")
+    __slots__ = ("tag", "path", "bad", "main", "up")
 
-    def __init__(self, tag: str, path: int, bad: bool, main: bool) -> None:
-        self.tag, self.path, self.bad, self.main = tag, path, bad, main
+    def __init__(self, tag: str, path: int, bad: bool, main: bool, up: Frame | None) -> None:
+        self.tag, self.path, self.bad, self.main, self.up = tag, path, bad, main, up
 
 
-ROOT = Frame("", 0, False, False)
+ROOT = Frame("", 0, False, False, None)
 
 
 def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]]:
@@ -142,7 +142,7 @@ def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]
         bad = bad or (tag == "header" and not top.main)
         path = token_hash(str(top.path), label)
         opened.append((path, top.path))
-        stack.append(Frame(tag, path, top.bad or bad, top.main or tag in MAIN_TAGS))
+        stack.append(Frame(tag, path, top.bad or bad, top.main or tag in MAIN_TAGS, top))
     close_block()
     return opened, blocks
 
@@ -166,14 +166,12 @@ def _tallies(pages: DataFrame) -> DataFrame:
                     count[host, path, parent, False] += 1
                 count[host, 0, 0, False] += 1
                 for frame, text, linked in blocks:
-                    s = sums.setdefault((host, frame.path, frame.path, False), [0] * 5)
+                    s = sums.setdefault((host, frame.path, frame.up.path if frame.up else 0, False), [0] * 5)
                     s[3] += len(text)
                     s[4] += min(linked, len(text))
                     if len(text) <= SHORT:
                         count[host, token_hash(str(frame.path), text), frame.path, True] += 1
                 for key, n in count.items():
-                    if not key[3] and key[1] == key[2] and key[1]:
-                        continue
                     s = sums.setdefault(key, [0] * 5)
                     s[0] += 1
                     s[1] += n
@@ -186,25 +184,20 @@ def _tallies(pages: DataFrame) -> DataFrame:
 
 
 def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from its supported tokens: classes of equal vectors that nest from the root on."""
+    """The template of one host from its supported tokens: classes of equal vectors under one parent, valid from the root on."""
     root = tokens[(tokens.token == 0) & ~tokens.wording]
     n = int(root.pages.iloc[0]) if len(root) else 0
-    classes = tokens.groupby(["pages", "total", "vector"], sort=False).ngroup()
-    valid, grown = {0}, True
-    own = {t: c for t, c in zip(tokens.token, classes, strict=True)}
-    parents: dict[int, set[int]] = {}
-    for t, p, c in zip(tokens.token, tokens.parent, classes, strict=True):
-        if t:
-            parents.setdefault(c, set()).add(p)
-    good: set[int] = set()
-    while grown:
-        grown = False
-        for c, above in parents.items():
-            if c not in good and all(p in valid or own.get(p) == c for p in above):
-                good.add(c)
-                valid.update(t for t, k in own.items() if k == c)
-                grown = True
-    wording = [t for t, w, c in zip(tokens.token, tokens.wording, classes, strict=True) if w and c in good]
+    children: dict[int, list[list[tuple[int, bool]]]] = {}
+    for parent, of_parent in tokens[tokens.token != 0].groupby("parent", sort=False):
+        for _, c in of_parent.groupby(["pages", "total", "vector"], sort=False):
+            children.setdefault(parent, []).append(list(zip(c.token, c.wording, strict=True)))
+    valid, wording, todo = {0}, [], [0]
+    while todo:
+        for cls in children.get(todo.pop(), []):
+            wording += [t for t, w in cls if w]
+            grown = [t for t, w in cls if not w and t not in valid]
+            valid.update(grown)
+            todo += grown
     return pd.DataFrame({"host": [tokens.host.iloc[0]], "wording": [wording if n >= LEAST_PAGES else []], "slots": [sorted(valid)]})
 
 

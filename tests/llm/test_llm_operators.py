@@ -400,6 +400,13 @@ def test_template_wording_goes_without_names(spark):
     assert {r.text for r in got} == {f"Own text number {i}." for i in range(20)}
 
 
+def test_template_beside_fixed_lists(spark):
+    ends = "<ul><li><div><a href=/>Home</a></div></li><li><div><a href=/a>About</a></div></li></ul>", "<div><p>All rights kept</p><p>Written by us</p></div>"
+    rows = [(i, f"http://h.example/{i}", f'<html><body>{ends[0]}<div class="q1">Same words on every page</div><div class="q2"><p>Own text number {i}.</p></div>{ends[1]}</body></html>') for i in range(20)]
+    got = templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Own text number {i}." for i in range(20)}
+
+
 # --- neighbours --------------------------------------------------------------------------------------------------
 
 
