@@ -8,7 +8,8 @@ the root down. The valid classes, nested by parent, are the host's template; wha
 
 A page is then read again with its host's template: wording that belongs to the template goes, and so do slots that are
 not article: those under structure that by name holds menus, headers, footers, sidebars, notices, adverts, forms or
-comments, and slots that on this host hold little but links. If slots of an ``article`` or ``main`` remain, only these
+comments, and slots that on this host hold little but links. A host of two pages has a template; optional structure
+belongs to it from two pages and 2 % of the host's pages on. If slots of an ``article`` or ``main`` remain, only these
 are the text. Blocks keep page order, joined by one newline; white space inside a block becomes one space.
 
 Counting sends partial sums to the shuffle, never pages; a host of any size is an ordinary key. Templates are small and
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from . import urls, words
 from .shared import written
 
-LEAST_PAGES = 8  # of a host with a template
-SUPPORT = 0.8  # share of a host's pages that a class covers
+LEAST_PAGES = 2  # of a host with a template
+SUPPORT = 0.8  # share of a host's pages that a class of wording covers
+OPTIONAL = 0.02  # share of a host's pages, and two of them at least, that a class of tags covers
 SHORT = 200  # characters of a text run that may belong to a template
 LINKED = 0.6  # share of a slot's characters inside links that makes it a menu
 #: Names of HTML.
@@ -166,11 +168,17 @@ def _tallies(pages: DataFrame) -> DataFrame:
                     count[host, path, parent, False] += 1
                 count[host, 0, 0, False] += 1
                 for frame, text, linked in blocks:
-                    s = sums.setdefault((host, frame.path, frame.up.path if frame.up else 0, False), [0] * 5)
-                    s[3] += len(text)
-                    s[4] += min(linked, len(text))
-                    if len(text) <= SHORT:
-                        count[host, token_hash(str(frame.path), text), frame.path, True] += 1
+                    keys = [(host, token_hash(str(frame.path), text), frame.path, True)] if len(text) <= SHORT else []
+                    for key in keys:
+                        count[key] += 1
+                    inside: Frame | None = frame
+                    while inside:
+                        keys.append((host, inside.path, inside.up.path if inside.up else 0, False))
+                        inside = inside.up
+                    for key in keys:
+                        s = sums.setdefault(key, [0] * 5)
+                        s[3] += len(text)
+                        s[4] += min(linked, len(text))
                 for key, n in count.items():
                     s = sums.setdefault(key, [0] * 5)
                     s[0] += 1
@@ -184,37 +192,55 @@ def _tallies(pages: DataFrame) -> DataFrame:
 
 
 def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from its supported tokens: classes of equal vectors under one parent, valid from the root on."""
-    root = tokens[(tokens.token == 0) & ~tokens.wording]
-    n = int(root.pages.iloc[0]) if len(root) else 0
+    """The template of one host from its supported tokens: classes of equal vectors under one parent, valid from the root on.
+
+    A valid tag's slot is the text below it that no valid token below it holds; menus are slots with little but links.
+    """
     children: dict[int, list[list[tuple[int, bool]]]] = {}
     for parent, of_parent in tokens[tokens.token != 0].groupby("parent", sort=False):
         for _, c in of_parent.groupby(["pages", "total", "vector"], sort=False):
             children.setdefault(parent, []).append(list(zip(c.token, c.wording, strict=True)))
-    valid, wording, todo = {0}, [], [0]
+    held = {(t, w): (n, k) for t, w, n, k in zip(tokens.token, tokens.wording, tokens.chars, tokens.linked, strict=True)}
+    slots, wording, menus, todo = {0}, [], [], [0]
     while todo:
-        for cls in children.get(todo.pop(), []):
+        tag = todo.pop()
+        chars, linked = held.get((tag, False), (0, 0))
+        for cls in children.get(tag, []):
+            for token, worded in cls:
+                chars, linked = chars - held[token, worded][0], linked - held[token, worded][1]
             wording += [t for t, w in cls if w]
-            grown = [t for t, w in cls if not w and t not in valid]
-            valid.update(grown)
+            grown = [t for t, w in cls if not w and t not in slots]
+            slots.update(grown)
             todo += grown
-    return pd.DataFrame({"host": [tokens.host.iloc[0]], "wording": [wording if n >= LEAST_PAGES else []], "slots": [sorted(valid)]})
+        if chars > 0 and linked >= LINKED * chars:
+            menus.append(tag)
+    return pd.DataFrame({"host": [tokens.host.iloc[0]], "wording": [wording], "slots": [sorted(slots)], "menus": [menus]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, wording, slots, menus: each host's template."""
     sums = ["pages", "total", "vector", "chars", "linked"]
-    tokens = written(_tallies(pages.filter("host <> ''")).groupBy("host", "token", "wording").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in sums if c != "vector"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")), "tokens")
+    tokens = written(_tallies(pages.filter("host <> ''")).groupBy("host", "token", "wording").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in sums if c != "vector"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")).filter(f"pages >= {LEAST_PAGES}"), "tokens")
     size = tokens.filter("token = 0 and not wording").select("host", F.col("pages").alias("n"))
-    supported = tokens.join(size, "host").filter(f"n >= {LEAST_PAGES} and pages >= {SUPPORT} * n").drop("n", "chars", "linked")
-    nested = supported.groupBy("host").applyInPandas(_nested, "host string, wording array<long>, slots array<long>")
-    menus = tokens.join(size, "host").filter(f"n >= {LEAST_PAGES} and not wording and token <> 0 and pages >= 0.02 * n and chars > 0 and linked >= {LINKED} * chars").groupBy("host").agg(F.collect_list("token").alias("menus"))
-    return written(nested.join(menus, "host", "full_outer"), "templates")
+    supported = tokens.join(size, "host").filter(f"pages >= if(wording, {SUPPORT}, {OPTIONAL}) * n").drop("n")
+    return written(supported.groupBy("host").applyInPandas(_nested, "host string, wording array<long>, slots array<long>, menus array<long>"), "templates")
+
+
+Template = tuple[frozenset[int], frozenset[int], frozenset[int]]
+NO_TEMPLATE: Template = (frozenset(), frozenset((0,)), frozenset())
+
+
+def slot_of(frame: Frame, slots: frozenset[int]) -> int:
+    """The innermost tag of the template around a block."""
+    while frame.path not in slots and frame.up:
+        frame = frame.up
+    return frame.path
 
 
-def main_text(html: str, wording: frozenset[int], menus: frozenset[int]) -> str:
+def main_text(html: str, template: Template) -> str:
     """The article's blocks, joined by newlines."""
-    blocks = [(f, t) for f, t, _ in read(html)[1] if not f.bad and f.path not in menus and not (len(t) <= SHORT and wording and token_hash(str(f.path), t) in wording)]
+    wording, slots, menus = template
+    blocks = [(f, t) for f, t, _ in read(html)[1] if not f.bad and not (menus and slot_of(f, slots) in menus) and not (len(t) <= SHORT and wording and token_hash(str(f.path), t) in wording)]
     if any(f.main for f, _ in blocks):
         blocks = [(f, t) for f, t in blocks if f.main]
     return "\n".join(t for _, t in blocks)
@@ -227,10 +253,18 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     schema = pa.schema([(key, pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Template] = {}
         for batch in batches:
             for part in words.slices(batch, name="html"):
-                texts = [main_text(h, frozenset(w or ()), frozenset(m or ())) for h, w, m in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                texts = []
+                for i, (host, html) in enumerate(zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    if host not in known:
+                        if len(known) == 100:
+                            known.clear()
+                        sets = [part.column(j)[i].as_py() for j in (4, 5, 6)]
+                        known[host] = NO_TEMPLATE if sets[1] is None else tuple(map(frozenset, sets))
+                    texts.append(main_text(html, known[host]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    met = source.join(template.select("host", "wording", "menus"), "host", "left").select("page", "url", "html", "wording", "menus")
+    met = source.join(template, "host", "left").select("page", "url", "html", "host", "wording", "slots", "menus")
     return met.mapInArrow(run, f"{key} long, url string, text string, n_chars long")

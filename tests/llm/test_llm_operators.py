@@ -407,6 +407,16 @@ def test_template_beside_fixed_lists(spark):
     assert {r.text for r in got} == {f"Own text number {i}." for i in range(20)}
 
 
+def test_template_of_two_pages_and_its_slots(spark):
+    links = "".join(f"<li><a href=/{k}>link {{0}} {k}</a></li>" for k in range(3))
+    rows = [(i, f"http://h{i // 2}.example/{i}", f'<div class="q1">Same words here</div><div class="q2"><p>Own text number {i}.</p></div><ul class="q3{" b" * (i % 2)}">{links.format(i)}</ul>') for i in range(6)]
+    got = templates.extract(spark.createDataFrame(rows + [(9, "http://one.example/", "<p>Alone</p>")], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n")[0] for r in got} == {i: f"Own text number {i}." for i in range(6)} | {9: "Alone"}
+    rows = [(i, f"http://h{i // 2}.example/{i}", h.replace(" b", "")) for i, _, h in rows]
+    got = templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Own text number {i}." for i in range(6)}
+
+
 # --- neighbours --------------------------------------------------------------------------------------------------
 
 
