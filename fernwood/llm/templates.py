@@ -1,7 +1,7 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
-Tokens are opening tags, told apart by their path of enclosing structure (tag, id, class), and short runs of text, told
-apart by path and wording. Over a host's pages every token has an occurrence vector (how often it stands in each page).
+Tokens are opening tags, told apart by their path of enclosing structure (tag, id, class), and runs of text of any length, told
+apart by path and wording. Over a host's pages every token has an occurrence vector (how often it stands in each different page).
 Tokens with one vector form a class; vectors are compared by count, total and a 64-bit sum that any task can add up
 alone; a class is split by parent. It is valid if it covers nearly all pages and its parent is valid, which is settled from
 the root down. The valid classes, nested by parent, are the host's template; what lies between its tokens are slots.
@@ -12,12 +12,12 @@ comments, and slots that on this host hold little but links. A host of two pages
 belongs to it from two pages and 2 % of the host's pages on. If slots of an ``article`` or ``main`` remain, only these
 are the text. Blocks keep page order, joined by one newline; white space inside a block becomes one space.
 
-Counting sends partial sums to the shuffle, never pages; a host of any size is an ordinary key. Templates are small and
+Counting sends partial sums to the shuffle, and of pages only one of each that has copies; a host of any size is an ordinary key. Templates are small and
 written out; Spark broadcasts them only below its own threshold, else pages and templates meet in an equality join whose
 skewed keys adaptive execution splits.
 
 Defined cases: null or empty html gives an empty text and 0 characters; a null url has no host and no template, so only
-names of structure decide; repeated rows count as often as they occur and stay; truncated markup is read as far as it
+names of structure decide; repeated rows and copies of a page stay, but count once in their host's template; truncated markup is read as far as it
 goes; other columns are ignored; an empty table gives no rows.
 """
 
@@ -36,12 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import urls, words
-from .shared import written
+from .shared import joined_by_id, written
 
 LEAST_PAGES = 2  # of a host with a template
 SUPPORT = 0.8  # share of a host's pages that a class of wording covers
 OPTIONAL = 0.02  # share of a host's pages, and two of them at least, that a class of tags covers
-SHORT = 200  # characters of a text run that may belong to a template
 LINKED = 0.6  # share of a slot's characters inside links that makes it a menu
 #: Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -149,6 +148,16 @@ def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]
     return opened, blocks
 
 
+def _different(pages: DataFrame) -> DataFrame:
+    """host, digest, html: one row for each different page of a host. Only copied pages are shuffled, and of them only the rows with the smallest key."""
+    marked = pages.filter("host <> ''").select("host", "page", "html", F.xxhash64("host", "html").alias("digest"))
+    copied = written(marked.groupBy("digest").agg(F.count("*").alias("n"), F.min("page").alias("least")).filter("n > 1").drop("n"), "copied")
+    if copied.isEmpty():
+        return marked.drop("page")
+    one = joined_by_id(marked, copied, "digest", "inner").filter("page <=> least").dropDuplicates(["digest"])
+    return joined_by_id(marked, copied.select("digest"), "digest", "left_anti").drop("page").unionByName(one.select("host", "html", "digest"))
+
+
 def _tallies(pages: DataFrame) -> DataFrame:
     """host, token, parent, wording, pages, total, vector, chars, linked: sums over the pages that a task reads."""
     schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("wording", pa.bool_()), *((c, pa.int64()) for c in ("pages", "total", "vector", "chars", "linked"))])
@@ -161,14 +170,14 @@ def _tallies(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[int]] = {}
         for batch in batches:
-            for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, digest, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 opened, blocks = read(html or "")
                 count: Counter = Counter()
                 for path, parent in opened:
                     count[host, path, parent, False] += 1
                 count[host, 0, 0, False] += 1
                 for frame, text, linked in blocks:
-                    keys = [(host, token_hash(str(frame.path), text), frame.path, True)] if len(text) <= SHORT else []
+                    keys = [(host, token_hash(str(frame.path), text), frame.path, True)]
                     for key in keys:
                         count[key] += 1
                     inside: Frame | None = frame
@@ -183,12 +192,12 @@ def _tallies(pages: DataFrame) -> DataFrame:
                     s = sums.setdefault(key, [0] * 5)
                     s[0] += 1
                     s[1] += n
-                    s[2] += token_hash("vector", str(page), str(n))
+                    s[2] += token_hash("vector", str(digest), str(n))
                 if len(sums) > 100_000:
                     yield rows(sums)
         yield rows(sums)
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, token long, parent long, wording boolean, pages long, total long, vector long, chars long, linked long")
+    return pages.select("host", "digest", "html").mapInArrow(run, "host string, token long, parent long, wording boolean, pages long, total long, vector long, chars long, linked long")
 
 
 def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +229,7 @@ def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host, wording, slots, menus: each host's template."""
     sums = ["pages", "total", "vector", "chars", "linked"]
-    tokens = written(_tallies(pages.filter("host <> ''")).groupBy("host", "token", "wording").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in sums if c != "vector"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")).filter(f"pages >= {LEAST_PAGES}"), "tokens")
+    tokens = written(_tallies(_different(pages)).groupBy("host", "token", "wording").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in sums if c != "vector"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")).filter(f"pages >= {LEAST_PAGES}"), "tokens")
     size = tokens.filter("token = 0 and not wording").select("host", F.col("pages").alias("n"))
     supported = tokens.join(size, "host").filter(f"pages >= if(wording, {SUPPORT}, {OPTIONAL}) * n").drop("n")
     return written(supported.groupBy("host").applyInPandas(_nested, "host string, wording array<long>, slots array<long>, menus array<long>"), "templates")
@@ -240,7 +249,7 @@ def slot_of(frame: Frame, slots: frozenset[int]) -> int:
 def main_text(html: str, template: Template) -> str:
     """The article's blocks, joined by newlines."""
     wording, slots, menus = template
-    blocks = [(f, t) for f, t, _ in read(html)[1] if not f.bad and not (menus and slot_of(f, slots) in menus) and not (len(t) <= SHORT and wording and token_hash(str(f.path), t) in wording)]
+    blocks = [(f, t) for f, t, _ in read(html)[1] if not f.bad and not (menus and slot_of(f, slots) in menus) and not (wording and token_hash(str(f.path), t) in wording)]
     if any(f.main for f, _ in blocks):
         blocks = [(f, t) for f, t in blocks if f.main]
     return "\n".join(t for _, t in blocks)

@@ -417,6 +417,16 @@ def test_template_of_two_pages_and_its_slots(spark):
     assert {r.text for r in got} == {f"Own text number {i}." for i in range(6)}
 
 
+def test_template_takes_long_wording_but_no_copied_article(spark):
+    notice = "<div class=q1>" + "All of this legal text stands here. " * 20 + "</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{notice}<div class=q2><p>Own text number {i}.</p></div></body>") for i in range(20)]
+    rows += [(i, f"http://c.example/{i}", "<article><p>One page in many copies.</p></article>" if i > 125 else f"<article><p>Own {i}.</p></article>") for i in range(120, 160)]
+    rows += rows[-1:] * 2
+    got = templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == (f"Own text number {r.page_id}." if r.page_id < 100 else "One page in many copies." if r.page_id > 125 else f"Own {r.page_id}.") for r in got)
+
+
 # --- neighbours --------------------------------------------------------------------------------------------------
 
 
