@@ -8,7 +8,8 @@ the root down. The valid classes, nested by parent, are the host's template; wha
 
 A page is then read again with its host's template: wording that belongs to the template goes, and so do slots that are
 not article: those under structure that by name holds menus, headers, footers, sidebars, notices, adverts, forms or
-comments, and slots that on this host hold little but links. A host of two pages has a template; optional structure
+comments, and blocks of links outside of ``article`` and ``main`` in slots that on this host hold little but links. Names on
+html, body and main, and on what holds an ``article`` or ``main``, do not count, nor do those of layout (no-sidebar). A host of two pages has a template; optional structure
 belongs to it from two pages and 2 % of the host's pages on. If slots of an ``article`` or ``main`` remain, only these
 are the text. Blocks keep page order, joined by one newline; white space inside a block becomes one space.
 
@@ -55,8 +56,10 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|xmp|noframes)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<>]*+>?)|<[!?][^>]*+>?|(?P<text>[^<]++|<)""",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: In a class like no-sidebar or with-nav they tell of the layout of what is around, not of what the tag holds.
+LAYOUT = frozenset("no non not without with has have hide".split())
 
 
 @lru_cache(maxsize=50_000)
@@ -65,26 +68,40 @@ def token_hash(*parts: str) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def step_of(tag: str, attrs: str) -> tuple[str, bool]:
-    """A tag's part of a path, and whether by its name it holds no article."""
-    label, names = tag, []
-    if "=" in attrs or "hidden" in attrs:
-        for key, value in NAMED.findall(attrs):
-            value = value.strip("\"'").lower()
-            names += re.split(r"[\s_-]+", value)
-            label += f".{value}" if key.lower() != "id" else f"#{re.sub('[0-9]+', '0', value)}"
-    bad = tag in BOILERPLATE_TAGS or any(n in BOILERPLATE_NAMES for n in names) or (bool(attrs) and HIDDEN.search(attrs) is not None)
-    return label, bad
+def step_of(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """A tag's part of a path, whether it holds no article by its kind or as hidden, and whether by its names."""
+    label, bad, named = tag, tag in BOILERPLATE_TAGS and tag != "form", tag == "form"
+    for key, value in ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id", "role"):
+            label += f".{value}" if key != "id" else f"#{re.sub('[0-9]+', '0', value)}"
+            parts = [set(re.split("[_-]+", name)) for name in value.split()]
+            named = named or any(p & BOILERPLATE_NAMES and not p & LAYOUT for p in parts)
+        bad = bad or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value) is not None)
+    return label, bad, named and tag not in ("html", "body", "main")
 
 
 class Frame:
-    __slots__ = ("tag", "path", "bad", "main", "up")
+    """An open tag. ``named``: by its names it holds no article; one found to hold an ``article`` or ``main`` loses this."""
 
-    def __init__(self, tag: str, path: int, bad: bool, main: bool, up: Frame | None) -> None:
-        self.tag, self.path, self.bad, self.main, self.up = tag, path, bad, main, up
+    __slots__ = ("tag", "path", "bad", "named", "main", "up")
 
+    def __init__(self, tag: str, path: int, bad: bool, named: bool, main: bool, up: Frame | None) -> None:
+        self.tag, self.path, self.bad, self.named, self.main, self.up = tag, path, bad, named, main, up
 
-ROOT = Frame("", 0, False, False, None)
+
+ROOT = Frame("", 0, False, False, False, None)
+
+
+def unwanted(frame: Frame | None) -> bool:
+    """Whether a block's enclosing structure is not article, known once the page is read."""
+    if frame and frame.bad:
+        return True
+    while frame:
+        if frame.named:
+            return True
+        frame = frame.up
+    return False
 
 
 def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]]:
@@ -139,11 +156,14 @@ def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]
         if top.tag == "head" and tag in ("body", "article", "div", "main", "p"):
             stack.pop()
             top = stack[-1]
-        label, bad = step_of(tag, m["attrs"])
+        label, bad, named = step_of(tag, m["attrs"])
         bad = bad or (tag == "header" and not top.main)
         path = token_hash(str(top.path), label)
         opened.append((path, top.path))
-        stack.append(Frame(tag, path, top.bad or bad, top.main or tag in MAIN_TAGS, top))
+        if tag in MAIN_TAGS and not top.main and not named:
+            for above in stack[1:]:
+                above.named = False
+        stack.append(Frame(tag, path, top.bad or bad, named, top.main or tag in MAIN_TAGS, top))
     close_block()
     return opened, blocks
 
@@ -186,8 +206,9 @@ def _tallies(pages: DataFrame) -> DataFrame:
                         inside = inside.up
                     for key in keys:
                         s = sums.setdefault(key, [0] * 5)
-                        s[3] += len(text)
-                        s[4] += min(linked, len(text))
+                        if not frame.main:
+                            s[3] += len(text)
+                            s[4] += min(linked, len(text))
                 for key, n in count.items():
                     s = sums.setdefault(key, [0] * 5)
                     s[0] += 1
@@ -203,7 +224,8 @@ def _tallies(pages: DataFrame) -> DataFrame:
 def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
     """The template of one host from its supported tokens: classes of equal vectors under one parent, valid from the root on.
 
-    A valid tag's slot is the text below it that no valid token below it holds; menus are slots with little but links.
+    A valid tag's slot is the text below it that no valid token below it holds; menus are slots with little but links, outside
+    of ``article`` and ``main``.
     """
     children: dict[int, list[list[tuple[int, bool]]]] = {}
     for parent, of_parent in tokens[tokens.token != 0].groupby("parent", sort=False):
@@ -249,7 +271,11 @@ def slot_of(frame: Frame, slots: frozenset[int]) -> int:
 def main_text(html: str, template: Template) -> str:
     """The article's blocks, joined by newlines."""
     wording, slots, menus = template
-    blocks = [(f, t) for f, t, _ in read(html)[1] if not f.bad and not (menus and slot_of(f, slots) in menus) and not (wording and token_hash(str(f.path), t) in wording)]
+    blocks = [
+        (f, t)
+        for f, t, linked in read(html)[1]
+        if not unwanted(f) and not (menus and not f.main and linked >= LINKED * len(t) and slot_of(f, slots) in menus) and not (wording and token_hash(str(f.path), t) in wording)
+    ]
     if any(f.main for f, _ in blocks):
         blocks = [(f, t) for f, t in blocks if f.main]
     return "\n".join(t for _, t in blocks)

@@ -427,6 +427,19 @@ def test_template_takes_long_wording_but_no_copied_article(spark):
     assert all(r.text == (f"Own text number {r.page_id}." if r.page_id < 100 else "One page in many copies." if r.page_id > 125 else f"Own {r.page_id}.") for r in got)
 
 
+def test_extraction_keeps_article_text(spark):
+    kept = ["<body class='no-sidebar with-nav'><article>{}</article>", "<div class='page sidebar'><div class=nav><main>{}</main></div></div>", "<main class=with-nav style='overflow:hidden'>{}</main>", "<div class=overflow-hidden>{}</div>", "<div data-note=hidden>{}</div>"]
+    gone = ["<div hidden>x</div>", "<div style='color:red; display: none'>x</div>", "<div style=visibility:hidden>x</div>", "<main><div class=comments><article>x</article></div></main>", "<div class=sidebar>x</div>", "<div aria-hidden=true>x</div>"]
+    for k, form in enumerate(kept):
+        assert templates.main_text(form.format(f"<p>Text {k}</p>"), templates.NO_TEMPLATE) == f"Text {k}", form
+    assert [templates.main_text(form, templates.NO_TEMPLATE) for form in gone] == [""] * len(gone)
+    refs = "<ul><li><a href=x>Linked reference {0}</a></li><li>Plain {0}</li></ul>"
+    rows = [(i, f"http://h.example/{i}", f"<ul class=m><li><a href=x>menu {i}</a></li></ul><article><p>Own {i}.</p>{refs.format(i)}</article>") for i in range(20)]
+    rows += [(i, f"http://g.example/{i}", f"<ul class=m><li><a href=x>menu {i} of many</a></li><li>Note {i}</li></ul><p>Own {i}.</p>") for i in range(20, 40)]
+    got = templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Own {i}.\nLinked reference {i}\nPlain {i}" if i < 20 else f"Note {i}\nOwn {i}." for i in range(40)}
+
+
 # --- neighbours --------------------------------------------------------------------------------------------------
 
 
