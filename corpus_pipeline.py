@@ -27,10 +27,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near copies (five words, 0.8) the document with the smallest id stays; those without words all stay."""
-    linked = ngram_join.join(docs, n=5, percent=80)
-    gone = written(linked.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return joined_by_id(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """Of every component of near copies (five words, 0.8) the document with the smallest id stays; those without words all stay.
+
+    Rows with a null or repeated id are documents of their own under a generated key: of a component one row stays, with
+    the smallest id, then text hash; null ids come last. Different texts under one id both stay.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        linked = ngram_join.join(docs, n=5, percent=80)
+        gone = written(linked.filter("doc_id <> component_id").select("doc_id"), "gone")
+        return joined_by_id(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    place = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("place"))
+    linked = ngram_join.join(rows, n=5, percent=80, key="_row").join(place, "_row")
+    kept = written(linked.groupBy("component_id").agg(F.min("place").alias("place")).select("place._row"), "kept")
+    return joined_by_id(rows, kept, "_row", "left_semi").select(docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

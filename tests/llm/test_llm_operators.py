@@ -521,6 +521,17 @@ def test_pipeline_of_an_empty_table(spark, sf_dir):
         docs = out if out.columns == docs.columns else docs
 
 
+def test_pipeline_keeps_one_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(3, a), (3, a), (7, a), (None, a), (None, b), (None, b), (9, b), (None, c), (None, c), (5, d), (5, d + " more"), (8, c + " x y z " + a), (8, "one other text of its own"), (None, None), (None, None)]
+    got = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    left = [tuple(r) for r in got.collect()]
+    assert got.columns == ["doc_id", "text"] and len(left) == 8
+    assert {(3, a), (9, b), (None, c), (8, rows[11][1]), (8, rows[12][1])} < set(left) and left.count((None, None)) == 2 and sum(i == 5 for i, _ in left) == 1
+
+
 def test_entry_registers_every_operator():
     import __spark_entry__ as driver
 
