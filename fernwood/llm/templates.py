@@ -1,32 +1,40 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 Tokens are opening tags, told apart by their path of enclosing structure (tag, id, class), and runs of text of any length, told
-apart by path and wording. Over a host's pages every token has an occurrence vector (how often it stands in each different page).
-Tokens with one vector form a class; vectors are compared by count, total and a 64-bit sum that any task can add up
-alone; a class is split by parent. It is valid if it covers nearly all pages and its parent is valid, which is settled from
-the root down. The valid classes, nested by parent, are the host's template; what lies between its tokens are slots.
-
-A page is then read again with its host's template: wording that belongs to the template goes, and so do slots that are
-not article: those under structure that by name holds menus, headers, footers, sidebars, notices, adverts, forms or
-comments, and blocks of links outside of ``article`` and ``main`` in slots that on this host hold little but links. Names on
-html, body and main, and on what holds an ``article`` or ``main``, do not count, nor do those of layout (no-sidebar). A host of two pages has a template; optional structure
-belongs to it from two pages and 2 % of the host's pages on. If slots of an ``article`` or ``main`` remain, only these
-are the text. Blocks keep page order, joined by one newline; white space inside a block becomes one space.
-
-Counting sends partial sums to the shuffle, and of pages only one of each that has copies; a host of any size is an ordinary key. Templates are small and
-written out; Spark broadcasts them only below its own threshold, else pages and templates meet in an equality join whose
-skewed keys adaptive execution splits.
+apart by path and wording. Over a host's different pages every token has an occurrence vector (how often it stands in each
+page). Tokens with one vector form a class; vectors are compared by count, total and a 64-bit sum that any task can add up
+alone. A class is valid if it covers enough pages (two, and 2 % of the host's) and its parent is valid, which is settled from the
+root down. The valid classes, nested by parent, are the host's template; what lies between its tokens are slots. Wording belongs
+to the template if it is in one class with the tag around it (that tag never holds anything else), or covers 80 % of the pages.
+
+The template then says what its slots hold, by how their contents vary over the host's pages:
+
+* the article lies below the nested class tags that stand once a page and hold most of their parent's text (outside links) on at
+  least half of the pages that have them. Going down from the root, each layout of a host may have its own such tags; a page's
+  article is below the last of them that it has. Headings directly in a tag around it belong to it, body and html excepted;
+* wording of the template goes; so do slots that hold little but links (menus) and those that hold little but texts which other
+  pages have too (notices). Where most of the text of the articles found recurs, its pages are copies of each other, and then
+  nothing inside the article goes for recurring; nor on a page of which nothing would be left.
+
+Names of HTML and of structure (``names``) only break ties: below the article they remove asides, forms, adverts, comments and
+the like; a tag named so is not gone into for the article; an ``article`` or ``main`` around the article found is taken whole,
+and within a page, text in it is preferred. They decide alone for pages of which the template knows no article (a host with one
+page). Names on html, body and main, and on what holds an ``article`` or ``main``, do not count, nor do those of layout
+(no-sidebar). Blocks keep page order, joined by one newline; white space inside a block becomes one space.
+
+Counting sends partial sums to the shuffle, keyed by host and token; only supported tags and wording, a number bounded by the
+structure of a page, meet by host. Templates are small and written out; Spark broadcasts them only below its own threshold,
+else pages and templates meet in an equality join whose skewed keys adaptive execution splits.
 
 Defined cases: null or empty html gives an empty text and 0 characters; a null url has no host and no template, so only
-names of structure decide; repeated rows and copies of a page stay, but count once in their host's template; truncated markup is read as far as it
-goes; other columns are ignored; an empty table gives no rows.
+names of structure decide; repeated rows and copies of a page stay, but count once in their host's template; truncated markup is
+read as far as it goes; html of any length is read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -37,12 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import urls, words
-from .shared import joined_by_id, written
+from .shared import dropped, joined_by_id, written
 
-LEAST_PAGES = 2  # of a host with a template
-SUPPORT = 0.8  # share of a host's pages that a class of wording covers
-OPTIONAL = 0.02  # share of a host's pages, and two of them at least, that a class of tags covers
+LEAST_PAGES = 2  # of a host with a template, and of a token in it
+SUPPORT = 0.8  # share of a host's pages, and three of them at least, that wording covers which is in no class with its tag
+OPTIONAL = 0.02  # share of a host's pages that a class covers
 LINKED = 0.6  # share of a slot's characters inside links that makes it a menu
+RECURRING = 0.6  # share of a slot's characters in texts that other pages have too that makes it a notice
+COPIES = 0.5  # share of recurring text in an article from which on a host's pages are copies
+ONCE = 1.2  # a tag of the class of once a page stands so often in the mean at most
 #: Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -68,17 +79,17 @@ def token_hash(*parts: str) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def step_of(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """A tag's part of a path, whether it holds no article by its kind or as hidden, and whether by its names."""
-    label, bad, named = tag, tag in BOILERPLATE_TAGS and tag != "form", tag == "form"
+def step_of(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """A tag's part of a path, whether it is hidden, whether it holds no article by its kind, and whether by its names."""
+    label, hidden, kind, named = tag, False, tag in BOILERPLATE_TAGS and tag != "form", tag == "form"
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
             label += f".{value}" if key != "id" else f"#{re.sub('[0-9]+', '0', value)}"
             parts = [set(re.split("[_-]+", name)) for name in value.split()]
             named = named or any(p & BOILERPLATE_NAMES and not p & LAYOUT for p in parts)
-        bad = bad or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value) is not None)
-    return label, bad, named and tag not in ("html", "body", "main")
+        hidden = hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value) is not None)
+    return label, hidden, kind, named and tag not in ("html", "body", "main")
 
 
 class Frame:
@@ -89,25 +100,26 @@ class Frame:
     def __init__(self, tag: str, path: int, bad: bool, named: bool, main: bool, up: Frame | None) -> None:
         self.tag, self.path, self.bad, self.named, self.main, self.up = tag, path, bad, named, main, up
 
+    def around(self) -> Iterator[Frame]:
+        """This tag and those around it, from the inside out; the last is the page."""
+        frame: Frame | None = self
+        while frame:
+            yield frame
+            frame = frame.up
+
 
 ROOT = Frame("", 0, False, False, False, None)
 
 
-def unwanted(frame: Frame | None) -> bool:
-    """Whether a block's enclosing structure is not article, known once the page is read."""
-    if frame and frame.bad:
-        return True
-    while frame:
-        if frame.named:
-            return True
-        frame = frame.up
-    return False
+def unwanted(frame: Frame) -> bool:
+    """Whether a block's enclosing structure is not article by names, known once the page is read."""
+    return frame.bad or any(f.named for f in frame.around())
 
 
-def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]]:
-    """Opened paths as (path, parent), and blocks as (enclosing structure, text, characters inside links)."""
+def read(html: str, names: bool = True) -> tuple[list[Frame], list[tuple[Frame, str, int]]]:
+    """Opened tags, and blocks as (enclosing tag, text, characters inside links). Without ``names`` no tag counts as article or not by them."""
     stack: list[Frame] = [ROOT]
-    opened: list[tuple[int, int]] = []
+    opened: list[Frame] = []
     blocks: list[tuple[Frame, str, int]] = []
     run: list[str] = []
     linked = in_link = 0
@@ -156,31 +168,56 @@ def read(html: str) -> tuple[list[tuple[int, int]], list[tuple[Frame, str, int]]
         if top.tag == "head" and tag in ("body", "article", "div", "main", "p"):
             stack.pop()
             top = stack[-1]
-        label, bad, named = step_of(tag, m["attrs"])
-        bad = bad or (tag == "header" and not top.main)
-        path = token_hash(str(top.path), label)
-        opened.append((path, top.path))
-        if tag in MAIN_TAGS and not top.main and not named:
+        label, hidden, kind, named = step_of(tag, m["attrs"])
+        main = top.main or (names and tag in MAIN_TAGS)
+        if names and tag in MAIN_TAGS and not top.main and not named:
             for above in stack[1:]:
                 above.named = False
-        stack.append(Frame(tag, path, top.bad or bad, named, top.main or tag in MAIN_TAGS, top))
+        stack.append(Frame(tag, token_hash(str(top.path), label), top.bad or hidden or (names and (kind or (tag == "header" and not top.main))), names and named, main, top))
+        opened.append(stack[-1])
     close_block()
     return opened, blocks
 
 
 def _different(pages: DataFrame) -> DataFrame:
-    """host, digest, html: one row for each different page of a host. Only copied pages are shuffled, and of them only the rows with the smallest key."""
-    marked = pages.filter("host <> ''").select("host", "page", "html", F.xxhash64("host", "html").alias("digest"))
+    """site, digest, html: one row for each different page of a host. Only copied pages are shuffled, and of them only the rows with the smallest key."""
+    marked = pages.filter("host <> ''").select(F.xxhash64("host").alias("site"), "page", "html", F.xxhash64("host", "html").alias("digest"))
     copied = written(marked.groupBy("digest").agg(F.count("*").alias("n"), F.min("page").alias("least")).filter("n > 1").drop("n"), "copied")
     if copied.isEmpty():
         return marked.drop("page")
     one = joined_by_id(marked, copied, "digest", "inner").filter("page <=> least").dropDuplicates(["digest"])
-    return joined_by_id(marked, copied.select("digest"), "digest", "left_anti").drop("page").unionByName(one.select("host", "html", "digest"))
-
-
-def _tallies(pages: DataFrame) -> DataFrame:
-    """host, token, parent, wording, pages, total, vector, chars, linked: sums over the pages that a task reads."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("wording", pa.bool_()), *((c, pa.int64()) for c in ("pages", "total", "vector", "chars", "linked"))])
+    return joined_by_id(marked, copied.select("digest"), "digest", "left_anti").drop("page").unionByName(one.select("site", "html", "digest"))
+
+
+SUMS = ("pages", "total", "vector", "wins", "chars", "linked", "named")
+
+
+def tally(html: str, digest: int, names: bool) -> Iterator[tuple[int, int, bool, list[int]]]:
+    """token, parent, wording and SUMS of one page; chars and linked of a tag are those below it, wins tells that it holds most of its parent's text outside links."""
+    opened, blocks = read(html, names)
+    tags: dict[int, list] = {0: [1, None, False, 0, 0]}
+    for f in opened:
+        tags.setdefault(f.path, [0, f.up.path, unwanted(f), 0, 0])[0] += 1
+    texts: dict[tuple[int, str], list[int]] = {}
+    for frame, text, linked in blocks:
+        linked = min(linked, len(text))
+        texts.setdefault((frame.path, text), [0, 0])
+        texts[frame.path, text][0] += 1
+        texts[frame.path, text][1] += linked
+        for f in frame.around():
+            tags[f.path][3] += len(text)
+            tags[f.path][4] += linked
+    for path, (n, up, named, chars, linked) in tags.items():
+        over = tags[up] if up is not None else None
+        wins = over is not None and 2 * (chars - linked) > over[3] - over[4]
+        yield path, up or 0, False, [1, n, token_hash("vector", str(digest), str(n)), int(wins), chars, linked, int(named)]
+    for (path, text), (n, linked) in texts.items():
+        yield token_hash(str(path), text), path, True, [1, n, token_hash("vector", str(digest), str(n)), 0, n * len(text), linked, 0]
+
+
+def _tallies(pages: DataFrame, names: bool) -> DataFrame:
+    """site, token, parent, wording, SUMS over the pages that a task reads."""
+    schema = pa.schema([("site", pa.int64()), ("token", pa.int64()), ("parent", pa.int64()), ("wording", pa.bool_()), *((c, pa.int64()) for c in SUMS)])
 
     def rows(sums: dict[tuple, list[int]]) -> pa.RecordBatch:
         whole = [(*k, *v[:2], (v[2] + 2**63) % 2**64 - 2**63, *v[3:]) for k, v in sums.items()]
@@ -190,116 +227,137 @@ def _tallies(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, list[int]] = {}
         for batch in batches:
-            for host, digest, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                opened, blocks = read(html or "")
-                count: Counter = Counter()
-                for path, parent in opened:
-                    count[host, path, parent, False] += 1
-                count[host, 0, 0, False] += 1
-                for frame, text, linked in blocks:
-                    keys = [(host, token_hash(str(frame.path), text), frame.path, True)]
-                    for key in keys:
-                        count[key] += 1
-                    inside: Frame | None = frame
-                    while inside:
-                        keys.append((host, inside.path, inside.up.path if inside.up else 0, False))
-                        inside = inside.up
-                    for key in keys:
-                        s = sums.setdefault(key, [0] * 5)
-                        if not frame.main:
-                            s[3] += len(text)
-                            s[4] += min(linked, len(text))
-                for key, n in count.items():
-                    s = sums.setdefault(key, [0] * 5)
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += token_hash("vector", str(digest), str(n))
+            for site, digest, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for token, parent, wording, of_page in tally(html or "", digest, names):
+                    s = sums.get((site, token, parent, wording))
+                    sums[site, token, parent, wording] = of_page if s is None else [x + y for x, y in zip(s, of_page, strict=True)]
                 if len(sums) > 100_000:
                     yield rows(sums)
         yield rows(sums)
 
-    return pages.select("host", "digest", "html").mapInArrow(run, "host string, token long, parent long, wording boolean, pages long, total long, vector long, chars long, linked long")
+    return pages.select("site", "digest", "html").mapInArrow(run, "site long, token long, parent long, wording boolean, " + ", ".join(f"{c} long" for c in SUMS))
+
 
+TEMPLATE = "wording array<long>, slots array<long>, route array<long>, menus array<long>, notices array<long>, copies boolean"
 
-def _nested(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from its supported tokens: classes of equal vectors under one parent, valid from the root on.
 
-    A valid tag's slot is the text below it that no valid token below it holds; menus are slots with little but links, outside
-    of ``article`` and ``main``.
-    """
-    children: dict[int, list[list[tuple[int, bool]]]] = {}
-    for parent, of_parent in tokens[tokens.token != 0].groupby("parent", sort=False):
-        for _, c in of_parent.groupby(["pages", "total", "vector"], sort=False):
-            children.setdefault(parent, []).append(list(zip(c.token, c.wording, strict=True)))
-    held = {(t, w): (n, k) for t, w, n, k in zip(tokens.token, tokens.wording, tokens.chars, tokens.linked, strict=True)}
-    slots, wording, menus, todo = {0}, [], [], [0]
+def nested(tokens: pd.DataFrame) -> pd.DataFrame:
+    """The template of one host from its supported tokens: valid classes from the root on, the way to the article, and what slots hold."""
+    children: dict[int, list] = {}
+    for t in tokens[(tokens.token != 0) & ~tokens.wording].itertuples():
+        children.setdefault(t.parent, []).append(t)
+    held = {t.token: t for t in tokens[~tokens.wording].itertuples()}
+    slots, menus, notices, own, recurring, todo = {0}, [], [], {}, {}, [0]
     while todo:
         tag = todo.pop()
-        chars, linked = held.get((tag, False), (0, 0))
-        for cls in children.get(tag, []):
-            for token, worded in cls:
-                chars, linked = chars - held[token, worded][0], linked - held[token, worded][1]
-            wording += [t for t, w in cls if w]
-            grown = [t for t, w in cls if not w and t not in slots]
-            slots.update(grown)
-            todo += grown
+        chars, linked = held[tag].chars, held[tag].linked
+        for t in children.get(tag, []):
+            chars, linked = chars - t.chars, linked - t.linked
+            if t.token not in slots:
+                slots.add(t.token)
+                todo.append(t.token)
+        own[tag], recurring[tag] = chars, min(held[tag].recurring, chars)
         if chars > 0 and linked >= LINKED * chars:
             menus.append(tag)
-    return pd.DataFrame({"host": [tokens.host.iloc[0]], "wording": [wording], "slots": [sorted(slots)], "menus": [menus]})
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host, wording, slots, menus: each host's template."""
-    sums = ["pages", "total", "vector", "chars", "linked"]
-    tokens = written(_tallies(_different(pages)).groupBy("host", "token", "wording").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in sums if c != "vector"), F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")).filter(f"pages >= {LEAST_PAGES}"), "tokens")
-    size = tokens.filter("token = 0 and not wording").select("host", F.col("pages").alias("n"))
-    supported = tokens.join(size, "host").filter(f"pages >= if(wording, {SUPPORT}, {OPTIONAL}) * n").drop("n")
-    return written(supported.groupBy("host").applyInPandas(_nested, "host string, wording array<long>, slots array<long>, menus array<long>"), "templates")
-
+        if chars > 0 and recurring[tag] >= RECURRING * chars and held[tag].pages > LEAST_PAGES:
+            notices.append(tag)
+    route, ends, todo = [], [], [0]
+    while todo:
+        tag = todo.pop()
+        # A class of tags once a page, with tags of its own (a paragraph is no article), that holds most of the text around it.
+        inner = [t for t in children.get(tag, []) if t.total <= ONCE * t.pages and 2 * t.wins >= t.pages and not t.named and children.get(t.token)]
+        route += [t.token for t in inner]
+        todo += [t.token for t in inner]
+        if not inner:
+            ends.append(tag)
+    below, todo = set(), list(ends)
+    while todo:
+        tag = todo.pop()
+        if tag not in below:
+            below.add(tag)
+            todo += [t.token for t in children.get(tag, [])]
+    inside = sum(own[t] for t in below)
+    copies = inside < held[0].chars and sum(recurring[t] for t in below) > COPIES * inside
+    wording = [t.token for t in tokens[tokens.wording].itertuples() if t.parent in slots]
+    return pd.DataFrame({"site": [tokens.site.iloc[0]], "wording": [wording], "slots": [sorted(slots)], "route": [sorted(route)], "menus": [menus], "notices": [notices], "copies": [copies]})
+
+
+def templates(pages: DataFrame, *, names: bool = True) -> DataFrame:
+    """site (hash of the host), wording, slots, route, menus, notices, copies: each host's template."""
+    sums = [F.sum(c).alias(c) for c in SUMS if c != "vector"] + [F.sum(F.col("vector").cast("decimal(38,0)")).cast("string").alias("vector")]
+    tokens = written(_tallies(_different(pages), names).groupBy("site", "token", "wording").agg(F.max("parent").alias("parent"), *sums).filter(f"pages >= {LEAST_PAGES}"), "tokens")
+    size = tokens.filter("token = 0 and not wording").select("site", F.col("pages").alias("n"))
+    tokens_of = joined_by_id(tokens, size, "site", "inner")
+    words_of = tokens_of.filter("wording")
+    recurring = words_of.groupBy("site", F.col("parent").alias("token")).agg(F.sum("chars").alias("recurring"))
+    tags = written(tokens_of.filter(f"not wording and pages >= {OPTIONAL} * n").join(recurring, ["site", "token"], "left").fillna(0, ["recurring"]), "tags")
+    around = tags.select("site", F.col("token").alias("parent"), F.struct("pages", "total", "vector").alias("around"))
+    same = words_of.join(around, ["site", "parent"]).filter(f"(pages = around.pages and total = around.total and vector = around.vector) or (pages > {LEAST_PAGES} and pages >= {SUPPORT} * n)")
+    columns = ["site", "token", "parent", "wording", "pages", "total", "wins", "chars", "linked"]
+    supported = written(tags.select(*columns, (F.col("named") >= F.col("pages")).alias("named"), "recurring").unionByName(same.select(*columns).withColumns({"named": F.lit(False), "recurring": F.lit(0).cast("long")})), "supported")
+    out = written(supported.groupBy("site").applyInPandas(nested, f"site long, {TEMPLATE}"), "templates")
+    for table in (tokens, tags, supported):
+        dropped(table)
+    return out
+
+
+class Template:
+    """A host's template as sets; ``known`` if the host has one."""
+
+    def __init__(self, wording: list = (), slots: list = (), route: list = (), menus: list = (), notices: list = (), copies: bool = False) -> None:
+        self.wording, self.slots, self.route, self.menus, self.notices = map(frozenset, (wording, [*slots, 0], route, menus, notices))
+        self.copies = copies
+
+    def slot_of(self, frame: Frame) -> int:
+        """The innermost tag of the template around a block."""
+        return next(f.path for f in frame.around() if f.path in self.slots)
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def main_text(html: str, template: Template, names: bool = True) -> str:
+    """The article's blocks, joined by newlines."""
+    opened, blocks = read(html, names)
+    on_way = {f.path: f for f in opened if f.path in template.route}
+    ends = {path: f for path, f in on_way.items() if not any(g.up.path == path for g in on_way.values())}
+    around = {g.path for f in ends.values() for g in f.around() if g is not f and g.tag not in ("", "html", "body")}
+    whole = names and any(f.main for f in ends.values())
 
-Template = tuple[frozenset[int], frozenset[int], frozenset[int]]
-NO_TEMPLATE: Template = (frozenset(), frozenset((0,)), frozenset())
+    def inside(frame: Frame) -> bool:
+        return not ends or any(f.path in ends or (f.tag in HEADINGS and f.up.path in around) for f in frame.around()) or (whole and frame.main)
 
+    def varies(frame: Frame, text: str) -> bool:
+        return not (token_hash(str(frame.path), text) in template.wording or (template.slot_of(frame) in template.notices and frame.tag not in HEADINGS))
 
-def slot_of(frame: Frame, slots: frozenset[int]) -> int:
-    """The innermost tag of the template around a block."""
-    while frame.path not in slots and frame.up:
-        frame = frame.up
-    return frame.path
+    kept = [(f, t) for f, t, linked in blocks if inside(f) and not f.bad and not (names and unwanted(f)) and not (linked >= LINKED * len(t) and template.slot_of(f) in template.menus and not f.main)]
+    if names and any(f.main for f, _ in kept):
+        kept = [(f, t) for f, t in kept if f.main]
+    if template.wording or template.notices:
+        # Where pages are copies, only what stands outside of the article found can be told from it by recurring.
+        kept = [(f, t) for f, t in kept if varies(f, t) or (template.copies and (ends or f.main))] or kept
+    return "\n".join(t for _, t in kept)
 
 
-def main_text(html: str, template: Template) -> str:
-    """The article's blocks, joined by newlines."""
-    wording, slots, menus = template
-    blocks = [
-        (f, t)
-        for f, t, linked in read(html)[1]
-        if not unwanted(f) and not (menus and not f.main and linked >= LINKED * len(t) and slot_of(f, slots) in menus) and not (wording and token_hash(str(f.path), t) in wording)
-    ]
-    if any(f.main for f, _ in blocks):
-        blocks = [(f, t) for f, t in blocks if f.main]
-    return "\n".join(t for _, t in blocks)
-
-
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url, text, n_chars of every page."""
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", names: bool = True) -> DataFrame:
+    """key, url, text, n_chars of every page; ``names``: whether names of structure break ties."""
     source = pages.select(pages[key].cast("long").alias("page"), pages[url].cast("string").alias("url"), urls.host(pages[url]).alias("host"), F.coalesce(pages[html].cast("string"), F.lit("")).alias("html"))
-    template = templates(source)
+    template = templates(source, names=names)
     schema = pa.schema([(key, pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Template] = {}
+        known: dict[int, Template] = {}
         for batch in batches:
             for part in words.slices(batch, name="html"):
                 texts = []
-                for i, (host, html) in enumerate(zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    if host not in known:
+                for i, (site, html) in enumerate(zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    if site not in known:
                         if len(known) == 100:
                             known.clear()
-                        sets = [part.column(j)[i].as_py() for j in (4, 5, 6)]
-                        known[host] = NO_TEMPLATE if sets[1] is None else tuple(map(frozenset, sets))
-                    texts.append(main_text(html, known[host]))
+                        of_host = [part.column(j)[i].as_py() for j in range(4, 10)]
+                        known[site] = Template() if of_host[1] is None else Template(*of_host)
+                    texts.append(main_text(html, known[site], names))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    met = source.join(template, "host", "left").select("page", "url", "html", "host", "wording", "slots", "menus")
+    met = source.withColumn("site", F.when(F.col("host") != "", F.xxhash64("host"))).join(template, "site", "left").select("page", "url", "html", "site", *template.columns[1:])
     return met.mapInArrow(run, f"{key} long, url string, text string, n_chars long")

@@ -427,12 +427,69 @@ def test_template_takes_long_wording_but_no_copied_article(spark):
     assert all(r.text == (f"Own text number {r.page_id}." if r.page_id < 100 else "One page in many copies." if r.page_id > 125 else f"Own {r.page_id}.") for r in got)
 
 
+def template_pages(host: str, n: int) -> list[tuple[int, str, str]]:
+    """Pages in two layouts without a telling name: links, a notice on some pages, an article, remarks, a foot."""
+    out = []
+    for i in range(n):
+        links = "".join(f"<li><a href=/{k}>to {k} {i % 3}</a></li>" for k in range(4))
+        note = "<div class=q2><p>Read what we keep of you.</p></div>" if i % 2 else ""
+        paragraphs = "".join(f"<p>Sentence {i} {k} of an article that goes on for a while.</p>" for k in range(1 + i % 4))
+        body = f"<section class=q3><h1>Title {i}</h1><div class=q4>{paragraphs}</div></section>" if i % 3 else f"<div class=w><div class=q7><h2>Title {i}</h2>{paragraphs}</div></div>"
+        remarks = "".join(f"<div class=q6><b>Someone {i}</b><p>Remark {i} {k}</p></div>" for k in range(i % 3))
+        out.append((i, f"http://{host}/{i}", f"<html><body><ul class=q1>{links}</ul>{note}{body}<div class=q5>{remarks}</div><div class=q8>All rights kept, {i % 2}</div></body></html>"))
+    return out
+
+
+def test_template_alone_finds_the_article(spark):
+    rows = template_pages("h.example", 24)
+    want = {i: "\n".join([f"Title {i}", *(f"Sentence {i} {k} of an article that goes on for a while." for k in range(1 + i % 4))]) for i in range(24)}
+    pages = spark.createDataFrame(rows + rows[3:4] * 30, "page_id long, url string, html string")
+    for names in (True, False):
+        got = templates.extract(pages, names=names).collect()
+        assert len(got) == 54 and {r.page_id: r.text for r in got} == want
+    bare = {i: templates.main_text(h, templates.Template()) for i, _, h in rows}
+    assert all(bare[i] != want[i] for i in want)  # without a template, nothing tells the article from the rest
+
+
+def test_template_classes_against_explicit_vectors(spark):
+    rows = template_pages("h.example", 9) + template_pages("g.example", 2)
+    got = {r.site: r for r in templates.templates(spark.createDataFrame([(i, u, u.split("/")[2], h) for i, u, h in rows], "page long, url string, host string, html string"), names=False).collect()}
+    sites = {r.host: r.site for r in spark.createDataFrame([("h.example",), ("g.example",)], "host string").withColumn("site", F.xxhash64("host")).collect()}
+    for host in sites:
+        htmls = [h for _, u, h in rows if f"/{host}/" in u]
+        count: dict = {}  # token -> its occurrence vector, page by page
+        for p, h in enumerate(htmls):
+            opened, blocks = templates.read(h, names=False)
+            for token in [(0, 0, False), *((f.path, f.up.path, False) for f in opened), *((templates.token_hash(str(f.path), t), f.path, True) for f, t, _ in blocks)]:
+                count.setdefault(token, [0] * len(htmls))[p] += 1
+        pages = {t: sum(map(bool, v)) for t, v in count.items()}
+        valid = {0}
+        while True:
+            grown = {t for t, up, w in count if not w and up in valid and pages[t, up, w] >= 2} - valid
+            if not grown:
+                break
+            valid |= grown
+        tag = {t: v for (t, _, w), v in count.items() if not w}
+        wording = {t for (t, up, w), v in count.items() if w and up in valid and pages[t, up, w] >= 2 and (v == tag[up] or (pages[t, up, w] >= 0.8 * len(htmls) and pages[t, up, w] > 2))}
+        assert set(got[sites[host]].slots) == valid and set(got[sites[host]].wording) == wording and (wording or host[0] == "g")
+
+
+def test_extraction_of_odd_pages(spark):
+    long = "<html><body><article><p>" + "word " * 200_000 + "</p></article>" + "<div>" * 3_000
+    rows = [(1, "http://h.example/1", long), (2, "http://h.example/2", None), (None, None, "<p>Alone &amp; free</p>"), (4, "http://h.example/4", "")]
+    rows += [(5, "http://r.example/5", "<p>x</p>")] * 10
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"site": F.lit("own"), "wording": F.lit(1), "text": F.lit(2)})
+    got = templates.extract(frame).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 12), (1, 999_999), (2, 0), (4, 0)] + [(5, 1)] * 10
+    assert templates.extract(frame.filter("false")).collect() == []
+
+
 def test_extraction_keeps_article_text(spark):
     kept = ["<body class='no-sidebar with-nav'><article>{}</article>", "<div class='page sidebar'><div class=nav><main>{}</main></div></div>", "<main class=with-nav style='overflow:hidden'>{}</main>", "<div class=overflow-hidden>{}</div>", "<div data-note=hidden>{}</div>"]
     gone = ["<div hidden>x</div>", "<div style='color:red; display: none'>x</div>", "<div style=visibility:hidden>x</div>", "<main><div class=comments><article>x</article></div></main>", "<div class=sidebar>x</div>", "<div aria-hidden=true>x</div>"]
     for k, form in enumerate(kept):
-        assert templates.main_text(form.format(f"<p>Text {k}</p>"), templates.NO_TEMPLATE) == f"Text {k}", form
-    assert [templates.main_text(form, templates.NO_TEMPLATE) for form in gone] == [""] * len(gone)
+        assert templates.main_text(form.format(f"<p>Text {k}</p>"), templates.Template()) == f"Text {k}", form
+    assert [templates.main_text(form, templates.Template()) for form in gone] == [""] * len(gone)
     refs = "<ul><li><a href=x>Linked reference {0}</a></li><li>Plain {0}</li></ul>"
     rows = [(i, f"http://h.example/{i}", f"<ul class=m><li><a href=x>menu {i}</a></li></ul><article><p>Own {i}.</p>{refs.format(i)}</article>") for i in range(20)]
     rows += [(i, f"http://g.example/{i}", f"<ul class=m><li><a href=x>menu {i} of many</a></li><li>Note {i}</li></ul><p>Own {i}.</p>") for i in range(20, 40)]
