@@ -529,6 +529,32 @@ def test_neighbours_of_few_rows(spark):
     assert neighbours.nearest(few.filter("false"), query=F.lit(True)).count() == 0
 
 
+def test_neighbours_prune_and_recall(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found, verified = neighbours.searched(rows, k=5, query=F.col("id") % 50 == 0)
+    got = {(r.query_id, r.vec_id) for r in found.collect()}
+    kept = [(r.vec_id, r.embedding) for r in rows.collect() if r.embedding and None not in r.embedding and any(r.embedding)]
+    ids, u = np.array([i for i, _ in kept]), np.array([v for _, v in kept], np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    queries = np.flatnonzero(ids % 50 == 0)
+    want = {(int(ids[q]), int(ids[j])) for q in queries for j in np.argsort(-np.where(ids == ids[q], -9, u @ u[q]))[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+    assert verified.agg(F.sum("verified")).first()[0] <= 0.6 * len(queries) * len(ids)
+
+
+def test_neighbours_of_repeated_and_odd_rows(spark):
+    v = np.random.default_rng(4).standard_normal((40, 8))
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    plain = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, query=F.col("id") % 50 == 0).collect()
+    odd = spark.createDataFrame(rows + rows[:3] * 2 + [(90, [1.0] * 9), (91, [2.0] * 7)], "vec_id long, embedding array<double>").withColumns({"cell": F.lit("own"), "id": F.lit(1), "number": F.lit(2)})
+    got = neighbours.nearest(odd, k=3, query=F.col("id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and len(plain) == 3
+    exact = sorted(((-float(r @ v[0] / np.linalg.norm(r) / np.linalg.norm(v[0])), i) for i, r in enumerate(v) if i))[:3]
+    assert [(r.vec_id, round(r.score, 12)) for r in sorted(plain, key=lambda r: r["rank"])] == [(i, round(-s, 12)) for s, i in exact]
+    two = neighbours.nearest(odd.unionByName(odd.filter("vec_id = 5").selectExpr("0L as vec_id", "embedding", "cell", "id", "number")), k=3, query=F.col("id") == 0).collect()
+    assert sorted(r["rank"] for r in two) == [1, 1, 2, 2, 3, 3] and all(r.vec_id != 0 for r in two)  # two vectors under one key: each is answered
+
+
 def test_chi_square_quantile():
     assert math.isclose(neighbours.chi_square_quantile(0.95, 8), 15.507, abs_tol=1e-3) and math.isclose(neighbours.chi_square_quantile(0.99, 2), 9.210, abs_tol=1e-3)
 
