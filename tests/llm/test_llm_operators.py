@@ -288,13 +288,79 @@ def test_toxicity_learns_from_two_thirds(spark):
 
 def test_clause_machine():
     g = toxicity.Grammar({"idiot": 2.0})
-    run = lambda t: toxicity.matches(t, toxicity.Labels(g))
+    run = lambda t: toxicity.matches(t, toxicity.Entries(g))
     assert run("a fine day") is None and run(None) is None and run("") is None
     assert run("what an idiot")[0] == 2 and run("you are an idiot")[1] == 2
     assert run("he is not an idiot")[2] == 2 and run("she said he is an idiot")[3] == 2
     assert run("not now. idiot")[0] == 2 and run("i will kill you")[4] == 1 and run("i will kill time")[4] == 0
 
 
+def spelled_out(symbols: list[str]) -> list[str]:
+    """The classes of one clause's matches, by plain rules over its whole sequence of symbols."""
+    out = []
+    for i, x in enumerate(symbols):
+        negated = "negation" in symbols[max(0, i - toxicity.REACH) : i]
+        reported, aimed = "report" in symbols[:i], "target" in symbols
+        if x == "insult":
+            out.append("negated" if negated else "reported" if reported else "aimed" if aimed else "plain")
+        elif x == "threat" and aimed and not negated and not reported:
+            out.append("threat")
+    return out
+
+
+def test_composed_grammar_against_plain_rules():
+    rng = random.Random(3)
+    kinds = ["none", "none", "insult", "threat", "target", "negation", "report"]
+    for _ in range(3_000):
+        symbols = rng.choices(kinds, k=rng.randint(0, 9))
+        path = toxicity.CLAUSE.best([[(x, 1.0)] for x in symbols])
+        assert len(path) == len(symbols) and [out for out, _ in path if out != "none"] == spelled_out(symbols), symbols
+    # Of two readings of a word the one on the better path counts.
+    both = toxicity.CLAUSE.best([[("target", 2.0), ("negation", 1.0)], [("insult", 1.0)]])
+    assert both == [("none", 2.0), ("aimed", 1.0)]
+
+
+def test_composition_is_running_one_after_the_other():
+    a, b = toxicity.negating(), toxicity.reporting()
+    rng = random.Random(4)
+    for _ in range(500):
+        symbols = rng.choices(["none", "insult", "threat", "target", "negation", "report"], k=rng.randint(1, 8))
+        middle = [out for out, _ in a.best([[(x, 0.0)] for x in symbols])]
+        assert [out for out, _ in a.then(b).best([[(x, 0.0)] for x in symbols])] == [out for out, _ in b.best([[(x, 0.0)] for x in middle])]
+
+
+def test_clause_classes_decide_on_held_out_texts(spark):
+    rng = random.Random(11)
+    filler = [a + b + c for a in "ba ko mi tu re lo".split() for b in "nd st rm lv qu".split() for c in "a e i o u ai oa ue".split()]
+    insults, say = ["grobnik", "dulsome", "vastard"], lambda k: " ".join(rng.choices(filler, k=k))
+    rows, labels = [], []
+    for i in range(2_400):
+        bad = rng.choice(insults)
+        if i % 10 < 2:
+            text, toxic = f"{say(9)} {bad} {say(3)}.", 1
+        elif i % 10 == 2:
+            text, toxic = f"{say(4)} zorp you {say(2)}.", 1  # a threat that no list holds
+        elif i % 60 in (3, 43):
+            text, toxic = (f"{say(5)} nix {say(1)} {bad} {say(2)}." if i % 60 == 3 else f"{say(2)} quoth {say(5)} {bad}."), 0
+        elif i % 10 == 4:
+            text, toxic = f"{say(4)} zorp {say(3)}. you {say(3)}.", 0
+        else:
+            text, toxic = f"{say(12)}.", 0
+        rows.append((i, f"{say(8)}. {text} {say(8)}."))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    right = {}
+    for by_clause in (True, False):
+        grammar = toxicity.train(docs, marks, by_clause=by_clause)
+        got = toxicity.score(docs, grammar).withColumn("out", toxicity.held_out("doc_id")).filter("out").collect()
+        right[by_clause] = {r.doc_id for r in got if (r.score >= 0.7) == bool(labels[r.doc_id][1])}
+        if by_clause:
+            assert "zorp" in grammar.others["threat"] and "nix" in grammar.others["negation"] and "quoth" in grammar.others["report"]
+            assert len(right[True]) >= 0.99 * len(got)
+    changed = right[True] - right[False]
+    assert {i % 10 for i in changed} >= {2, 3} and len(changed) >= 0.05 * len(got) and not right[False] - right[True]
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     none = spark.createDataFrame([(1, 1, None), (None, 0, 1), (77, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score(odd, toxicity.train(odd, none)).collect()
