@@ -18,11 +18,14 @@ Copies: documents with equal sets form a class (a digest of the sorted set); onl
 bucket of one signature, members meet its smallest member first. Members that this leaves in different components
 then meet all others of their bucket in other components; exact bounds by size and by a
 parity sketch go before the sets are compared. Pairs inside one component are never listed, so a bucket of thousands of near copies
-costs a row each. No cap is set anywhere.
+costs a row each. In a bucket of more than ``WIDE`` members, as one frequent passage may make it, members must share a signature
+of a second, independent split as well, as similar sets do; so dissimilar ones are never paired. No cap is set anywhere.
+Buckets are found by partial aggregation and a join back, which adaptive execution splits where a signature has many signers.
 
 Defined cases: a null text or one without words has an empty set, links with nothing and is its own component; a text
 of fewer than n words has one shingle, its whole sequence; equal rows share a component, whose id is the smallest key;
-keys must be unique; other columns, whatever their names, are ignored; an empty table gives no rows.
+rows with a null key, or several under one key, are documents of their own, and a component without a key has a null id; other
+columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,17 +36,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import dropped, joined_by_id, written
+from .shared import BROADCAST_IDS, dropped, joined_by_id, written
 
 LANES = 8  # 64-bit words of a parity sketch
 BAND = 1.25  # ratio of a band's bounds
 REMEMBERED = 200_000  # set digests a task knows it has signed already
-SEEDS = np.arange(1, 6, dtype=np.uint64) * np.uint64(0x51ED270B3A4F9C17)
+WIDE = 256  # members of a bucket from which on they meet by a second signature too
+SEEDS = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x51ED270B3A4F9C17)
 
 
 def sets_of(part: pa.RecordBatch, n: int, text: str) -> Iterator[np.ndarray]:
@@ -75,9 +79,9 @@ def depth_of(size: int) -> int:
     return -1 if size >= 400 else 1 if size >= 150 else 3
 
 
-def _signed_under(elements: np.ndarray, tag: int, parts: int, level: int, depth: int, prefix: np.uint64) -> list[np.ndarray]:
+def _signed_under(elements: np.ndarray, tag: int, parts: int, level: int, depth: int, prefix: np.uint64, split: int) -> list[np.ndarray]:
     """Signatures under the split of one level; empty ones go on to the next level, under their own prefix."""
-    mixed = words.mix(elements ^ SEEDS[level])
+    mixed = words.mix(elements ^ SEEDS[split + level])
     cell = ((mixed >> np.uint64(32)) * np.uint64(3 * parts) >> np.uint64(32)).astype(np.int64)
     sums = np.zeros(3 * parts, np.uint64)
     np.add.at(sums, cell, words.mix(elements))
@@ -94,12 +98,12 @@ def _signed_under(elements: np.ndarray, tag: int, parts: int, level: int, depth:
         out.append(found[~empty])
         if depth > level:
             for inner in found[empty]:
-                out += _signed_under(elements, tag, parts, level + 1, depth, inner)
+                out += _signed_under(elements, tag, parts, level + 1, depth, inner, split)
     return out
 
 
-def signatures(elements: np.ndarray, percent: int, low: list[int]) -> np.ndarray:
-    """All signatures of one set; sets too small to differ have none (equal sets are found by their digest)."""
+def signatures(elements: np.ndarray, percent: int, low: list[int], split: int = 0) -> np.ndarray:
+    """All signatures of one set under one of two independent splits (0 or 4); sets too small to differ have none (equal sets are found by their digest)."""
     size = len(elements)
     band = int(np.searchsorted(low, size, side="right")) - 1
     if band < 0:
@@ -109,7 +113,7 @@ def signatures(elements: np.ndarray, percent: int, low: list[int]) -> np.ndarray
     out: list[np.ndarray] = []
     for tag, top in tags:
         parts = most_different(top, percent) // 2 + 1
-        out += _signed_under(elements, tag, parts, 0, depth_of(top), np.uint64(0))
+        out += _signed_under(elements, tag, parts, 0, depth_of(top), np.uint64(0), split)
     return np.concatenate(out)
 
 
@@ -203,33 +207,75 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _second(sets: DataFrame, percent: int) -> DataFrame:
+    """id, second: the signatures of every set under the second split."""
+    schema = pa.schema([("id", pa.int64()), ("second", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = bands(percent, 1 << 40)
+        for batch in batches:
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = signatures(np.frombuffer(packed, np.uint64), percent, low, 4).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int64)), pa.array(found)], schema=schema)
+
+    return sets.select("id", "elements").mapInArrow(run, "id long, second long")
+
+
 def _crossing(buckets: DataFrame, sets: DataFrame, found: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket in different components, not in ``tested``, whose sketches allow a link. The bounds stand in the join's condition, so pairs that they refute are never rows."""
     placed = buckets.select("sig", "id").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("sig")
-    placed = placed.join(split, "sig").join(sets.drop("elements"), "id")
-    one, two = (placed.select("sig", *(F.col(c).alias(f"{c}_{side}") for c in placed.columns if c != "sig")) for side in "ab")
+
+    def split(members: DataFrame) -> DataFrame:
+        return members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).filter("least < most").select("sig", "members")
+
+    placed = written(placed.join(split(placed), "sig"), "placed")
+    wide = placed.filter(F.col("members") > WIDE)
+    narrow = placed.filter(F.col("members") <= WIDE)
+    if not wide.isEmpty():
+        of_wide = _second(sets.join(wide.select("id").distinct(), "id", "left_semi"), percent)
+        both = written(wide.join(of_wide, "id").select(F.xxhash64("sig", "second").alias("sig"), "id", "component"), "both")
+        narrow = narrow.unionByName(both.join(split(both), "sig").select("sig", "id", "component", "members"))
+    members = narrow.drop("members").join(sets.drop("elements"), "id")
+    one, two = (members.select("sig", *(F.col(c).alias(f"{c}_{side}") for c in members.columns if c != "sig")) for side in "ab")
     apart = " + ".join(f"bit_count(p{k}_a ^ p{k}_b)" for k in range(LANES))
     near = f"id_a < id_b and component_a <> component_b and {100 + percent} * ({apart}) <= {100 - percent} * (size_a + size_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
     one, two = one.alias("one"), two.alias("two")
     pairs = one.join(two, F.expr(f"one.sig = two.sig and {near}"))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    out = written(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+    dropped(placed)
+    return out
 
 
 def join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, class_id (smallest key with the same set), component_id (smallest key reachable by links)."""
     docs = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("text"))
+    if docs.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+        return _joined(docs, n, percent).withColumnRenamed("id", key)
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    linked = _joined(rows.select(F.col("row").alias("id"), "text"), n, percent).withColumnRenamed("id", "row").join(rows.select("row", "id"), "row")
+    for c in ("class_id", "component_id"):
+        linked = linked.join(linked.groupBy(F.col(c).alias(f"of_{c}")).agg(F.min("id").alias(f"key_{c}")), F.col(c) == F.col(f"of_{c}"))
+    return linked.select(F.col("id").alias(key), "n_shingles", F.col("key_class_id").alias("class_id"), F.col("key_component_id").alias("component_id"))
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """id, n_shingles, class_id, component_id of (id, text) with ids that differ."""
     shape = written(_digests(docs, n), "shape")
     classes = shape.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
     of = written(shape.join(classes, "digest", "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")), "classes")
     dropped(shape)
-    # Buckets with at least two classes; a signer stands for all documents with its set.
-    whole = Window.partitionBy("sig")
+    # Only representatives sign. Beyond the bound copies may sign too, which changes nothing as signers stand for their class.
+    copies = of.filter("id <> class").select("id")
+    signing = docs.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= BROADCAST_IDS else docs
+    signed = written(_signed(signing, n, percent), "signed")
     # Signatures with the same signers make the same pairs, so a bucket is named by its signers and kept once.
-    marked = {"low": F.min("id").over(whole), "high": F.max("id").over(whole), "bucket": F.bit_xor(F.xxhash64("id")).over(whole)}
-    raw = written(_signed(docs, n, percent).withColumns(marked).filter("low < high").select(F.col("bucket").alias("sig"), "id").distinct(), "raw")
+    shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("bucket")).filter("low < high").select("sig", "bucket")
+    raw = written(signed.join(shared, "sig").select(F.col("bucket").alias("sig"), "id").distinct(), "raw")
+    dropped(signed)
+    # Buckets with at least two classes.
     named = raw.join(of, "id").select("sig", F.col("class").alias("id")).distinct()
-    buckets = written(named.withColumns({"hub": F.min("id").over(whole), "high": F.max("id").over(whole)}).filter("hub < high").select("sig", "id", "hub"), "buckets")
+    hubs = named.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("high")).filter("hub < high").select("sig", "hub")
+    buckets = written(named.join(hubs, "sig"), "buckets")
     dropped(raw)
     # Only members of such buckets can have links: their texts are read again for their sets.
     sets = written(_sets(joined_by_id(docs, buckets.select("id").distinct(), "id", "left_semi"), n), "sets")
@@ -237,11 +283,12 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id",
     first = written(buckets.filter("id > hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "first")
     edges = written(_verified(first, sets, percent), "edges")
     found = written(components(edges), "found")
-    rest = written(_crossing(buckets, sets, found, first, percent), "rest")
+    rest = _crossing(buckets, sets, found, first, percent)
     more = written(_verified(rest, sets, percent), "more")
     if not more.isEmpty():
-        found = written(components(edges.unionByName(more)), "found")
-    for table in (buckets, sets, first, rest):
+        before, found = found, written(components(edges.unionByName(more)), "found")
+        dropped(before)
+    for table in (buckets, sets, first, rest, edges, more):
         dropped(table)
     top = found.withColumnRenamed("id", "class")
-    return of.join(top, "class", "left").select(F.col("id").alias(key), "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))
+    return of.join(top, "class", "left").select("id", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id"))

@@ -2,13 +2,15 @@
 
 Every task packs the documents it reads, in bounded batches, so nothing is shuffled and no group meets in one place:
 
-* a document's full windows are sequences of their own; the rest is cut into pieces of at most ``piece`` tokens;
+* a document's full windows are sequences of their own (nothing is left to balance there); the rest is cut into pieces of at most ``piece`` tokens;
 * a batch of pieces is dealt to k windows. Each piece starts as a partial partition (its size and k - 1 zeros). The
   two partial partitions with the largest spreads are merged again and again, the largest window of one on the
   smallest of the other, so that imbalances cancel. If the fullest window exceeds the capacity, k rises and the
   batch is dealt again;
 * what a batch holds beyond k windows (less than one window plus the slack) is cut into sequences of a power of two,
-  which need no padding. A task's last batch is small, so its pieces are cut to a quarter.
+  which need no padding, down to one token. A task's last batch is small, so its pieces are cut to a quarter. A task that
+  has less than one window of such rests has no window to balance: all of it goes this way. At 1,000 documents about a third
+  of the tokens are in full windows.
 
 A row is a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. sequence_id joins the number of the
 task's partition and a running number; a task that runs again gives the same ids.

@@ -151,8 +151,9 @@ def of_kind(kind: str) -> Callable[[Column], Column]:
 
 
 def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans (as text) of every document."""
+    """key, counts by kind and n_spans of all, base_sha256, spans (as text) and their scores of every document."""
     got = with_spans(docs.select(docs[key].alias(key), docs[text].alias("text"))).select(key, "spans")
     base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
     counts = [F.size(F.filter("spans", of_kind(k))).cast("bigint").alias(f"n_{k}") for k in LISTED]
-    return got.select(F.col(key), *counts, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores")
+    return got.select(F.col(key), *counts, F.size("spans").cast("bigint").alias("n_spans"), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), scores)

@@ -1,43 +1,26 @@
-"""Scratch tables in the folder that all executors share."""
+"""Joins with counted ids, and columns out of the way."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernwood.sources.scratch import dropped, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, as in tests, a temporary folder of this machine is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lost executors lose none of it, and its plan is cut."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that nothing needs any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
+__all__ = ["BROADCAST_IDS", "dropped", "joined_by_id", "sheltered", "written"]
 
 #: Rows of one 64-bit id that are sent to all executors at most, about 32 MB as a hash table.
 BROADCAST_IDS = 1_000_000
 
 
 def joined_by_id(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """A semi or anti join of wide rows with a table of ids: up to ``BROADCAST_IDS`` ids, which are counted, go to the rows; more meet them in a shuffle."""
+    """A join of wide rows with a table of ids: up to ``BROADCAST_IDS`` ids, which are counted, go to the rows; more meet them in a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
+def sheltered(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``used`` under reserved names, and the way back to the names and order of ``df``: so no column of a user can clash with one of an operator."""
+    names = [c if c in used else f"sheltered__{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*names).toDF(*df.columns)

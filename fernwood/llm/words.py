@@ -108,13 +108,16 @@ def appended(docs: DataFrame, fields: dict[str, str], make: Callable[[], Callabl
     ``carry``: the columns that stay (all of them if None); one named like a new column gives way to it.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c not in fields]
-    source = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("_text"))
+    own = "_text"
+    while own in keep:
+        own += "_"
+    source = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias(own))
     schema = StructType([*source.schema.fields[:-1], *(StructField(k, TYPES[v]) for k, v in fields.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for part in slices(batch, name="_text"):
+            for part in slices(batch, name=own):
                 columns = [part.column(i) for i in range(len(keep))] + compute(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *fields])
 

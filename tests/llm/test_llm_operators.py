@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import itertools
 import math
 import random
@@ -95,6 +96,28 @@ def test_similar_sets_share_a_signature():
                     assert set(ngram_join.signatures(a, percent, low)) & set(ngram_join.signatures(b, percent, low)) or not ngram_join.most_different(min(len(a), len(b)), percent)
 
 
+@pytest.mark.parametrize("passage", [12, 40])
+def test_join_of_wide_buckets(spark, monkeypatch, passage):
+    """Many unlike texts with one passage: they share signatures, meet by a second one, and lose no link."""
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
+    rng = random.Random(passage)
+    common = " ".join(f"common{k}" for k in range(passage))
+    rows = []
+    for i in range(150):
+        own = [f"w{rng.randrange(40)}" for _ in range(rng.randint(3, 12))]
+        rows.append((i, f"{common} {' '.join(own)}"))
+    want = brute_components(rows, 2, 80)
+    got = ngram_join.join(spark.createDataFrame(rows, DOCS), n=2, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_join_of_repeated_keys(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(7, text), (7, "something else"), (7, text), (4, text + " more"), (None, text), (None, "alone"), (9, "something else")]
+    got = Counter((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, DOCS), n=3, percent=90).collect())
+    assert got == Counter({(7, 38, 7, 4): 2, (4, 39, 4, 4): 1, (None, 38, 7, 4): 1, (7, 1, 7, 7): 1, (9, 1, 7, 7): 1, (None, 1, None, None): 1})
+
+
 def test_join_of_odd_rows(spark, odd):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(odd, n=3, percent=90).collect()}
     assert got[1] == got[1][:1] + (1,) and got[1][0] == got[2][0] == got[3][0] == 0 and got[4] == (1, 4)
@@ -222,6 +245,25 @@ def test_quality_counts(spark, docs, odd):
     assert repetition.judge(odd).columns.count("kept") == 1 and repetition.judge(odd.filter("false")).count() == 0
 
 
+def test_longest_repeat_and_verdict(spark):
+    """The rule that the operator adds, against a search of all pairs of positions."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = [f"u{i}_{k}" for k in range(rng.choice([30, 120, 400]))]
+        cut = rng.choice([0, 5, 9, 30, 41, 60])
+        rows.append((i, " ".join(text + ["mid"] + text[3 : 3 + cut])))
+    for r in repetition.judge(spark.createDataFrame(rows, DOCS)).collect():
+        w = split(rows[r.doc_id][1])
+        long = 0
+        for a, b in itertools.combinations(range(len(w)), 2):
+            if w[a] == w[b]:
+                n = next((n for n in range(len(w) - b) if w[a + n] != w[b + n]), len(w) - b)
+                long = max(long, n)
+        failed = brute_quality(rows[r.doc_id][1])[5]
+        assert r.longest_repeat == long and r.kept == (not failed and not (long > 40 and 100 * long > 15 * len(w)))
+
+
 # --- personal data -----------------------------------------------------------------------------------------------
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -403,6 +445,22 @@ def test_importance_weights_equal_plain_counting(spark):
     assert [len(grams(t)) for _, t in rows] == [3, 5, 0, 1]
 
 
+def test_importance_weights_equal_counting_words(spark):
+    """Without the operator's buckets: n-grams as strings; so few of them share no bucket."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices("red green blue Tall small".split(), k=12))) for i in range(30)]
+    good = set(range(0, 30, 4))
+    grams = {i: [*(w := lower(t).split()), *zip(w, w[1:], strict=False)] for i, t in rows}
+    raw, target = Counter(g for v in grams.values() for g in v), Counter(g for i in good for g in grams[i])
+    total, wanted = (sum(c.values()) + importance.BUCKETS for c in (raw, target))
+    got = {r.doc_id: r for r in importance.resample(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    for i, _ in rows:
+        want = sum(math.log((target[g] + 1) / wanted) - math.log((raw[g] + 1) / total) for g in grams[i])
+        assert got[i].n_grams == 23 and math.isclose(got[i].log_weight, want, abs_tol=1e-9)
+    noise = np.array([r.gumbel_key - r.log_weight for r in importance.resample(spark.range(20_000).selectExpr("id as doc_id", "'' as text"), spark.createDataFrame([], "doc_id long")).collect()])
+    assert abs(noise.mean() - 0.5772) < 0.03 and abs(noise.var() - math.pi**2 / 6) < 0.06  # a standard Gumbel variable
+
+
 def test_kth_largest_with_ties(spark, monkeypatch):
     monkeypatch.setattr(importance, "FEW", 5)
     values = [(float(i // 3), i) for i in range(60)]
@@ -437,6 +495,16 @@ def test_url_rules(spark):
     assert urls.judge(pages.filter("false"), rules).count() == 0 and {r.verdict for r in urls.judge(pages, rules.filter("false")).collect()} == {"allow"}
 
 
+def test_long_urls_and_many_rules(spark, monkeypatch):
+    rules = [("com/", "allow"), ("b.com/x/y/z", "block"), *((f"h{i}.net/p/", "block") for i in range(300))]
+    long = ["http://" + "a." * 100_000 + "b.com/x/y/zz" + "/k" * 100_000, "http://h7.net/p" + "/" * 100_000, "http://h7.net/q" + "/" * 100_000]
+    pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate([*long, None, "http://h299.net/p/", "x", None])], "page_id long, url string, best string")
+    for bound in (200_000, 10):
+        monkeypatch.setattr(urls, "BROADCAST_RULES", bound)
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, spark.createDataFrame(rules, "rule string, verdict string")).collect()}
+        assert got == {0: ("b.com/x/y/z", "block"), 1: ("h7.net/p/", "block"), 2: (None, "allow"), 4: ("h299.net/p/", "block"), 3: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
+
+
 def test_url_query_equals_sql(spark, sf_dir):
     from compare import differences
 
@@ -657,7 +725,27 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
             assert {r.doc_id: r.n_chars for r in own.collect()} == {k: len(t) for k, t in now.items()}
     final = pipeline.STAGES[-1][1](spark, own, sf_dir).collect()
     assert packed_well(final, {r.doc_id: r.text for r in own.collect()}) < 0.01
-    assert Counter(tuple(r)[:5] for r in pipeline.run(spark, sf_dir).collect()).keys() >= set()
+    assert Counter(tuple(r)[:5] for r in pipeline.run(spark, sf_dir).collect()) == Counter(tuple(r)[:5] for r in final)
+
+
+def test_pipeline_leaves_other_columns_alone(spark, sf_dir):
+    import corpus_pipeline as pipeline
+
+    clashing = ["score", "n_words", "kept", "spans", "_text", "_row", "id", "place", "component_id", "sheltered", "_pii_ip", "base_failed", "hash", "longest_repeat", "key"]
+    words_of = "every good article has words of its own that tell what no other article told before in quite this way or order".split()
+    rows = [(i, " ".join(random.Random(i).sample(words_of, 22)) + f" mail a{i}@b.org") for i in range(12)]
+    rows += [(None, None), (None, " ".join(words_of)), (3, rows[3][1]), (40, ""), (41, rows[5][1])]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id"), F.lit(-1))) for c in clashing}).select(*clashing[:7], "doc_id", *clashing[7:], "text")
+    assert "n_chars" not in docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        docs, before = pipeline.written(stage(spark, docs, sf_dir), name), docs
+        assert docs.dtypes == before.dtypes
+        assert all(r[c] == f"{c} of {-1 if r.doc_id is None else r.doc_id}" for r in docs.collect() for c in clashing)
+    left = docs.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left) == [*((False, i) for i in range(12)), (True, 0)]
+    assert all(r.doc_id is None or r.text.endswith("mail <EMAIL>") for r in left)
+    packed = pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sum(r.length for r in packed) > 100
 
 
 def test_pipeline_of_an_empty_table(spark, sf_dir):
@@ -681,6 +769,36 @@ def test_pipeline_keeps_one_of_repeated_and_null_ids(spark):
     assert {(3, a), (9, b), (None, c), (8, rows[11][1]), (8, rows[12][1])} < set(left) and left.count((None, None)) == 2 and sum(i == 5 for i, _ in left) == 1
 
 
+def test_registered_queries(spark, sf_dir):
+    """Every registered query over its whole table, against the plain versions."""
+    import __spark_entry__ as driver
+
+    names = {int(n[2:].split("_")[0]): q for n, q in driver.queries().items() if n.startswith("op") and n[2].isdigit()}
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+    texts, pages = {r.doc_id: r.text for r in table("documents")}, {r.page_id: r for r in table("pages")}
+    got = {n: names[n](spark, sf_dir).collect() for n in names}
+    for n in (1, 3, 6, 7, 8, 10):
+        assert sorted(r.doc_id for r in got[n]) == sorted(texts), n
+    assert sum(r.kept for r in got[1]) == int(0.85 * len(texts))
+    assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(texts[r.doc_id]) for r in got[3])
+    assert {r.page_id: r.url for r in got[4]} == {i: p.url for i, p in pages.items()} and all(r.n_chars == len(r.text) for r in got[4])
+    for r in got[4]:
+        body = re.search(r"(?s)<article>(.*)</article>", pages[r.page_id].html or "")
+        if body:  # words of the article, markup aside
+            plain = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ", body[1])
+            assert set(r.text.split()) <= set(html.unescape(plain).split()) | {""}
+    vectors = [(r.vec_id, np.array(r.embedding, float)) for r in table("embeddings") if r.embedding]
+    asked = {i for i, v in vectors if i % 50 == 0}
+    assert Counter(r.query_id for r in got[5]) == dict.fromkeys(asked, 5)
+    by_id = dict(vectors)
+    assert all(math.isclose(r.score, by_id[r.query_id] @ by_id[r.vec_id] / np.linalg.norm(by_id[r.query_id]) / np.linalg.norm(by_id[r.vec_id]), abs_tol=1e-9) for r in got[5])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got[7]} == brute_components(list(texts.items()), 3, 90)
+    lib = Tokenizer.from_file(VOCAB)
+    assert all(r.n_tokens == len(lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids) for r in got[8])
+    assert packed_well(got[9], texts) < 0.01
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in got[10])
+
+
 def test_entry_registers_every_operator():
     import __spark_entry__ as driver
 
