@@ -18,7 +18,7 @@ Copies: documents with equal sets form a class (a digest of the sorted set); onl
 bucket of one signature, members meet its smallest member first. Members that this leaves in different components
 then meet all others of their bucket in other components; exact bounds by size and by a
 parity sketch go before the sets are compared. Pairs inside one component are never listed, so a bucket of thousands of near copies
-costs a row each. In a bucket of more than ``WIDE`` members, as one frequent passage may make it, members must share a signature
+costs a row each. In a bucket of thousands of unlike members (``WIDE``), as one frequent passage may make it, members must share a signature
 of a second, independent split as well, as similar sets do; so dissimilar ones are never paired. No cap is set anywhere.
 Buckets are found by partial aggregation and a join back, which adaptive execution splits where a signature has many signers.
 
@@ -46,7 +46,7 @@ from .shared import BROADCAST_IDS, dropped, joined_by_id, written
 LANES = 8  # 64-bit words of a parity sketch
 BAND = 1.25  # ratio of a band's bounds
 REMEMBERED = 200_000  # set digests a task knows it has signed already
-WIDE = 256  # members of a bucket from which on they meet by a second signature too
+WIDE = 4_096  # members of other components in a bucket, in the mean of its members, from which on they meet by a second signature too
 SEEDS = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x51ED270B3A4F9C17)
 
 
@@ -226,16 +226,17 @@ def _crossing(buckets: DataFrame, sets: DataFrame, found: DataFrame, tested: Dat
     placed = buckets.select("sig", "id").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
 
     def split(members: DataFrame) -> DataFrame:
-        return members.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")).filter("least < most").select("sig", "members")
+        """sig, partners: how many members of other components a member has in the mean."""
+        sizes = members.groupBy("sig", "component").agg(F.count("*").cast("double").alias("n"))
+        return sizes.groupBy("sig").agg((F.sum("n") - F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("partners")).filter("partners > 0")
 
     placed = written(placed.join(split(placed), "sig"), "placed")
-    wide = placed.filter(F.col("members") > WIDE)
-    narrow = placed.filter(F.col("members") <= WIDE)
+    wide, narrow = placed.filter(F.col("partners") > WIDE), placed.filter(F.col("partners") <= WIDE)
     if not wide.isEmpty():
         of_wide = _second(sets.join(wide.select("id").distinct(), "id", "left_semi"), percent)
         both = written(wide.join(of_wide, "id").select(F.xxhash64("sig", "second").alias("sig"), "id", "component"), "both")
-        narrow = narrow.unionByName(both.join(split(both), "sig").select("sig", "id", "component", "members"))
-    members = narrow.drop("members").join(sets.drop("elements"), "id")
+        narrow = narrow.unionByName(both.join(split(both), "sig").select("sig", "id", "component", "partners"))
+    members = narrow.drop("partners").join(sets.drop("elements"), "id")
     one, two = (members.select("sig", *(F.col(c).alias(f"{c}_{side}") for c in members.columns if c != "sig")) for side in "ab")
     apart = " + ".join(f"bit_count(p{k}_a ^ p{k}_b)" for k in range(LANES))
     near = f"id_a < id_b and component_a <> component_b and {100 + percent} * ({apart}) <= {100 - percent} * (size_a + size_b) and 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)"
