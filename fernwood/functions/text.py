@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,6 @@ ARTICLE_KINDS = [
     ("case_report", "case report"), ("editorial", "editorial"), ("letter", "letter to|letter:"), ("guideline", "guideline|consensus"), ("preprint", "preprint|biorxiv|medrxiv"),
 ]
 #: Words that say nothing about a title.
-STOP_WORDS = "the a an of and or in on at to for with by from as is are was were be been being via using".split()
 
 
 def tokens(text: Column) -> Column:
@@ -78,19 +79,65 @@ def web_identifier(url: Column) -> Column:
     return F.when(ok, F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.when(path == "", "/").otherwise(path), rest))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def snippet(text: Column, keywords: list[str], target: int = 50) -> Column:
-    """(text, source): the first sentence if its length suits, else a window around the first keyword, else the head up to a word's end."""
-    near = target + 15
-    sentence = F.trim(F.regexp_extract(text, rf"(?s)^(.{{10,{near}}}?[.!?])(?:[ \n\t]|$)", 1))
-    low = F.lower(text)
-    at = [F.instr(low, F.lit(k.lower())) for k in keywords]
-    first = F.coalesce(*[F.when(a > 0, a) for a in at]) if at else F.lit(None).cast("int")
-    begin = F.greatest(first - target // 2, F.lit(1))
-    window = F.trim(text.substr(begin, F.lit(target)))
-    inner = F.concat(F.when(begin > 1, F.concat(F.lit("..."), F.regexp_replace(window, r"^\S*\s+", ""))).otherwise(window), F.when(begin + target <= F.length(text), "...").otherwise(""))
-    head = F.when(F.length(text) <= target, text).otherwise(F.concat(F.regexp_replace(text.substr(F.lit(1), F.lit(target)), r"[\s,;:-]*\s\S*$", ""), F.lit("...")))
-    fits = F.length(sentence).between(20, near)
-    return F.struct(
-        F.when(fits, sentence).when(first.isNotNull(), inner).otherwise(head).alias("snippet"),
-        F.when(fits, "first_sentence").when(first.isNotNull(), "keyword_window").otherwise("fallback_short").alias("source"),
-    )
+    """(snippet, source): the first sentence if its length suits, else a window around the first keyword, else the head up to a word's end.
+
+    A sentence ends at a mark before white space, or at a line's end, not among the first ten characters; the last end
+    up to ten characters beyond ``target`` counts. Cuts fall on an end or a blank near ``target``.
+    """
+    end = r"(?:[.!?](?=[ \n\t]|\z)|\n(?=.))"
+    cap, most, low, high = target + 10, target + 15, target - 10, target + 10
+    none = F.lit("")
+    near = F.regexp_extract(text, rf"(?s)\A(.{{10,{cap - 1}}}{end})", 1)
+    later = F.regexp_extract(text, rf"(?s)\A(.{{{cap},{2 * most}}}?{end})", 1)
+    endless = ~F.rlike(text, F.lit(rf"(?s)\A.{{10}}.*?{end}"))
+    first = stripped(F.when(near != none, near).when(endless, text).otherwise(later))
+
+    def tidy(x: Column) -> Column:
+        return stripped(F.regexp_replace(x, "[,;:-]+$", ""))
+
+    def trimmed(x: Column) -> Column:
+        at_mark, at_line, at_blank = (F.regexp_extract(x, p, 1) for p in (rf"(?s)\A(.{{{target},{high - 1}}}?[.!?]) ", rf"(?s)\A(.{{{low + 1},{target - 1}}})\n", rf"(?s)\A(.{{{low},{high - 1}}}) "))
+        hard = F.concat(tidy(x.substr(F.lit(1), F.lit(target))), F.lit("..."))
+        cut = F.when(F.length(x) <= target + 5, x).when(at_mark != none, stripped(at_mark)).when(at_line != none, stripped(at_line)).when(at_blank != none, tidy(at_blank)).otherwise(hard)
+        return F.when(F.length(x).between(20, most), cut)
+
+    def shortened(size: int) -> Callable[[Column], Column]:
+        return lambda at: around(at, F.greatest(at - half, F.lit(0)), F.least(at + size + half, F.length(text)))
+
+    def around(at: Column, start: Column, stop: Column) -> Column:
+        def tail(window: Column) -> Column:
+            last = F.length(window) - F.instr(F.reverse(window), " ")
+            some = (F.instr(window, " ") > 0) & (last > 0) & (last < F.length(window) - 3)
+            return F.when((stop < F.length(text)) & some, F.concat(window.substr(F.lit(1), last), F.lit("..."))).otherwise(window)
+
+        def begun(window: Column) -> Column:
+            blank = F.instr(window, " ") - 1
+            return F.when((start > 0) & (blank > 0) & (blank < F.length(window) - 5), F.concat(F.lit("..."), window.substr(blank + 2, F.length(window)))).otherwise(window)
+
+        return F.when(at >= 0, bound(bound(stripped(text.substr(start + 1, stop - start)), begun), tail))
+
+    lower, half = F.lower(text), target // 2
+    windows = [bound(F.instr(lower, F.lit(k.lower())) - 1, shortened(len(k))) for k in keywords if k]
+    window = F.coalesce(*windows) if windows else F.lit(None).cast("string")
+    head = F.regexp_extract(text, rf"(?s)\A(.{{{low},{target + 4}}}) ", 1)
+    fallback = F.when(F.length(text) <= target, text).otherwise(F.concat(tidy(F.when(head != none, head).otherwise(text.substr(F.lit(1), F.lit(target)))), F.lit("...")))
+    empty = F.coalesce(text, none) == none
+
+    def chosen(sentence: Column) -> Column:
+        def told(x: Column) -> Column:
+            source = F.when(empty, "fallback_short").when(sentence.isNotNull(), "first_sentence").when(x.isNotNull(), "keyword_window").otherwise("fallback_short")
+            return F.struct(F.when(empty, none).otherwise(F.coalesce(sentence, x, fallback)).alias("snippet"), source.alias("source"))
+
+        return bound(F.when(sentence.isNull(), window), told)
+
+    return bound(bound(first, trimmed), chosen)

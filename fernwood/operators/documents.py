@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -75,55 +75,101 @@ def markdown_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "doc_id long, text string")
 
 
-def read_nodes(text: str) -> list[dict]:
-    """Headings, lists, code, tables and paragraphs in order, with level, parent and path; skipped heading levels close up."""
+FENCE = re.compile(r"\s{0,3}```")
+LIST = re.compile(r"\s*([-*+]|\d+\.)\s")
+#: Lines that are headings in plain text, beside numbered ones.
+SECTIONS = frozenset("abstract introduction background methods materials results discussion conclusion conclusions references acknowledgements acknowledgments".split())
+NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)\.?\s+([A-Z].{0,80})$")
+
+
+def markdown_heading(line: str) -> tuple[int, str] | None:
+    head = HEADING.match(line)
+    return (len(head[1]), head[2]) if head else None
+
+
+def plain_heading(line: str) -> tuple[int, str] | None:
+    """Level and title of a line of plain text that is a section's name, numbered, or in capitals."""
+    line = line.strip()
+    number = NUMBERED.match(line)
+    if number and line[-1] not in ".,;":
+        return number[1].count(".") + 1, line
+    if line.lower().rstrip(":") in SECTIONS or (line.isupper() and 4 <= len(line) <= 80 and not line.endswith(".")):
+        return 1, line
+    return None
+
+
+def grouped_lines(text: str, heading: Callable[[str], tuple[int, str] | None], markdown: bool) -> Iterator[tuple[str, int, list[str], tuple[int, str] | None]]:
+    """(kind, start, lines, heading) of runs of lines of one kind; blank lines end runs but for those of fenced code, headings stand alone."""
+    held: tuple | None = None
+    fenced, at = False, 0
+    for line in text.split("\n"):
+        start, at = at, at + len(line) + 1
+        fence = markdown and FENCE.match(line) is not None
+        head = None if fenced or fence else heading(line)
+        if fenced or fence:
+            kind = "code"
+        elif not line.strip():
+            kind = ""
+        elif head:
+            kind = "heading"
+        elif markdown and LIST.match(line):
+            kind = "list"
+        else:
+            kind = "table" if markdown and line.startswith("|") else "paragraph"
+        opens = fence and not fenced
+        if held and (kind != held[0] or kind == "heading" or opens):
+            yield held
+            held = None
+        if kind:
+            if held:
+                held[2].append(line)
+            else:
+                held = (kind, start, [line], head)
+        if fence:
+            fenced = not fenced
+    if held:
+        yield held
+
+
+def read_nodes(text: str, *, markdown: bool = True) -> list[dict]:
+    """Headings, lists, code, tables and paragraphs in order, with level, parent and path; skipped heading levels close up.
+
+    Ids are hashes of the document's content, path, kind and text, longer where they would repeat.
+    """
     out: list[dict] = []
     chain: list[dict] = []
-    at = 0
-    for block in re.split(r"(\n\s*\n)", text):
-        start, at = at, at + len(block)
-        if not block.strip():
-            continue
-        lines = block.strip("\n").split("\n")
-        groups = []
-        for line in lines:
-            head = HEADING.match(line)
-            kind = "heading" if head else "code" if line.startswith("```") else "list" if re.match(r"\s*([-*+]|\d+\.)\s", line) else "table" if line.startswith("|") else "paragraph"
-            if groups and kind == groups[-1][0] and kind != "heading":
-                groups[-1][1].append(line)
-            else:
-                groups.append((kind, [line]))
-        for kind, rows in groups:
-            body = "\n".join(rows)
-            level = 0
-            if kind == "heading":
-                depth = len(HEADING.match(rows[0])[1])
-                while chain and chain[-1]["depth"] >= depth:
-                    chain.pop()
-                level, body = len(chain) + 1, HEADING.match(rows[0])[2]
-            parent = chain[-1] if chain else None
-            siblings = sum(1 for n in out if n["parent"] is parent)
-            node = {"kind": kind, "level": level, "text": body, "parent": parent, "char_start": start, "ordinal": siblings, "path": f"{parent['path'] if parent else ''}/{siblings + 1}"}
-            if kind == "heading":
-                node["depth"] = depth
-                chain.append(node)
-            out.append(node)
+    children: dict[int, int] = {}
+    for kind, start, rows, head in grouped_lines(text, markdown_heading if markdown else plain_heading, markdown):
+        level, body = 0, "\n".join(rows)
+        if head:
+            while chain and chain[-1]["depth"] >= head[0]:
+                chain.pop()
+            level, body = len(chain) + 1, head[1]
+        parent = chain[-1] if chain else None
+        siblings = children.get(id(parent), 0)
+        children[id(parent)] = siblings + 1
+        node = {"kind": kind, "level": level, "text": body, "parent": parent, "char_start": start, "ordinal": siblings, "path": f"{parent['path'] if parent else ''}/{siblings + 1}"}
+        if head:
+            node["depth"] = head[0]
+            chain.append(node)
+        out.append(node)
+    content = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
     seen: set[str] = set()
     for n in out:
-        full = hashlib.sha256("\0".join((n["path"], n["kind"], n["text"])).encode()).hexdigest()
+        full = hashlib.sha256("\0".join((content, n["path"], n["kind"], n["text"])).encode("utf-8", "replace")).hexdigest()
         n["id"] = next("nd_" + full[:k] for k in (12, 16, 20, 64) if "nd_" + full[:k] not in seen)
         seen.add(n["id"])
     return out
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, node_id, kind, level, ordinal, parent_id, path, char_start, text of markdown documents."""
+def nodes(docs: DataFrame, *, markdown: bool = True) -> DataFrame:
+    """doc_id, node_id, kind, level, ordinal, parent_id, path, char_start, text of markdown or plain documents."""
     fields = "doc_id long, node_id string, kind string, level long, ordinal long, parent_id string, path string, char_start long, text string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in fields.split(", ")]
         for p in parts:
-            rows = [(d, n["id"], n["kind"], n["level"], n["ordinal"], n["parent"]["id"] if n["parent"] else None, n["path"], n["char_start"], n["text"]) for d, t in zip(p.doc_id, p.text, strict=True) for n in read_nodes(t or "")]
+            rows = [(d, n["id"], n["kind"], n["level"], n["ordinal"], n["parent"]["id"] if n["parent"] else None, n["path"], n["char_start"], n["text"]) for d, t in zip(p.doc_id, p.text, strict=True) for n in read_nodes(t or "", markdown=markdown)]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "text").mapInPandas(run, fields)
@@ -150,7 +196,7 @@ def split_body(body: str, cap: int = CAP) -> list[str]:
     return out + [held] if held else out
 
 
-def tree_chunks(docs: DataFrame, cap: int = CAP) -> DataFrame:
+def tree_chunks(docs: DataFrame, cap: int = CAP, *, markdown: bool = True) -> DataFrame:
     """doc_id, chunk_id, parent_id, level, section_title, heading_chain, part, text: one chunk a section, split to ``cap``; text before the first heading is a preface."""
     fields = "doc_id long, chunk_id string, parent_id string, level long, section_title string, heading_chain array<string>, part long, text string"
 
@@ -158,7 +204,7 @@ def tree_chunks(docs: DataFrame, cap: int = CAP) -> DataFrame:
         sections: list[tuple] = []
         chain: list[dict] = []
         current = (None, [])
-        for n in read_nodes(text):
+        for n in read_nodes(text, markdown=markdown):
             if n["kind"] == "heading":
                 sections.append((*current, list(chain)))
                 while chain and chain[-1]["level"] >= n["level"]:

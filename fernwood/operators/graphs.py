@@ -14,7 +14,7 @@ MAX_ROUNDS = 20
 def closure(roots: DataFrame, edges: DataFrame, *, max_depth: int = MAX_DEPTH) -> DataFrame:
     """root, node, depth: all nodes reachable from each root with the least number of steps; ``edges`` is (src, dst).
 
-    A loop ends when a step finds nothing new. Its frontier is written, so a lost executor costs no earlier step.
+    A loop ends when a step finds nothing new, and with an error when ``max_depth`` steps still find something. Its frontier is written, so a lost executor costs no earlier step.
     """
     reached = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
     frontier = reached
@@ -25,6 +25,8 @@ def closure(roots: DataFrame, edges: DataFrame, *, max_depth: int = MAX_DEPTH) -
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+    else:
+        raise ValueError(f"nodes lie more than {max_depth} steps away")
     return reached
 
 
@@ -32,14 +34,18 @@ def canonical(aliases: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """id, owner, hops: where each id's chain of merges ends, by pointer jumping; ``aliases`` is (id, merged_into) with null for no merge.
 
     Every round doubles the hops, is written, and the loop ends when no owner moves: a chain of n merges takes log2(n)
-    rounds. Ids on a circle have no end; they keep what ``max_rounds`` leaves them with.
+    rounds. Ids on a circle have no end, which is an error.
     """
     moved = F.col("merged_into").isNotNull()
     now = written(aliases.select("id", F.coalesce("merged_into", "id").alias("owner"), moved.cast("bigint").alias("hops"), moved.alias("moved")), "owners")
-    for _ in range(max_rounds):
+    for turn in range(max_rounds + 1):
         if now.filter("moved").isEmpty():
             break
+        if turn == max_rounds:
+            raise ValueError("merges run in a circle")
         ahead = now.filter("owner <> id").select(F.col("id").alias("owner"), F.col("owner").alias("next"), F.col("hops").alias("more"))
         joined = now.join(ahead, "owner", "left")
         now = written(joined.select("id", F.coalesce("next", "owner").alias("owner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "owners")
+    if not now.filter("owner = id and hops > 0").isEmpty():
+        raise ValueError("merges run in a circle")
     return now.drop("moved")

@@ -56,7 +56,7 @@ def pre_filter_knn(spark: SparkSession, d: str) -> DataFrame:
 
 def similar_level(spark: SparkSession, d: str) -> DataFrame:
     """0.6 vector + 0.4 wording of headings, among vectors of the query's label."""
-    lead = T.normal_tokens(F.slice(F.split("text", "[ \\n\\t]+"), 1, 6))
+    lead = T.normal_tokens(F.slice(F.split("text", "[ \\n\\t]+", 7), 1, 6))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), T.jaccard(lead, T.normal_tokens(F.array(*map(F.lit, KEYWORDS)))).alias("j"))
     label = table(spark, d, "embeddings").filter("vec_id = 0").select("label")
     mixed = _scored(spark, d).join(label, "label", "left_semi").join(docs, "vec_id").select("vec_id", (0.6 * F.col("score") + 0.4 * F.col("j")).alias("mix"))
@@ -107,7 +107,7 @@ def literature_query(spark: SparkSession, d: str) -> DataFrame:
     hit = F.contains(low, F.lit(keys[0]))
     for k in keys[1:]:
         hit = hit | F.contains(low, F.lit(k))
-    lead = T.jaccard(T.normal_tokens(F.slice(F.split("text", "[ \\n\\t]+"), 1, 6)), T.normal_tokens(F.array(*map(F.lit, KEYWORDS))))
+    lead = T.jaccard(T.normal_tokens(F.slice(F.split("text", "[ \\n\\t]+", 7), 1, 6)), T.normal_tokens(F.array(*map(F.lit, KEYWORDS))))
     near = _scored(spark, d).select(F.col("vec_id").alias("doc_id"), "score")
     quality = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
     both = docs.select("doc_id", hit.alias("hit"), lead.alias("j")).join(near, "doc_id", "left").filter("hit or score is not null").join(quality, "doc_id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
-from fernwood.operators import documents, planning, search
+from fernwood.operators import documents, index, planning, search
 from fernwood.sources.tables import table
 
 QUERY = "the thing of and"
@@ -39,7 +39,7 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    one = _words(spark, d).select("doc_id", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    one = index.term_counts(table(spark, d, "documents"), "doc_id", "text")
     return one.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 

@@ -8,16 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``. Only on one's own machine may that be unset; then a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only on one's own machine may that be unset; then a temporary folder is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        at = tempfile.mkdtemp(prefix="spark-scratch-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

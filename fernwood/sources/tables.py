@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernwood.sources import scratch
+
 MAX_BYTES = 10 * 1024 * 1024  # of one source file
 FRAME_BYTES = 1 << 20  # of one JSONL frame
 
@@ -37,15 +39,48 @@ def publish_blobs(blobs: DataFrame, folder: str) -> DataFrame:
     """Appends the contents whose hash ``folder`` does not hold yet; returns what was new. Running it again adds nothing."""
     spark = blobs.sparkSession
     new = blobs.select(F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("bigint").alias("size"), "content").dropDuplicates(["hash"])
-    try:
+    if scratch.exists(spark, f"{folder}/_SUCCESS"):
         new = new.join(spark.read.parquet(folder).select("hash"), "hash", "left_anti")
-    except Exception as missing:  # the folder's first use
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
     new.write.mode("append").parquet(folder)
-    return spark.read.parquet(folder).select("hash", "size")
+    # Two writers at once may both add a hash: readers take one of them.
+    return spark.read.parquet(folder).select("hash", "size").dropDuplicates(["hash"])
 
 
 def verified(blobs: DataFrame) -> DataFrame:
     """Blobs with whether their content has the stated hash and size."""
     return blobs.withColumn("intact", (F.sha2("content", 256) == F.col("hash")) & (F.octet_length("content") == F.col("size")))
+
+
+def write_jsonl(chunks: DataFrame, folder: str) -> None:
+    """One JSON object a line; fields that are null stay, so every line has the same ones."""
+    chunks.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
+def write_canonical(documents: DataFrame, folder: str, key: str) -> None:
+    """Canonical documents as JSON, a folder for each key; keys that are written again replace theirs only."""
+    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(folder)
+
+
+def read_canonical(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Canonical documents with ``broken``: what is no JSON of this shape."""
+    return spark.read.schema(f"{schema}, broken string").option("columnNameOfCorruptRecord", "broken").json(folder)
+
+
+def append_audit(events: DataFrame, folder: str) -> None:
+    """Adds events to a log that is only ever added to, each with the time of writing."""
+    events.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(folder)
+
+
+def memoized(df: DataFrame, folder: str, key: str, compute) -> DataFrame:
+    """``compute(df)`` (rows by ``key``), of which only keys that ``folder`` does not hold yet are computed and kept there."""
+    spark = df.sparkSession
+    if scratch.exists(spark, f"{folder}/_SUCCESS"):
+        df = df.join(spark.read.parquet(folder).select(key), key, "left_anti")
+    compute(df).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, size, modified of files below a folder; their contents are not read."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
 from fernwood.functions import vectors as V
-from fernwood.operators import documents, graphs, literature, planning, search, statistics
+from fernwood.operators import documents, graphs, index, literature, lookup, planning, search, statistics
 from fernwood.sources import tables
 from fernwood.streaming import events
 
@@ -102,11 +102,119 @@ def test_singular_and_jaccard(spark):
 
 
 def test_snippet_sources(spark):
-    df = spark.createDataFrame([("A first sentence that fits well. Then more.",), ("x" * 100 + " keyword " + "y" * 100,), ("short",)], "t string")
+    df = spark.createDataFrame([("A first sentence that fits well. Then more comes, far beyond.",), ("x" * 100 + " keyword " + "y" * 100,), ("short",)], "t string")
     got = [tuple(r[0]) for r in df.select(T.snippet(F.col("t"), ["keyword"])).collect()]
     assert got[0] == ("A first sentence that fits well.", "first_sentence") and got[1][1] == "keyword_window" and "keyword" in got[1][0] and got[2] == ("short", "fallback_short")
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("E. coli is a name that holds a mark early. It goes on for far more than sixty characters.", ("E. coli is a name that holds a mark early.", "first_sentence")),
+        ("One short end here. And one that still ends near. Far more text follows here.", ("One short end here. And one that still ends near.", "first_sentence")),
+        ("A heading of a section\nthen text without any end that goes on and on for long", ("A heading of a section", "first_sentence")),
+        ("a" * 12 + ". " + "b" * 80, ("a" * 12 + ". " + "b" * 36 + "...", "fallback_short")),
+        ("word " * 30, ("word " * 10 + "word...", "fallback_short")),
+        ("no end but thirty characters or so", ("no end but thirty characters or so", "first_sentence")),
+        ("", ("", "fallback_short")),
+        (None, ("", "fallback_short")),
+        ("left words before it and then the keyword stands here with many more words behind it without end", ("...before it and then the keyword stands here with many mo", "keyword_window")),
+    ],
+)
+def test_snippet_cuts(spark, text, want):
+    got = spark.createDataFrame([(text,)], "t string").select(T.snippet(F.col("t"), ["keyword"])).first()[0]
+    assert tuple(got) == want
+
+
+def test_nodes_know_fences_and_documents(spark):
+    text = "# A\n\n```py\n# no heading\n\n- no list\n```\ntext\n- item\n- more\n| a | b |\n### C\nlast"
+    got = [(n["kind"], n["level"], n["text"], n["path"], n["ordinal"]) for n in documents.read_nodes(text)]
+    assert got == [
+        ("heading", 1, "A", "/1", 0), ("code", 0, "```py\n# no heading\n\n- no list\n```", "/1/1", 0), ("paragraph", 0, "text", "/1/2", 1), ("list", 0, "- item\n- more", "/1/3", 2),
+        ("table", 0, "| a | b |", "/1/4", 3), ("heading", 2, "C", "/1/5", 4), ("paragraph", 0, "last", "/1/5/1", 0),
+    ]
+    assert all(text[n["char_start"] :].startswith(n["text"][:3] if n["kind"] != "heading" else "#") for n in documents.read_nodes(text))
+    docs = spark.createDataFrame([(1, "same"), (2, "same\n\nother"), (3, "same")], "doc_id long, text string")
+    ids = {(r.doc_id, r.text): r.node_id for r in documents.nodes(docs).collect()}
+    assert ids[1, "same"] == ids[3, "same"] != ids[2, "same"]
+    many = documents.read_nodes("\n\n".join(f"p{i}" for i in range(30_000)))
+    assert len(many) == 30_000 and many[-1]["path"] == "/30000"
+    assert [n["kind"] for n in documents.read_nodes("```\nnever closed\n# x")] == ["code"]
+
+
+def test_plain_text_sections(spark):
+    text = "Abstract\nWe did it.\n\n1. Methods\nHow we did.\n1.1 Samples\nThree of them.\nRESULTS OF IT\nFine.\n12 of these were lost."
+    heads = [(n["level"], n["text"], n["path"]) for n in documents.read_nodes(text, markdown=False) if n["kind"] == "heading"]
+    assert heads == [(1, "Abstract", "/1"), (1, "1. Methods", "/2"), (2, "1.1 Samples", "/2/2"), (1, "RESULTS OF IT", "/3")]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert {r.section_title for r in documents.tree_chunks(docs, markdown=False).collect()} == {h[1] for h in heads}
+
+
+def test_visible_text_of_pages_against_removal_of_tags(spark, sf_dir):
+    import html
+    import re
+
+    for r in documents.visible_text(tables.table(spark, sf_dir, "pages")).join(tables.table(spark, sf_dir, "pages"), "page_id").collect():
+        bare = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<!DOCTYPE[^>]*>|<[^>]*>", "", r.html)
+        assert re.sub(r"\s+", "", r.text) == re.sub(r"\s+", "", html.unescape(bare))
+
+
+def test_chunk_id_codec(spark):
+    rows = [("c2.0000000a.0123456789ab.89abcdef.3:4:a:/b:p1",), ("123__some/path__p2",), ("c2.0000000a.0123456789ab.89abcdef.3:9:a:/b:p1",), ("c2.0000000a.0123456789ab.89abcdef.03:4:a:/b:p1",), ("nothing",), (None,), ("c2.0000000a.0123456789ab.89abcdef.3:4:a:/bp1",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(lookup.parsed_chunk_id(F.col("v"))).collect()]
+    assert [r.valid for r in got] == [True, True, False, False, False, False, False]
+    assert (got[0].generation, got[0].path, got[0].part, got[0].n) == (10, "a:/b", "p1", 3) and got[1].legacy and (got[1].path, got[1].part, got[1].generation) == ("some/path", "p2", None)
+    assert spark.range(1).select(lookup.chunk_id(F.lit(-1), F.lit("ab"), F.lit("x"), F.lit("1"), F.lit(0), F.lit("p"), F.lit("q"))).first()[0] is None
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    assert lookup.optional(df, {"v": None, "id": 2}).count() == 1 and lookup.dump(df, "id", 0).count() == 1
+    with pytest.raises(ValueError, match="unknown"):
+        lookup.included(df, "id", {"v": "v"}, ["w"])
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert lookup.similar(vectors, 9, 3).count() == 0 and [r.vec_id for r in lookup.similar(vectors, 1, 3).collect()] == [2]
+    counts = spark.createDataFrame([(0, 0), (0, 4), (3, 0), (500, 0)], "matched long, unfinished long")
+    assert [r.status for r in lookup.status(counts, 200).collect()] == ["no_matching_results", "processing_incomplete", "matching_results", "candidate_budget_exhausted"]
+
+
+def test_index_is_built_once_a_state_and_prunes(spark):
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta beta gamma") for i in range(300)], "doc_id long, text string")
+    first = index.opened(docs, "doc_id", "text", name="tested")
+    again = index.opened(docs, "doc_id", "text", name="tested")
+    assert first.postings.inputFiles() == again.postings.inputFiles() and first.n == 300
+    grown = index.opened(docs.unionByName(spark.createDataFrame([(900, "delta")], docs.schema)), "doc_id", "text", name="tested")
+    assert grown.n == 301 and grown.postings.inputFiles() != first.postings.inputFiles()
+    plan = index.scores(first, "alpha3 beta")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan
+    got = {r.id: r.tf for r in first.postings.filter("term = 'beta'").collect()}
+    assert got == dict.fromkeys(range(300), 2)
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "pmid long, title string, note string")
+    tables.write_jsonl(rows, str(tmp_path / "jsonl"))
+    lines = [json.loads(x) for f in (tmp_path / "jsonl").glob("part*") for x in f.read_text().splitlines()]
+    assert sorted(lines, key=lambda x: x["pmid"]) == [{"pmid": 1, "title": "a", "note": None}, {"pmid": 2, "title": "b", "note": "x"}]
+    for title in ("a", "c"):
+        tables.write_canonical(rows.filter("pmid = 1 or title = 'b'").withColumn("title", F.lit(title)) if title == "a" else rows.filter("pmid = 1").withColumn("title", F.lit("c")), str(tmp_path / "canon"), "pmid")
+    back = tables.read_canonical(spark, str(tmp_path / "canon"), "pmid long, title string, note string")
+    assert sorted((r.pmid, r.title) for r in back.collect()) == [(1, "c"), (2, "a")]
+    (tmp_path / "canon" / "pmid=3").mkdir()
+    (tmp_path / "canon" / "pmid=3" / "x.json").write_text("{broken\n")
+    assert [r.pmid for r in tables.read_canonical(spark, str(tmp_path / "canon"), "pmid long, title string").filter("broken is not null").cache().collect()] == [3]
+    for _ in range(2):
+        tables.append_audit(rows.select("pmid"), str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).filter("logged_at is not null").count() == 4
+    calls = []
+    for some in (rows.filter("pmid = 1"), rows, rows):
+        out = tables.memoized(some, str(tmp_path / "memo"), "pmid", lambda df: calls.append(df.count()) or df.select("pmid", F.upper("title").alias("title")))
+    assert calls == [1, 1, 0] and sorted(tuple(r) for r in out.collect()) == [(1, "A"), (2, "B")]
+    assert tables.listing(spark, str(tmp_path / "canon"), "*.json").count() == 3
+    blobs = spark.createDataFrame([(bytearray(b"a"), hashlib.sha256(b"a").hexdigest(), 1), (bytearray(b"b"), "00", 1)], "content binary, hash string, size long")
+    assert [r.intact for r in tables.verified(blobs).collect()] == [True, False]
+
+
 def test_vector_validity(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([0.0, 0.0],), ([1.0],), ([float("nan"), 1.0],), ([float("inf"), 1.0],), (None,)], "v array<double>")
     assert [r[0] for r in df.select(V.valid(F.col("v"), 2)).collect()] == [True, False, False, False, False, False]
@@ -204,6 +312,10 @@ def test_exact_ranks_with_ties(spark, uncoalesced):
 
 
 def test_owner_of_a_long_chain_and_of_a_circle(spark):
-    chain = [(i, i - 1 if i else None) for i in range(100)] + [(200, 201), (201, 200)]
+    chain = [(i, i - 1 if i else None) for i in range(100)]
     got = {r.id: (r.owner, r.hops) for r in graphs.canonical(spark.createDataFrame(chain, "id long, merged_into long"), max_rounds=9).collect()}
-    assert all(got[i] == (0, i) for i in range(100)) and len(got) == 102
+    assert got == {i: (0, i) for i in range(100)}
+    with pytest.raises(ValueError, match="circle"):
+        graphs.canonical(spark.createDataFrame([(200, 201), (201, 200)], "id long, merged_into long"), max_rounds=4)
+    with pytest.raises(ValueError, match="steps"):
+        graphs.closure(spark.createDataFrame([(0,)], "root long"), spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long"), max_depth=5)
