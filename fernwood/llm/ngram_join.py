@@ -262,17 +262,21 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80, key: str = "doc_id",
 def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """id, n_shingles, class_id, component_id of (id, text) with ids that differ."""
     shape = written(_digests(docs, n), "shape")
-    classes = shape.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("class"))
-    of = written(shape.join(classes, "digest", "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")), "classes")
+    # Written tables can be sent out whole if they are small, and else be split where a key has many rows.
+    classes = written(shape.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n")).filter("n > 1").drop("n"), "digests")
+    of = written(joined_by_id(shape, classes, "digest", "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")), "classes")
     dropped(shape)
+    dropped(classes)
     # Only representatives sign. Beyond the bound copies may sign too, which changes nothing as signers stand for their class.
     copies = of.filter("id <> class").select("id")
     signing = docs.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= BROADCAST_IDS else docs
     signed = written(_signed(signing, n, percent), "signed")
     # Signatures with the same signers make the same pairs, so a bucket is named by its signers and kept once.
     shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("bucket")).filter("low < high").select("sig", "bucket")
-    raw = written(signed.join(shared, "sig").select(F.col("bucket").alias("sig"), "id").distinct(), "raw")
+    shared = written(shared, "shared")
+    raw = written(joined_by_id(signed, shared, "sig", "inner").select(F.col("bucket").alias("sig"), "id").distinct(), "raw")
     dropped(signed)
+    dropped(shared)
     # Buckets with at least two classes.
     named = raw.join(of, "id").select("sig", F.col("class").alias("id")).distinct()
     hubs = named.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("high")).filter("hub < high").select("sig", "hub")
