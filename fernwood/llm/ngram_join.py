@@ -20,7 +20,8 @@ then meet all others of their bucket in other components; exact bounds by size a
 parity sketch go before the sets are compared. Pairs inside one component are never listed, so a bucket of thousands of near copies
 costs a row each. In a bucket of thousands of unlike members (``WIDE``), as one frequent passage may make it, members must share a signature
 of a second, independent split as well, as similar sets do; so dissimilar ones are never paired. No cap is set anywhere.
-Buckets are found by partial aggregation and a join back, which adaptive execution splits where a signature has many signers.
+Signers are put together by signature within each slice of texts first, so that no signature brings more rows to one task than
+there are slices; buckets with many members are joined in a way that adaptive execution splits.
 
 Defined cases: a null text or one without words has an empty set, links with nothing and is its own component; a text
 of fewer than n words has one shingle, its whole sequence; equal rows share a component, whose id is the smallest key;
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -45,6 +46,7 @@ from .shared import BROADCAST_IDS, dropped, joined_by_id, written
 
 LANES = 8  # 64-bit words of a parity sketch
 BAND = 1.25  # ratio of a band's bounds
+SLICE = 4 << 20  # bytes of text whose signers are put together
 REMEMBERED = 200_000  # set digests a task knows it has signed already
 WIDE = 4_096  # members of other components in a bucket, in the mean of its members, from which on they meet by a second signature too
 SEEDS = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x51ED270B3A4F9C17)
@@ -145,15 +147,35 @@ def _digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, digest binary")
 
 
+def gathered(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signers of one slice put together by signature: signature, smallest signer and group of each signature; group and member of each group.
+
+    A group is named by its members (a hash), so signatures with the same signers share it; of one signer it is 0 and not listed.
+    """
+    order = np.lexsort((ids, sigs))
+    s, d = sigs[order], ids[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])))
+    s, d = s[new], d[new]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    size = np.diff(np.append(first, len(s)))
+    name = words.mix(np.bitwise_xor.reduceat(words.mix(d.view(np.uint64) ^ words.MULT[2]), first)).view(np.int64)
+    name[size == 1] = 0
+    of = np.repeat(name, size)
+    listed = np.flatnonzero(of)
+    listed = listed[np.lexsort((d[listed], of[listed]))]
+    once = np.concatenate(([True], (of[listed][1:] != of[listed][:-1]) | (d[listed][1:] != d[listed][:-1]))) if len(listed) else np.zeros(0, bool)
+    return s[first].view(np.int64), d[first], name, of[listed][once], d[listed][once]
+
+
 def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, id: the signatures of every set; a task signs for equal sets once, by the first of them it meets."""
-    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64())])
+    """sig, id, inner, member: each signature once a slice of texts, with its smallest signer and the group of its signers there (null: it alone), and the members of such groups (sig: the group)."""
+    schema = pa.schema([("sig", pa.int64()), ("id", pa.int64()), ("inner", pa.int64()), ("member", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         low = bands(percent, 1 << 40)
         for batch in batches:
-            for part in words.slices(batch, 1 << 20):
+            for part in words.slices(batch, SLICE):
                 sigs, ids = [], []
                 for i, s in zip(part.column(0).to_pylist(), sets_of(part, n, "text"), strict=True):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -167,9 +189,11 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                         sigs.append(found)
                         ids.append(np.full(len(found), i, np.int64))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], schema=schema)
+                    sig, hub, group, of, inside = gathered(np.concatenate(sigs), np.concatenate(ids))
+                    columns = (np.concatenate((sig, of)), np.concatenate((hub, inside)), np.concatenate((group, np.zeros_like(of))), np.concatenate((np.zeros(len(sig), bool), np.ones(len(of), bool))))
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=columns[2] == 0), pa.array(columns[3])], schema=schema)
 
-    return docs.mapInArrow(run, "sig long, id long")
+    return docs.mapInArrow(run, "sig long, id long, inner long, member boolean")
 
 
 def parities(elements: np.ndarray) -> np.ndarray:
@@ -270,18 +294,23 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # Only representatives sign. Beyond the bound copies may sign too, which changes nothing as signers stand for their class.
     copies = of.filter("id <> class").select("id")
     signing = docs.join(F.broadcast(copies), "id", "left_anti") if copies.count() <= BROADCAST_IDS else docs
-    signed = written(_signed(signing, n, percent), "signed")
-    # Signatures with the same signers make the same pairs, so a bucket is named by its signers and kept once.
-    shared = signed.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("bucket")).filter("low < high").select("sig", "bucket")
-    shared = written(shared, "shared")
-    raw = written(joined_by_id(signed, shared, "sig", "inner").select(F.col("bucket").alias("sig"), "id").distinct(), "raw")
-    dropped(signed)
-    dropped(shared)
+    # A signature comes once from a slice of texts, so a window holds no more rows than there are slices, however many texts
+    # sign it; members of a slice's groups pass by. Signatures with the same signers make the same pairs, so a bucket is named
+    # by its signers and kept once.
+    whole = Window.partitionBy("sig", F.when(F.col("member"), F.pmod("id", F.lit(1_024)) + 1).otherwise(0))
+    marked = {"low": F.min("id").over(whole), "high": F.max("id").over(whole), "bucket": F.bit_xor(F.xxhash64("id", "inner")).over(whole)}
+    kept = _signed(signing, n, percent).withColumns(marked).filter("member or low < high")
+    raw = written(kept.select(F.when(F.col("member"), F.col("sig")).otherwise(F.col("bucket")).alias("sig"), "id", "inner", "member").distinct(), "raw")
+    groups, across = raw.filter("member").select("sig", "id"), raw.filter("not member")
+    inside = across.filter("inner is not null").select("sig", "inner").distinct().join(groups.withColumnRenamed("sig", "inner"), "inner").select("sig", "id")
+    signers = groups.unionByName(across.select("sig", "id")).unionByName(inside)
     # Buckets with at least two classes.
-    named = raw.join(of, "id").select("sig", F.col("class").alias("id")).distinct()
-    hubs = named.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("high")).filter("hub < high").select("sig", "hub")
-    buckets = written(named.join(hubs, "sig"), "buckets")
+    named = written(signers.join(of, "id").select("sig", F.col("class").alias("id")).distinct(), "named")
     dropped(raw)
+    hubs = written(named.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("high")).filter("hub < high").select("sig", "hub"), "hubs")
+    buckets = written(joined_by_id(named, hubs, "sig", "inner"), "buckets")
+    dropped(named)
+    dropped(hubs)
     # Only members of such buckets can have links: their texts are read again for their sets.
     sets = written(_sets(joined_by_id(docs, buckets.select("id").distinct(), "id", "left_semi"), n), "sets")
     # Each member meets its smallest hub first, which joins most groups; then what is still apart meets.

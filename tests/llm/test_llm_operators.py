@@ -69,9 +69,10 @@ def brute_components(rows, n, percent):
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_join_equals_all_pairs(spark, docs, n, percent):
+def test_join_equals_all_pairs(spark, docs, monkeypatch, n, percent):
     random.seed(n)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    monkeypatch.setattr(ngram_join, "SLICE", 3_000)  # so that buckets span slices
     base = [w for _, t in rows[:3] for w in split(t)][:400]
     for i in range(120):  # copies at every distance around the threshold, short and long
         w = base[: random.choice([4, 9, 10, 12, 20, 60, 200, 400])]
@@ -82,6 +83,21 @@ def test_join_equals_all_pairs(spark, docs, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows, n, percent)
 
 
+def test_gathered_signers():
+    rng = np.random.default_rng(5)
+    sigs, ids = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(-20, 20, 300)
+    want = defaultdict(set)
+    for g, i in zip(sigs.tolist(), ids.tolist(), strict=True):
+        want[g].add(i)
+    sig, hub, group, of, inside = ngram_join.gathered(sigs, ids)
+    members = defaultdict(set)
+    for g, i in zip(of.tolist(), inside.tolist(), strict=True):
+        assert i not in members[g]
+        members[g].add(i)
+    assert {g: (h, members[n] if n else {h}) for g, h, n in zip(sig.tolist(), hub.tolist(), group.tolist(), strict=True)} == {g: (min(v), v) for g, v in want.items()}
+    assert len(set(map(frozenset, members.values()))) == len(members)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
@@ -100,6 +116,7 @@ def test_similar_sets_share_a_signature():
 def test_join_of_wide_buckets(spark, monkeypatch, passage):
     """Many unlike texts with one passage: they share signatures, meet by a second one, and lose no link."""
     monkeypatch.setattr(ngram_join, "WIDE", 3)
+    monkeypatch.setattr(ngram_join, "SLICE", 2_000)
     rng = random.Random(passage)
     common = " ".join(f"common{k}" for k in range(passage))
     rows = []
