@@ -443,14 +443,15 @@ def test_importance_prefers_the_target_and_samples_k(spark):
 def test_importance_weights_equal_plain_counting(spark):
     rows = [(1, "a b"), (2, "A b c"), (3, None), (4, "c")]
     docs, good = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1,)], "doc_id long")
+    n = importance.n_buckets(docs)
 
     def grams(text):
         import pyarrow as pa
 
-        found, at = importance.buckets(pa.array([text], pa.string()))
+        found, at = importance.buckets(pa.array([text], pa.string()), n)
         return found.tolist()
 
-    raw, target = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
+    raw, target = np.ones(n), np.ones(n)
     for i, t in rows:
         for g in grams(t):
             raw[g] += 1
@@ -469,8 +470,9 @@ def test_importance_weights_equal_counting_words(spark):
     good = set(range(0, 30, 4))
     grams = {i: [*(w := lower(t).split()), *zip(w, w[1:], strict=False)] for i, t in rows}
     raw, target = Counter(g for v in grams.values() for g in v), Counter(g for i in good for g in grams[i])
-    total, wanted = (sum(c.values()) + importance.BUCKETS for c in (raw, target))
-    got = {r.doc_id: r for r in importance.resample(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    docs = spark.createDataFrame(rows, DOCS)
+    total, wanted = (sum(c.values()) + importance.n_buckets(docs) for c in (raw, target))
+    got = {r.doc_id: r for r in importance.resample(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
     for i, _ in rows:
         want = sum(math.log((target[g] + 1) / wanted) - math.log((raw[g] + 1) / total) for g in grams[i])
         assert got[i].n_grams == 23 and math.isclose(got[i].log_weight, want, abs_tol=1e-9)
@@ -488,6 +490,12 @@ def test_kth_largest_with_ties(spark, monkeypatch):
     assert importance.kth_largest(df, 61, "v", "t") is None and importance.kth_largest(df, 0, "v", "t") is None
 
 
+def test_importance_buckets_grow_with_the_texts(spark):
+    texts = spark.createDataFrame([(None, 0), ("ä", 1), ("x" * 1000, 68_000)], "text string, times int")
+    grown = [importance.n_buckets(texts.filter(F.col("times") <= n).withColumn("copy", F.explode(F.sequence(F.lit(0), "times")))) for n in (-1, 0, 1, 68_000)]
+    assert grown == [8192, 8192, 16_384, 32_768]  # no rows, no text, a few bytes, 68 MB: 8192 + 8246
+
+
 def test_importance_of_odd_rows(odd, spark):
     got = importance.resample(odd, spark.createDataFrame([], "doc_id long")).collect()
     assert len(got) == len(ODD) and all(r.log_weight == 0 for r in got)
