@@ -10,8 +10,10 @@ A document's set holds the distinct hashes of its word n-grams. Two sets with Ja
   share at least one;
 * two thirds may be empty in many documents, which would share that signature by chance. Such a signature is replaced
   by those of an independent split, under its own prefix: similar sets agree in one of these too. From 400 elements
-  on, empty ones are left out instead: a similar pair has dozens of agreeing parts then, and the chance that all of
-  them are empty (below 1e-12 at similarity 0.8, less above) is that of a collision of the 64-bit hashes;
+  on there are j spare parts, and up to 2j empty signatures are left out: of n1 + j parts with at most k differences, similar sets
+  agree in at least 2 (n1 + j) - k > 2j signatures (the first difference of a part costs two, the next one), so if either
+  of them has no more than 2j empty ones, an agreeing one has elements. A set with more of them also gives all signatures of
+  an independent split, so two such sets agree there. No similar pair is left to chance but for collisions of the 64-bit hashes;
 * pairs that share a signature are verified on their whole sets.
 
 Copies: documents with equal sets form a class (a digest of the sorted set); only representatives are compared. In a
@@ -76,31 +78,47 @@ def most_different(smaller: int, percent: int) -> int:
     return smaller * (100 - percent) // percent
 
 
-def depth_of(size: int) -> int:
-    """Independent splits that may replace an empty signature; -1: an empty signature is left out (see the module's notes)."""
-    return -1 if size >= 400 else 1 if size >= 150 else 3
+def plan_of(size: int, percent: int) -> tuple[int, int, int]:
+    """For a band up to ``size``: parts, spare ones among them, and independent splits that may replace an empty signature (see the module's notes)."""
+    parts = most_different(size, percent) // 2 + 1
+    if size < 400:
+        return parts, 0, 1 if size >= 150 else 3
+    spare = parts // 50 + 3
+    return parts + spare, spare, 1
 
 
-def _signed_under(elements: np.ndarray, tag: int, parts: int, level: int, depth: int, prefix: np.uint64, split: int) -> list[np.ndarray]:
-    """Signatures under the split of one level; empty ones go on to the next level, under their own prefix."""
-    mixed = words.mix(elements ^ SEEDS[split + level])
+def _cells(elements: np.ndarray, tag: int, parts: int, prefix: np.uint64, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each third that may be left out: the signatures of all parts under one split, and which of them are empty."""
+    mixed = words.mix(elements ^ SEEDS[seed])
     cell = ((mixed >> np.uint64(32)) * np.uint64(3 * parts) >> np.uint64(32)).astype(np.int64)
     sums = np.zeros(3 * parts, np.uint64)
     np.add.at(sums, cell, words.mix(elements))
     thirds, filled = sums.reshape(parts, 3), np.bincount(cell, minlength=3 * parts).reshape(parts, 3)
     number = np.arange(parts, dtype=np.uint64) * np.uint64(4) + (np.uint64(tag) << np.uint64(40))
-    out = []
     for left_out in range(3):
         b, c = (left_out + 1) % 3, (left_out + 2) % 3
-        found = words.mix(words.mix(thirds[:, b] + (number + np.uint64(left_out)) * words.MULT[0]) ^ thirds[:, c] ^ prefix)
-        empty = filled[:, b] + filled[:, c] == 0
+        yield words.mix(words.mix(thirds[:, b] + (number + np.uint64(left_out)) * words.MULT[0]) ^ thirds[:, c] ^ prefix), filled[:, b] + filled[:, c] == 0
+
+
+def _replacing(elements: np.ndarray, tag: int, parts: int, level: int, depth: int, prefix: np.uint64, split: int) -> list[np.ndarray]:
+    """Signatures under the split of one level; empty ones go on to the next level, under their own prefix."""
+    out = []
+    for found, empty in _cells(elements, tag, parts, prefix, split + level):
         if level == depth or not empty.any():
             out.append(found)
             continue
         out.append(found[~empty])
-        if depth > level:
-            for inner in found[empty]:
-                out += _signed_under(elements, tag, parts, level + 1, depth, inner, split)
+        for inner in found[empty]:
+            out += _replacing(elements, tag, parts, level + 1, depth, inner, split)
+    return out
+
+
+def _sparing(elements: np.ndarray, tag: int, parts: int, spare: int, split: int) -> list[np.ndarray]:
+    """Signatures that are not empty; if more than 2 * ``spare`` are, also all of an independent split, under a prefix that any such set has."""
+    found, empty = (np.concatenate(x) for x in zip(*_cells(elements, tag, parts, np.uint64(0), split), strict=True))
+    out = [found[~empty]]
+    if np.count_nonzero(empty) > 2 * spare:
+        out += [again for again, _ in _cells(elements, tag, parts, words.MULT[1], split + 1)]
     return out
 
 
@@ -114,8 +132,8 @@ def signatures(elements: np.ndarray, percent: int, low: list[int], split: int =
     tags = [(band, low[band + 1] - 1)] + ([(band - 1, low[band] - 1)] if band and size * percent <= 100 * (low[band] - 1) else [])
     out: list[np.ndarray] = []
     for tag, top in tags:
-        parts = most_different(top, percent) // 2 + 1
-        out += _signed_under(elements, tag, parts, 0, depth_of(top), np.uint64(0), split)
+        parts, spare, depth = plan_of(top, percent)
+        out += _sparing(elements, tag, parts, spare, split) if spare else _replacing(elements, tag, parts, 0, depth, np.uint64(0), split)
     return np.concatenate(out)
 
 

@@ -112,6 +112,25 @@ def test_similar_sets_share_a_signature():
                     assert set(ngram_join.signatures(a, percent, low)) & set(ngram_join.signatures(b, percent, low)) or not ngram_join.most_different(min(len(a), len(b)), percent)
 
 
+def test_large_sets_with_many_empty_thirds_share_a_signature():
+    """Elements of one third of each part, and a difference in every part: all that agrees under the first split is empty."""
+    rng = np.random.default_rng(2)
+    low = ngram_join.bands(80, 1 << 20)
+    band = int(np.searchsorted(low, 400, side="right")) - 1
+    parts, spare, _ = ngram_join.plan_of(low[band + 1] - 1, 80)
+    pool = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
+    cell = ((words.mix(pool ^ ngram_join.SEEDS[0]) >> np.uint64(32)) * np.uint64(3 * parts) >> np.uint64(32)).astype(np.int64)
+    pool, part = pool[cell % 3 == 0], (cell // 3)[cell % 3 == 0]
+    first = np.unique(part, return_index=True)[1]
+    gone = np.concatenate((first, np.setdiff1d(np.arange(len(pool)), first)[: 100 - len(first)]))
+    kept = np.setdiff1d(np.arange(len(pool)), gone)[:400]
+    a, b = np.sort(pool[np.concatenate((gone, kept))]), np.sort(pool[kept])
+    assert spare and len(first) == parts and ngram_join.linked(a, b, 80)
+    lone = [set(np.concatenate([f[~e] for f, e in ngram_join._cells(x, band, parts, np.uint64(0), 0)]).tolist()) for x in (a, b)]
+    assert not lone[0] & lone[1]
+    assert set(ngram_join.signatures(a, 80, low).tolist()) & set(ngram_join.signatures(b, 80, low).tolist())
+
+
 @pytest.mark.parametrize("passage", [12, 40])
 def test_join_of_wide_buckets(spark, monkeypatch, passage):
     """Many unlike texts with one passage: they share signatures, meet by a second one, and lose no link."""
