@@ -8,12 +8,12 @@ A document's set holds the distinct hashes of its word n-grams. Two sets with Ja
   at most one element differs. Each part splits again into three; one of the three pairs of thirds is then free
   of differences. The hash of (band, part, pair, its elements) is a signature: 3 * n1 for each set, and similar sets
   share at least one;
-* two thirds may be empty in many documents, which would share that signature by chance. Such a signature is replaced
-  by those of an independent split, under its own prefix: similar sets agree in one of these too. From 400 elements
-  on there are j spare parts, and up to 2j empty signatures are left out: of n1 + j parts with at most k differences, similar sets
+* two thirds may be empty in many documents, which would share that signature by chance. So there are j spare parts, and empty
+  signatures are left out, up to 2j of them: of n1 + j parts with at most k differences, similar sets
   agree in at least 2 (n1 + j) - k > 2j signatures (the first difference of a part costs two, the next one), so if either
-  of them has no more than 2j empty ones, an agreeing one has elements. A set with more of them also gives all signatures of
-  an independent split, so two such sets agree there. No similar pair is left to chance but for collisions of the 64-bit hashes;
+  of them has no more than 2j empty ones, an agreeing one has elements. A set with more of them also gives the signatures of
+  an independent split, by the same rule; the last of ``LEVELS`` splits gives all. So two such sets agree there, and no
+  similar pair is left to chance but for collisions of the 64-bit hashes;
 * pairs that share a signature are verified on their whole sets.
 
 Copies: documents with equal sets form a class (a digest of the sorted set); only representatives are compared. In a
@@ -51,6 +51,7 @@ BAND = 1.25  # ratio of a band's bounds
 SLICE = 4 << 20  # bytes of text whose signers are put together
 REMEMBERED = 200_000  # set digests a task knows it has signed already
 WIDE = 4_096  # members of other components in a bucket, in the mean of its members, from which on they meet by a second signature too
+LEVELS = 4  # independent splits of a set with many empty signatures
 SEEDS = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x51ED270B3A4F9C17)
 
 
@@ -78,13 +79,11 @@ def most_different(smaller: int, percent: int) -> int:
     return smaller * (100 - percent) // percent
 
 
-def plan_of(size: int, percent: int) -> tuple[int, int, int]:
-    """For a band up to ``size``: parts, spare ones among them, and independent splits that may replace an empty signature (see the module's notes)."""
+def plan_of(size: int, percent: int) -> tuple[int, int]:
+    """For a band up to ``size``: parts, and spare ones among them: about as many as make up for the usual number of empty signatures."""
     parts = most_different(size, percent) // 2 + 1
-    if size < 400:
-        return parts, 0, 1 if size >= 150 else 3
-    spare = parts // 50 + 3
-    return parts + spare, spare, 1
+    spare = parts // 50 + math.isqrt(parts) // 6 + (parts >= 8)
+    return parts + spare, spare
 
 
 def _cells(elements: np.ndarray, tag: int, parts: int, prefix: np.uint64, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,25 +99,16 @@ def _cells(elements: np.ndarray, tag: int, parts: int, prefix: np.uint64, seed:
         yield words.mix(words.mix(thirds[:, b] + (number + np.uint64(left_out)) * words.MULT[0]) ^ thirds[:, c] ^ prefix), filled[:, b] + filled[:, c] == 0
 
 
-def _replacing(elements: np.ndarray, tag: int, parts: int, level: int, depth: int, prefix: np.uint64, split: int) -> list[np.ndarray]:
-    """Signatures under the split of one level; empty ones go on to the next level, under their own prefix."""
+def _under(elements: np.ndarray, tag: int, parts: int, spare: int, split: int) -> list[np.ndarray]:
+    """Signatures that are not empty; while more than 2 * ``spare`` are, also those of the next independent split (see the module's notes)."""
     out = []
-    for found, empty in _cells(elements, tag, parts, prefix, split + level):
-        if level == depth or not empty.any():
-            out.append(found)
-            continue
+    for level in range(LEVELS):
+        found, empty = (np.concatenate(x) for x in zip(*_cells(elements, tag, parts, np.uint64(level), split + level), strict=True))
+        if level == LEVELS - 1 or not empty.any():
+            return [*out, found]
         out.append(found[~empty])
-        for inner in found[empty]:
-            out += _replacing(elements, tag, parts, level + 1, depth, inner, split)
-    return out
-
-
-def _sparing(elements: np.ndarray, tag: int, parts: int, spare: int, split: int) -> list[np.ndarray]:
-    """Signatures that are not empty; if more than 2 * ``spare`` are, also all of an independent split, under a prefix that any such set has."""
-    found, empty = (np.concatenate(x) for x in zip(*_cells(elements, tag, parts, np.uint64(0), split), strict=True))
-    out = [found[~empty]]
-    if np.count_nonzero(empty) > 2 * spare:
-        out += [again for again, _ in _cells(elements, tag, parts, words.MULT[1], split + 1)]
+        if np.count_nonzero(empty) <= 2 * spare:
+            break
     return out
 
 
@@ -132,8 +122,7 @@ def signatures(elements: np.ndarray, percent: int, low: list[int], split: int =
     tags = [(band, low[band + 1] - 1)] + ([(band - 1, low[band] - 1)] if band and size * percent <= 100 * (low[band] - 1) else [])
     out: list[np.ndarray] = []
     for tag, top in tags:
-        parts, spare, depth = plan_of(top, percent)
-        out += _sparing(elements, tag, parts, spare, split) if spare else _replacing(elements, tag, parts, 0, depth, np.uint64(0), split)
+        out += _under(elements, tag, *plan_of(top, percent), split)
     return np.concatenate(out)
 
 

@@ -117,7 +117,7 @@ def test_large_sets_with_many_empty_thirds_share_a_signature():
     rng = np.random.default_rng(2)
     low = ngram_join.bands(80, 1 << 20)
     band = int(np.searchsorted(low, 400, side="right")) - 1
-    parts, spare, _ = ngram_join.plan_of(low[band + 1] - 1, 80)
+    parts, spare = ngram_join.plan_of(low[band + 1] - 1, 80)
     pool = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64))
     cell = ((words.mix(pool ^ ngram_join.SEEDS[0]) >> np.uint64(32)) * np.uint64(3 * parts) >> np.uint64(32)).astype(np.int64)
     pool, part = pool[cell % 3 == 0], (cell // 3)[cell % 3 == 0]
