@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, neighbours, ngram_join, packing, pii, repetition, templates, toxicity, urls
+from . import bpe, divergence, importance, neighbours, ngram_join, packing, pii, repetition, templates, toxicity, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,9 +66,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_importance_resampling, op2_url_filters, op3_quality_rules, op4_html_extraction, op5_nearest_neighbours, op6_pii, op7_ngram_jaccard_join, op8_bpe, op9_packing, op10_toxicity)
+    for f in (op1_importance_resampling, op2_url_filters, op3_quality_rules, op4_html_extraction, op5_nearest_neighbours, op6_pii, op7_ngram_jaccard_join, op8_bpe, op9_packing, op10_toxicity, op11_source_divergence)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": r"""
@@ -85,4 +89,34 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
     """,
+    "op11_source_divergence": r"""
+        WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+        words AS (
+            SELECT lang, source, n, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM docs
+        ),
+        kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT n) >= 30),
+        per_lang AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        per_group AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        rates AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+                   (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)::HUGEINT) // (g.n + 5 * l.v)::HUGEINT)::BIGINT AS p,
+                   (1 + (1000000000::HUGEINT * (k.total + 5)::HUGEINT) // (l.n + 5 * l.v)::HUGEINT)::BIGINT AS q
+            FROM per_group g JOIN kept k USING (lang) JOIN per_lang l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+            FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        results AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM rates WHERE c > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM results QUALIFY part = 'pair' OR rank <= 50
+    """,
 }
