@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, importance, neighbours, ngram_join, packing, pii, repetition, templates, toxicity, urls
+from . import bpe, chat, divergence, importance, negatives, neighbours, ngram_join, packing, pii, repetition, templates, toxicity, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -70,6 +70,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=F.col("id") % 50 == 0, label=label)
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -79,7 +84,7 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_importance_resampling, op2_url_filters, op3_quality_rules, op4_html_extraction, op5_nearest_neighbours, op6_pii, op7_ngram_jaccard_join, op8_bpe, op9_packing, op10_toxicity, op11_source_divergence, op13_chat_formatting)
+    for f in (op1_importance_resampling, op2_url_filters, op3_quality_rules, op4_html_extraction, op5_nearest_neighbours, op6_pii, op7_ngram_jaccard_join, op8_bpe, op9_packing, op10_toxicity, op11_source_divergence, op12_hard_negatives, op13_chat_formatting)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": r"""
@@ -147,4 +152,20 @@ ORACLE_SQL: dict[str, str] = {
                CASE roles WHEN 'user,assistant' THEN 'prompt_completion' WHEN 'system,user,assistant' THEN 'instruction' ELSE 'messages' END AS layout
         FROM told
     """,
+    "op12_hard_negatives": r"""
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pairs AS (
+            SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS other_id, list_inner_product(a.v, r.v)::BIGINT AS score
+            FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id
+        ),
+        positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
 }
