@@ -83,7 +83,7 @@ def _tallied(collapsed: DataFrame) -> DataFrame:
         def flushed() -> Iterator[pa.RecordBatch]:
             for group, own in counts.items():
                 found = list(own)
-                columns = [pa.array([group[0]] * len(found)), pa.array([group[1]] * len(found)), pa.array([t.decode("utf-8", "replace") for t in found], pa.string()),
+                columns = [*(pa.array([g] * len(found), pa.string()) for g in group), pa.array([t.decode("utf-8", "replace") for t in found], pa.string()),
                            pa.array([own[t] for t in found], pa.int64()), pa.array([docs[group][t] for t in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             counts.clear()

@@ -847,4 +847,4 @@ def test_entry_registers_every_operator():
     import __spark_entry__ as driver
 
     names = driver.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14)) and "pipeline" in names
