@@ -1,29 +1,80 @@
-"""A kept lexical index: postings sorted by term, statistics and a manifest, so that a query reads its own terms only.
+"""A kept lexical index that follows its table: postings in segments, tombstones, compaction, and block maxima for top-k.
 
-Postings are dealt by range of (term, id) and sorted, so a frequent term lies in several files and the others' row groups are
-skipped by their statistics. The manifest is written last; an index without one, or of another state of its table, does not count.
+``kept`` brings an index up to date. Where the table's files are those of the last time, nothing is read. Else the texts' hashes are
+compared with the ledger of (owner, hash), and only new and edited owners are tokenized, into a segment of their own; owners that were edited or
+deleted put the units of older segments on a list of the dead. More than ``MOST_SEGMENTS`` segments, or as many dead as a quarter of the
+units, are merged from the postings alone. Every change is one commit (``snapshots``): readers keep the version that they opened.
+
+A unit is what is found: a document, or a piece of one. Units of a segment are numbered by length within each task and 128 of them in turn are a span. A
+posting row is a block: the units of one span that hold one word, with the most that the word can add to a score. Rows are dealt by range of (term, word, span)
+and sorted, so a query reads the row groups of its terms, and a frequent term lies in many files.
+
+``topk`` adds the blocks' maxima up for each span, scores the best spans, and reads the postings of other spans only where their sum can
+still reach the k-th score: the result is that of scoring everything. ``matches`` scores all units with a hit.
+
+Defined cases: null texts have no words, null owners are owners; owners in several rows are one owner with all their units; an empty table has an
+empty index; queries without a word find nothing; repeated query words count again.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
-from fernwood.sources import scratch
+from fernwood.sources import scratch, snapshots
+from fernwood.sources.scratch import dropped, written
 
 K1, B = 1.2, 0.75
+SPAN_BITS = 7  # a span is 2^7 units
+MOST_SEGMENTS = 8
+DEAD_SHARE = 4  # compaction at a dead unit in four
+FIRST_SPANS = 32  # scored before the others are judged
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, id, tf, n_words
-    n: int
-    average: float
+    spark: SparkSession
+    folder: str
+    manifest: dict
+
+    @property
+    def n(self) -> int:
+        return self.manifest["n"]
+
+    @property
+    def average(self) -> float:
+        return self.manifest["words"] / self.n if self.n and self.manifest["words"] else 1.0
+
+    def _read(self, kind: str) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.folder}/{s['path']}/{kind}").withColumn("seg", F.lit(s["seg"]).cast("long")) for s in self.manifest["segments"]]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _live(self, df: DataFrame, on: list[str], dead: str) -> DataFrame:
+        """Rows that no later segment has put away."""
+        lists = [self.spark.read.parquet(f"{self.folder}/{s['path']}/{dead}") for s in self.manifest["segments"] if s["dead"]]
+        return df.join(reduce(DataFrame.unionByName, lists), on, "left_anti") if lists else df
+
+    def postings(self) -> DataFrame:
+        """term, word, span, n, top, held (uid, tf, n_words), seg: blocks, those of dead units included."""
+        return self._read("postings")
+
+    def units(self) -> DataFrame:
+        """seg, uid, owner, id, n_words of all live units."""
+        return self._live(self._read("units"), ["seg", "uid"], "dead")
+
+    def ledger(self) -> DataFrame:
+        """owner, digest, seg of all live owners."""
+        return self._live(self._read("ledger"), ["seg", "row"], "closed")
+
+    def live(self, each: DataFrame) -> DataFrame:
+        return self._live(each, ["seg", "uid"], "dead")
 
 
 def fingerprint(df: DataFrame, key: str) -> DataFrame:
@@ -32,38 +83,197 @@ def fingerprint(df: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("digest", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.coalesce("last", F.lit(-1)).cast("string")), 256))
 
 
+def runs(held: DataFrame, keep: list[str], words: str, name: str) -> DataFrame:
+    """``keep``, ``name``, tf of every different word of the sorted array ``words``, counted within each row: nothing is shuffled."""
+    begins = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.element_at(words, i) != F.element_at(words, F.greatest(i - 1, F.lit(1)))))
+    marked = held.filter(F.size(words) > 0).select(*keep, words, F.explode(F.array(begins)).alias("begins"))
+    each = F.transform("begins", lambda b, k: F.struct(F.element_at(words, b).alias(name), (F.coalesce(F.try_element_at("begins", k + 2), F.size(words) + 1) - b).cast("bigint").alias("tf")))
+    return marked.select(*keep, F.inline(each))
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n_words, term, tf, counted within each row: nothing is shuffled."""
-    held = docs.select(F.col(key).alias("id"), F.explode(F.array(F.array_sort(T.tokens(T.folded(F.col(text)))))).alias("words")).filter("size(words) > 0")
-    begins = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == 1) | (F.element_at("words", i) != F.element_at("words", F.greatest(i - 1, F.lit(1)))))
-    marked = held.select("id", "words", F.explode(F.array(begins)).alias("begins"))
-    each = F.transform("begins", lambda b, k: F.struct(F.element_at("words", b).alias("term"), (F.coalesce(F.try_element_at("begins", k + 2), F.size("words") + 1) - b).cast("bigint").alias("tf")))
-    return marked.select("id", F.size("words").cast("bigint").alias("n_words"), F.inline(each))
+    """id, n_words, term, tf of every document's words."""
+    held = docs.select(F.col(key).alias("id"), F.explode(F.array(F.sort_array(T.tokens(T.folded(F.col(text)))))).alias("words"))
+    return runs(held.withColumn("n_words", F.size("words").cast("bigint")), ["id", "n_words"], "words", "term")
+
+
+def _gain(tf: Column, n_words: Column, average: float) -> Column:
+    """What a word adds to a score per unit of its rarity."""
+    tf = tf.cast("double")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words / average))
+
+
+def rarity(n: int, df: int) -> float:
+    return max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6) if n else 0.0
+
+
+def query_terms(query: str) -> list[str]:
+    return re.findall(r"\w+", query.lower())
+
+
+# --- building ----------------------------------------------------------------------------------------------------
+
+
+def _hashes(docs: DataFrame, text: str) -> DataFrame:
+    """owner, digest: an owner's texts as a bag, 128 bits."""
+    one = docs.select("owner", F.xxhash64(text).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+    return one.groupBy("owner").agg(F.concat_ws(":", F.count("*"), F.sum("a"), F.bit_xor("b")).alias("digest"))
 
 
-def opened(docs: DataFrame, key: str, text: str, *, name: str = "lexical") -> Index:
-    """The index of this state of ``docs``, built below the shared folder if it is not there."""
+def _segment(spark: SparkSession, folder: str, seg: int, units: DataFrame, tokens: DataFrame, terms: DataFrame, ledger: DataFrame) -> dict:
+    """Writes units (uid, owner, id, n_words), postings of tokens (uid, word, tf, n_words), terms (term, df) and the ledger (owner, digest); the segment's entry."""
+    path = snapshots.fresh(folder, "segment")
+    units.write.parquet(f"{path}/units")
+    n, words = spark.read.parquet(f"{path}/units").agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    average = words / n if n and words else 1.0
+    cells = tokens.select(T.folded(F.col("word")).alias("term"), "word", F.shiftright("uid", SPAN_BITS).alias("span"), F.struct("uid", "tf", "n_words").alias("x"), _gain(F.col("tf"), F.col("n_words"), average).alias("gain"))
+    dealt = cells.repartitionByRange("term", "word", "span").groupBy("term", "word", "span")  # one shuffle: ranges keep a block together
+    blocks = dealt.agg(F.count("*").alias("n"), F.max("gain").alias("top"), F.sort_array(F.collect_list("x")).alias("held"))  # 128 units at most
+    blocks.sortWithinPartitions("term", "word", "span").write.parquet(f"{path}/postings")
+    terms.write.parquet(f"{path}/terms")
+    ledger.withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/ledger")
+    return {"seg": seg, "path": path.rsplit("/", 1)[1], "n": n, "words": words, "average": average, "dead": 0}
+
+
+def kept(docs: DataFrame, *, owner: str = "doc_id", text: str = "text", name: str = "lexical", cut: Callable[[DataFrame], DataFrame] | None = None, at: str | None = None) -> Index:
+    """The index ``name`` of ``docs`` as they are now.
+
+    ``cut`` makes units of documents: from (owner, text) to (owner, id, text); without it a document is a unit. ``at`` is the index's folder; without it, one below the
+    shared folder that belongs to ``name`` and the folder of the table's files.
+    """
     spark = docs.sparkSession
-    state = fingerprint(docs.withColumn("_size", F.length(text)), key).select("n", "digest").first()
-    total = docs.agg(F.bit_xor(F.xxhash64(key, F.length(text)))).first()[0]
-    folder = f"{scratch.base(spark)}/index-{name}-{state['digest'][:16]}-{(total or 0) & 0xFFFFFFFFFFFFFFFF:x}"
-    if not scratch.exists(spark, f"{folder}/manifest/_SUCCESS"):
-        counts = term_counts(docs, key, text)
-        counts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-        stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(T.folded(F.col(text))))).alias("average"), F.lit(state["digest"]).alias("digest"))
-        stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
-    row = spark.read.parquet(f"{folder}/manifest").first()
-    return Index(spark.read.parquet(f"{folder}/postings"), row["n"], row["average"] or 1.0)
-
-
-def scores(index: Index, query: str) -> DataFrame:
-    """id, score (BM25) of every document with a term of the query; repeated terms count again."""
-    terms = re.findall(r"\w+", query.lower())
-    read = index.postings.filter(F.col("term").isin(list(dict.fromkeys(terms))))
-    frequent = {r["term"]: r["df"] for r in read.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the query
-    weight = F.lit(0.0)
-    for t, df in frequent.items():
-        weight = F.when(F.col("term") == t, terms.count(t) * max(math.log((index.n - df + 0.5) / (df + 0.5)), 1e-6)).otherwise(weight)
-    tf = F.col("tf").cast("double")
-    part = weight * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("n_words") / index.average))
-    return read.groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")
+    if at is None:
+        at = f"{scratch.base(spark)}/index-{name}-{snapshots.home(docs)}"
+    now = snapshots.state(docs)
+    last = snapshots.latest(spark, at)
+    if last and now and last["state"] == now:
+        return Index(spark, at, last)
+    source = docs.select(F.col(owner).alias("owner"), F.col(text).alias("text"))
+    hashes = _hashes(source, "text")
+    if last is None:
+        manifest = {"version": 1, "segments": [], "n": 0, "words": 0, "lost": 0}
+        fresh, chosen, closed = hashes, source, None
+    else:
+        old = Index(spark, at, last)
+        known = old.ledger().select(F.col("owner").alias("had"), F.col("digest").alias("was"), "row", "seg")
+        both = hashes.join(known, F.col("owner").eqNullSafe(F.col("had")), "full_outer")
+        changes = written(both.filter(~F.col("digest").eqNullSafe(F.col("was"))), "changes")
+        fresh = changes.filter("digest is not null").select("owner", "digest")
+        closed = changes.filter("was is not null").select("had", "seg", "row")
+        manifest = last | {"version": last["version"] + 1}
+        if changes.isEmpty():
+            return Index(spark, at, snapshots.commit(spark, at, manifest | {"state": now}) if now else last)
+        named = fresh.select(F.col("owner").alias("wanted"))
+        chosen = source.join(named, F.col("owner").eqNullSafe(F.col("wanted")), "left_semi")
+    seg = 1 + max((s["seg"] for s in manifest["segments"]), default=0)
+    pieces = cut(chosen) if cut else chosen.withColumn("id", F.col("owner"))
+    tokenized = pieces.select("owner", "id", F.explode(F.array(F.sort_array(F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>"))))).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    staged = written(tokenized.sortWithinPartitions("n_words").withColumn("uid", F.monotonically_increasing_id()), "staged")
+    terms = staged.select(F.explode(F.array_distinct(F.transform("words", T.folded))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    entry = _segment(spark, at, seg, staged.select("uid", "owner", "id", "n_words"), runs(staged, ["uid", "n_words"], "words", "word"), terms, fresh)
+    lost_n = lost_words = 0
+    if closed is not None:
+        at_owner = old.units().join(closed.select("had", F.col("seg").alias("of")).distinct(), F.col("owner").eqNullSafe(F.col("had")) & (F.col("seg") == F.col("of")))
+        at_owner.select("seg", "uid", "n_words").write.parquet(f"{at}/{entry['path']}/dead")
+        closed.select("seg", "row").write.parquet(f"{at}/{entry['path']}/closed")
+        lost_n, lost_words = spark.read.parquet(f"{at}/{entry['path']}/dead").agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+        entry["dead"] = 1
+        dropped(changes)
+    dropped(staged)
+    segments = [*manifest["segments"], entry]
+    manifest = manifest | {"state": now, "segments": segments, "n": manifest["n"] + entry["n"] - lost_n, "words": manifest["words"] + entry["words"] - lost_words, "lost": manifest["lost"] + lost_n}
+    index = Index(spark, at, snapshots.commit(spark, at, manifest))
+    return compacted(index) if len(segments) > MOST_SEGMENTS or manifest["lost"] * DEAD_SHARE > manifest["n"] else index
+
+
+def compacted(index: Index) -> Index:
+    """The index as one segment without dead units, made of its postings: no text is read."""
+    spark = index.spark
+    renumbered = written(index.units().sortWithinPartitions("n_words").withColumn("new", F.monotonically_increasing_id()), "renumbered")
+    each = index.postings().select("seg", "word", F.explode("held").alias("x")).select("seg", "word", "x.*")
+    tokens = each.join(renumbered.select("seg", "uid", "new"), ["seg", "uid"]).select(F.col("new").alias("uid"), "word", "tf", "n_words")
+    terms = tokens.select(T.folded(F.col("word")).alias("term"), "uid").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    units = renumbered.select(F.col("new").alias("uid"), "owner", "id", "n_words")
+    entry = _segment(spark, index.folder, 1, units, tokens, terms, index.ledger().select("owner", "digest"))
+    manifest = index.manifest | {"version": index.manifest["version"] + 1, "segments": [entry], "n": entry["n"], "words": entry["words"], "lost": 0}
+    dropped(renumbered)
+    return Index(spark, index.folder, snapshots.commit(spark, index.folder, manifest))
+
+
+# --- searching ---------------------------------------------------------------------------------------------------
+
+
+def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
+    """In how many live units each term stands: counts kept by segment; where some units are dead, counted in the postings."""
+    if index.manifest["lost"]:  # a row a term in either case
+        each = index.postings().filter(F.col("term").isin(terms)).select("seg", "term", F.explode("held.uid").alias("uid")).distinct()
+        return dict(index.live(each).groupBy("term").agg(F.count("*")).collect())
+    return dict(index._read("terms").filter(F.col("term").isin(terms)).groupBy("term").agg(F.sum("df")).collect())
+
+
+def _scored(index: Index, blocks: DataFrame, terms: list[str], weights: dict[str, float], hits: bool = False) -> DataFrame:
+    """seg, uid, score of the live units of these blocks; terms are added in the query's order."""
+    each = index.live(blocks.select("seg", "term", "word", F.explode("held").alias("x")).select("seg", "term", "word", "x.*"))
+    names = list(dict.fromkeys(terms))
+    tf = [F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(names)]
+    inside = [F.max(F.contains("word", F.lit(t)).cast("bigint")).alias(f"in{i}") for i, t in enumerate(names)] if hits else []
+    rows = each.groupBy("seg", "uid").agg(F.first("n_words").alias("n_words"), *tf, *inside)
+    score = F.lit(0.0)
+    for t in terms:
+        score = score + weights.get(t, 0.0) * _gain(F.col(f"tf{names.index(t)}"), F.col("n_words"), index.average)
+    if hits:
+        score = sum((F.col(f"in{names.index(t)}") for t in terms), F.lit(0)) + score
+    return rows.select("seg", "uid", score.alias("score"))
+
+
+@dataclass(frozen=True)
+class Found:
+    rows: DataFrame  # id, score
+    blocks: int  # of the query's terms
+    read: int  # of them whose postings were read
+
+
+def topk(index: Index, query: str, k: int) -> Found:
+    """The ``k`` units with the highest BM25 score above 0, ties by id, and how many blocks that took."""
+    terms = query_terms(query)
+    spark = index.spark
+    if not terms or not index.manifest["segments"] or not index.n:
+        return Found(spark.createDataFrame([], "id long, score double"), 0, 0)
+    df = frequencies(index, list(dict.fromkeys(terms)))
+    weights = {t: rarity(index.n, n) for t, n in df.items()}
+    own = index.postings().filter(F.col("term").isin(list(dict.fromkeys(terms))))
+    weight, growth = F.lit(0.0), F.lit(1.0)
+    for t, w in weights.items():
+        weight = F.when(F.col("term") == t, terms.count(t) * w).otherwise(weight)
+    for s in index.manifest["segments"]:  # gains were measured at the segment's own mean length
+        growth = F.when(F.col("seg") == s["seg"], max(1.0, index.average / s["average"])).otherwise(growth)
+    spans = written(own.groupBy("seg", "span").agg((F.sum(weight * F.col("top") * growth) * (1 + 1e-9)).alias("most"), F.count("*").alias("blocks")), "spans")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        return _scored(index, own.join(chosen.select("seg", "span"), ["seg", "span"], "left_semi"), terms, weights).filter("score > 0")
+
+    def least(scores: DataFrame) -> float:
+        worst, n = scores.orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count("*")).first()
+        return worst if n == k else -math.inf
+
+    floor = least(scored(spans.orderBy(F.desc("most"), "seg", "span").limit(max(FIRST_SPANS, 2 * k >> SPAN_BITS))))
+    every, read = spans.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("most") >= floor, F.col("blocks"))), F.lit(0))).first()
+    scores = written(scored(spans.filter(F.col("most") >= floor)), "scores")
+    best = scores.filter(F.col("score") >= least(scores)).join(index.units().select("seg", "uid", "id"), ["seg", "uid"])
+    dropped(spans)
+    return Found(best.select("id", "score").orderBy(F.desc("score"), "id").limit(k), every, read)
+
+
+def matches(index: Index, query: str) -> DataFrame:
+    """owner, id, score of every unit that holds a term of the query as a substring: the number of terms found so, plus BM25.
+
+    A term is a run of word characters, so it stands inside one word: only the words that contain a term are read.
+    """
+    terms = query_terms(query)
+    if not terms or not index.manifest["segments"]:
+        return index.spark.createDataFrame([], "owner long, id long, score double")
+    names = list(dict.fromkeys(terms))
+    holds = reduce(lambda a, b: a | b, (F.contains("word", F.lit(t)) for t in names))
+    weights = {t: rarity(index.n, n) for t, n in frequencies(index, names).items()}
+    own = index.postings().filter(F.col("term").isin(names) | holds)
+    return _scored(index, own, terms, weights, hits=True).filter("score > 0").join(index.units(), ["seg", "uid"]).select("owner", "id", "score")

@@ -7,13 +7,14 @@ for each query term. Chunking and scoring need no shuffle and read texts once; l
 from __future__ import annotations
 
 import math
-import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
 from fernwood.functions import vectors as V
+from fernwood.operators import index
 from fernwood.sources.scratch import written
 
 SEGMENT = 800  # characters of a chunk
@@ -58,7 +59,7 @@ def chunks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def query_terms(query: str) -> list[str]:
-    return re.findall(r"\w+", query.lower())
+    return index.query_terms(query)
 
 
 def tallied(pieces: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
@@ -107,7 +108,7 @@ def lexical(pieces: DataFrame, query: str) -> DataFrame:
 def retained(scored: DataFrame, budget: int) -> DataFrame:
     """The best ``budget`` rows, formal and preferred versions first, with ranks by score alone."""
     best = scored.orderBy(F.desc("formal"), F.desc("preferred"), F.desc("score"), "chunk_id").limit(budget)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # at most ``budget`` rows
 
 
 def fused(lists: list[DataFrame]) -> DataFrame:
@@ -138,6 +139,84 @@ def hybrid(eligible: DataFrame, vectors: DataFrame, query: str, query_vector: li
     return page.select(F.row_number().over(Window.orderBy(*final_order())).cast("bigint").alias("position"), "chunk_id", "version_id", "formal", "preferred", F.round("rrf", 9).alias("rrf"))
 
 
+def chunk_key(owner: str, ordinal: str) -> Column:
+    return F.concat_ws(":", F.col(owner).cast("string"), F.col(ordinal).cast("string"))
+
+
+def chunk_index(docs: DataFrame) -> index.Index:
+    """The kept index of the chunks of documents (doc_id, text); a chunk's id is its document's and its ordinal."""
+
+    def cut(source: DataFrame) -> DataFrame:
+        return chunks(source.withColumnRenamed("owner", "doc_id")).select(F.col("doc_id").alias("owner"), chunk_key("doc_id", "ordinal").alias("id"), "text")
+
+    return index.kept(docs, name="chunks", cut=cut)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """The two ranked lists of a search over a kept index, each bounded by the budget, with what was cut."""
+
+    lexical: DataFrame  # chunk_id, version_id, formal, preferred, score, rank
+    near: DataFrame
+    eligible: int
+    lexical_matches: int
+    vectors: int
+    budget: int
+    warnings: tuple[str, ...]
+
+
+def lists(kept: index.Index, flags: DataFrame, query: str, near: DataFrame | None, *, budget: int = 10_000, warnings: tuple[str, ...] = ()) -> Lists:
+    """Lists of the eligible chunks of ``kept``. ``flags``: version_id, formal, preferred of eligible versions; ``near``: chunk_id, score of vectors, or None. No text is read."""
+    fields = ["chunk_id", "version_id", "formal", "preferred", "score"]
+    versions = flags.select("version_id", "formal", "preferred")
+    eligible = written(kept.units().select(F.col("owner").alias("version_id"), F.col("id").alias("chunk_id")).join(versions, "version_id"), "eligible")
+    spark = kept.spark
+    none = spark.createDataFrame([], eligible.schema.add("score", "double")).select(fields)
+    found = index.matches(kept, query).select(F.col("owner").alias("version_id"), F.col("id").alias("chunk_id"), "score")
+    lex = written(found.join(versions, "version_id").select(fields), "lexical")
+    scored = written(near.join(eligible, "chunk_id").select(fields), "near") if near is not None else none
+    best = [written(retained(x, budget), "retained") for x in (lex, scored)]
+    return Lists(*best, eligible.count(), lex.count(), scored.count(), budget, warnings)
+
+
+def ranked_union(found: Lists) -> DataFrame:
+    """chunk_id, version_id, formal, preferred, rrf, place over both lists; at most twice the budget."""
+    return fused([found.lexical, found.near]).withColumn("place", F.row_number().over(Window.orderBy(*final_order())))
+
+
+def page(found: Lists, texts: DataFrame, *, top_k: int = 10) -> DataFrame:
+    """position, chunk_id, version_id, formal, preferred, rrf, lexical_score, vector_score, text of the best chunks, at most ``PER_VERSION`` of a version.
+
+    ``texts``: doc_id, text; only the documents of the page are read for it.
+    """
+    within = ranked_union(found).filter(F.col("place") <= found.budget)
+    capped = within.withColumn("of_version", F.row_number().over(Window.partitionBy("version_id").orderBy("place"))).filter(F.col("of_version") <= PER_VERSION)
+    top = written(capped.withColumn("position", F.row_number().over(Window.orderBy("place")).cast("bigint")).filter(F.col("position") <= top_k), "page")
+    shown = F.broadcast(top.select(F.col("version_id").alias("doc_id")).distinct())  # ``top_k`` rows at most
+    pieces = chunks(texts.join(shown, "doc_id", "left_semi")).select(chunk_key("doc_id", "ordinal").alias("chunk_id"), "text")
+    scores = [x.select("chunk_id", F.col("score").alias(name)) for x, name in ((found.lexical, "lexical_score"), (found.near, "vector_score"))]
+    out = top.join(pieces, "chunk_id").join(scores[0], "chunk_id", "left").join(scores[1], "chunk_id", "left")
+    return out.select("position", "chunk_id", "version_id", "formal", "preferred", F.round("rrf", 9).alias("rrf"), F.round("lexical_score", 6).alias("lexical_score"), F.round("vector_score", 6).alias("vector_score"), "text")
+
+
+def diagnostics(found: Lists, unfinished: DataFrame, *, top_k: int = 10) -> DataFrame:
+    """One row: what was scanned, matched and cut, whether that could have changed the page, status and warnings. ``unfinished``: jobs that are not done."""
+    place = ranked_union(found).withColumn("on_page", F.row_number().over(Window.partitionBy("version_id").orderBy("place")) <= PER_VERSION)
+    shown = place.filter(F.col("on_page") & (F.col("place") <= found.budget)).orderBy("place").limit(top_k).agg(F.count("*").alias("hits"), F.min("rrf").alias("page_floor"))
+    facts = place.agg(F.count("*").alias("union_count"), F.max(F.when(F.col("place") > found.budget, F.col("rrf"))).alias("over"))
+    cut = (found.lexical_matches > found.budget, found.vectors > found.budget)
+    list_bound = F.lit(2.0 / (RRF_K + found.budget) if any(cut) else None).cast("double")
+    best = F.greatest("over", list_bound)  # nulls are passed over
+    truncated = F.coalesce(best >= F.col("page_floor"), F.lit(False))
+    todo = unfinished.agg(F.count("*").alias("unfinished"))
+    status = F.when(truncated, "candidate_budget_exhausted").when(F.col("hits") > 0, "matching_results").when(F.col("unfinished") > 0, "processing_incomplete").otherwise("no_matching_results")
+    return facts.join(shown).join(todo).select(
+        F.lit(found.eligible).cast("bigint").alias("eligible"), F.lit(found.lexical_matches).cast("bigint").alias("lexical_matches"), F.lit(found.vectors).cast("bigint").alias("vectors"),
+        F.lit(cut[0]).alias("lexical_list_cut"), F.lit(cut[1]).alias("vector_list_cut"), "union_count", (F.col("union_count") > found.budget).alias("union_cut"),
+        F.round(best, 9).alias("best_discarded"), F.round("page_floor", 9).alias("page_floor"), truncated.alias("truncated"), status.alias("status"), F.array_join(F.array(*map(F.lit, found.warnings)), ",").alias("warnings"),
+    )
+
+
 def bound(lex: DataFrame, near: DataFrame, budget: int, top_k: int) -> DataFrame:
     """best_discarded, page_floor, truncated: whether what the budget cut could have reached the page."""
     cut = 2.0 / (RRF_K + budget)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from fernwood.functions import text as T
 from fernwood.functions import vectors as V
-from fernwood.operators import literature, search
+from fernwood.operators import artefact, literature, search
 from fernwood.plans.text_queries import CHUNKS_SQL, KEYWORDS, PLAIN_SQL, QUERY, SPLIT_SQL, normal_sql
+from fernwood.sources import scratch, snapshots
 from fernwood.sources.tables import table
 
-DIM, BUDGET, TOP = 64, 200, 10
+DIM, BUDGET, TOP = 64, 10_000, 10
+SMALL = 200  # the budget of the query that shows what a budget cuts
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -63,40 +65,63 @@ def similar_level(spark: SparkSession, d: str) -> DataFrame:
     return mixed.orderBy(F.desc("mix"), "vec_id").limit(20).select("vec_id", F.round("mix", 6).alias("mix"))
 
 
-def _eligible(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of documents; English counts as formal, good quality as preferred."""
-    good = table(spark, d, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("preferred", F.lit(True))
-    docs = table(spark, d, "documents")
-    flagged = docs.select("doc_id", "text", (F.col("lang") == "en").alias("formal")).join(good, "doc_id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
-    pieces = search.chunks(flagged, carry=("formal", "preferred"))
-    return pieces.select((F.col("doc_id") * 100_000 + F.col("ordinal")).alias("chunk_id"), F.col("doc_id").alias("version_id"), "text", "formal", "preferred")
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    """All documents are eligible versions; English counts as formal, good quality as preferred."""
+    good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("version_id")).distinct().withColumn("preferred", F.lit(True))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("version_id"), (F.col("lang") == "en").alias("formal"))
+    return docs.join(good, "version_id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
+
+
+def _copy(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The embeddings, and the folder of their packed copy, which is built if it is not there or not theirs."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    folder = f"{scratch.base(spark)}/vectors-{snapshots.home(vectors)}"
+    artefact.build(vectors, folder, DIM)
+    return vectors, folder
+
+
+def packed_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Scores from the packed copy, the nearest 50."""
+    vectors, folder = _copy(spark, d)
+    found, status = artefact.scores(vectors, folder, _query_vector(spark, d))
+    return found.orderBy(F.desc("score"), "key").limit(50).select(F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), F.lit(status).alias("status"))
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def _lists(spark: SparkSession, d: str, budget: int = BUDGET) -> search.Lists:
     """A document's vector stands for its first chunk."""
-    return table(spark, d, "embeddings").select((F.col("vec_id") * 100_000).alias("chunk_id"), F.col("embedding").alias("vector"))
+    vectors, folder = _copy(spark, d)
+    near, status = artefact.scores(vectors, folder, _query_vector(spark, d))
+    first = near.select(F.concat_ws(":", F.col("key").cast("string"), F.lit("0")).alias("chunk_id"), "score")
+    kept = search.chunk_index(table(spark, d, "documents").select("doc_id", "text"))
+    return search.lists(kept, _flags(spark, d), QUERY, first, budget=budget, warnings=(status,))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(_eligible(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), budget=BUDGET, top_k=TOP)
+    """A page with its texts, over the kept index and the packed vectors."""
+    return search.page(_lists(spark, d), table(spark, d, "documents").select("doc_id", "text"), top_k=TOP)
 
 
-def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    fields = ["chunk_id", "version_id", "formal", "preferred", "score"]
-    terms = search.query_terms(QUERY)
-    tallies = search.tallied(_eligible(spark, d), terms)
-    near = tallies.join(_vectors(spark, d), "chunk_id").withColumn("score", V.cosine(F.col("vector"), V.literal(_query_vector(spark, d))))
-    return search.matching(tallies, terms).select(fields), near.select(fields)
+def search_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return search.diagnostics(_lists(spark, d), table(spark, d, "orders").filter("o_orderstatus = 'O'"), top_k=TOP)
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    lex, near = _lists(spark, d)
-    return search.fused([search.retained(lex, BUDGET), search.retained(near, BUDGET)]).select("chunk_id", F.round("rrf", 9).alias("rrf"))
+    found = _lists(spark, d)
+    return search.fused([found.lexical, found.near]).select("chunk_id", F.round("rrf", 9).alias("rrf"))
 
 
 def truncation_bound(spark: SparkSession, d: str) -> DataFrame:
-    lex, near = _lists(spark, d)
-    return search.bound(lex, near, BUDGET, TOP)
+    """What a budget of 200 cuts, and whether that could have reached the page."""
+    found = _lists(spark, d, SMALL)
+    return search.diagnostics(found, table(spark, d, "orders").limit(0), top_k=TOP).select("best_discarded", "page_floor", "truncated")
+
+
+def scan_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking of ``hybrid_search`` without an index: all texts are cut, read and scored anew."""
+    pieces = search.chunks(table(spark, d, "documents")).join(_flags(spark, d).withColumnRenamed("version_id", "doc_id"), "doc_id")
+    eligible = pieces.select(search.chunk_key("doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").alias("version_id"), "text", "formal", "preferred")
+    vectors = table(spark, d, "embeddings").select(F.concat_ws(":", F.col("vec_id").cast("string"), F.lit("0")).alias("chunk_id"), F.col("embedding").alias("vector"))
+    return search.hybrid(eligible, vectors, QUERY, _query_vector(spark, d), budget=BUDGET, top_k=TOP)
 
 
 def literature_query(spark: SparkSession, d: str) -> DataFrame:
@@ -120,9 +145,10 @@ def literature_query(spark: SparkSession, d: str) -> DataFrame:
 
 V0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 SCORED_SQL = f"scored AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], {V0}) AS score FROM embeddings)"
-LISTS_SQL = f"""{CHUNKS_SQL},
+def lists_sql(budget: int) -> str:
+    return f"""{CHUNKS_SQL},
 eligible AS (
-    SELECT c.doc_id * 100000 + c.ordinal AS chunk_id, c.doc_id AS version_id, c.text, d.lang = 'en' AS formal,
+    SELECT c.doc_id || ':' || c.ordinal AS chunk_id, c.doc_id AS version_id, c.text, d.lang = 'en' AS formal,
            EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.doc_id AND l.quality = 1) AS preferred
     FROM chunks c JOIN documents d USING (doc_id)
 ),
@@ -136,21 +162,35 @@ lex AS (
                / (len(list_filter(w.words, lambda x: x = f.term)) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w.words) / s.avgdl))) AS score
     FROM words w, dfs f, stats s GROUP BY ALL HAVING score > 0
 ),
-near AS (SELECT e.chunk_id, e.version_id, e.formal, e.preferred, list_cosine_similarity(v.embedding::DOUBLE[], {V0}) AS score FROM eligible e JOIN embeddings v ON e.chunk_id = v.vec_id * 100000),
+near AS (SELECT e.chunk_id, e.version_id, e.formal, e.preferred, list_cosine_similarity(v.embedding::DOUBLE[], {V0}) AS score FROM eligible e JOIN embeddings v ON e.chunk_id = v.vec_id || ':0'),
 kept AS (
-    SELECT * FROM (SELECT * FROM lex ORDER BY formal DESC, preferred DESC, score DESC, chunk_id LIMIT {BUDGET})
+    SELECT * FROM (SELECT * FROM lex ORDER BY formal DESC, preferred DESC, score DESC, chunk_id LIMIT {budget})
 ),
 kept2 AS (
-    SELECT * FROM (SELECT * FROM near ORDER BY formal DESC, preferred DESC, score DESC, chunk_id LIMIT {BUDGET})
+    SELECT * FROM (SELECT * FROM near ORDER BY formal DESC, preferred DESC, score DESC, chunk_id LIMIT {budget})
 ),
 ranked AS (
     SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM kept
     UNION ALL SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM kept2
 ),
 fused AS (SELECT chunk_id, version_id, formal, preferred, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM ranked GROUP BY ALL)"""
+
+
+LISTS_SQL = lists_sql(BUDGET)
 ORDER = "formal DESC, preferred DESC, rrf DESC, chunk_id"
 
-QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_validity, knn_per_label_top5, post_filter_knn, pre_filter_knn, similar_level, hybrid_search, rrf_fusion, truncation_bound, literature_query)}
+
+
+def facts_sql(budget: int) -> str:
+    return f"""p AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS place FROM fused),
+        c AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY place) AS of_version FROM p),
+        shown AS (SELECT rrf FROM c WHERE of_version <= 5 AND place <= {budget} ORDER BY place LIMIT {TOP}),
+        counts AS (SELECT (SELECT count(*) FROM lex) AS n_lex, (SELECT count(*) FROM near) AS n_near, (SELECT count(*) FROM fused) AS union_count, (SELECT max(rrf) FROM p WHERE place > {budget}) AS over,
+                          (SELECT count(*) FROM shown) AS hits, (SELECT min(rrf) FROM shown) AS page_floor),
+        facts AS (SELECT *, greatest(over, CASE WHEN n_lex > {budget} OR n_near > {budget} THEN 2.0::DOUBLE / (60 + {budget}) END) AS best FROM counts)"""
+
+
+QUERIES = {f.__name__: f for f in (vector_topk_cosine, vector_topk_l2, vector_validity, knn_per_label_top5, post_filter_knn, pre_filter_knn, similar_level, packed_vectors, hybrid_search, scan_search, search_diagnostics, rrf_fusion, truncation_bound, literature_query)}
 KEYS_SQL = "['tions', 'thing', 'ouren', 'the', 'ende']"
 
 
@@ -168,14 +208,24 @@ SQL = {
     "pre_filter_knn": f"WITH {SCORED_SQL} SELECT vec_id, source FROM scored JOIN documents ON doc_id = vec_id WHERE lang = 'en' ORDER BY score DESC, vec_id LIMIT 100",
     "similar_level": f"""WITH {SCORED_SQL}, m AS (SELECT s.vec_id, 0.6::DOUBLE * s.score + 0.4::DOUBLE * ({_lead()}) AS mix FROM scored s JOIN documents ON doc_id = vec_id WHERE s.label = (SELECT label FROM embeddings WHERE vec_id = 0))
         SELECT vec_id, round(mix, 6) AS mix FROM m ORDER BY m.mix DESC, vec_id LIMIT 20""",
-    "hybrid_search": f"""WITH {LISTS_SQL}, best AS (SELECT * FROM fused ORDER BY {ORDER} LIMIT {BUDGET}),
+    "scan_search": f"""WITH {LISTS_SQL}, best AS (SELECT * FROM fused ORDER BY {ORDER} LIMIT {BUDGET}),
         capped AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY {ORDER}) AS of_version FROM best),
         page AS (SELECT row_number() OVER (ORDER BY {ORDER}) AS position, chunk_id, version_id, formal, preferred, rrf FROM capped WHERE of_version <= 5)
         SELECT position, chunk_id, version_id, formal, preferred, round(rrf, 9) AS rrf FROM page WHERE position <= {TOP}""",
+    "hybrid_search": f"""WITH {LISTS_SQL}, best AS (SELECT * FROM fused ORDER BY {ORDER} LIMIT {BUDGET}),
+        capped AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY {ORDER}) AS of_version FROM best),
+        page AS (SELECT row_number() OVER (ORDER BY {ORDER}) AS position, chunk_id, version_id, formal, preferred, rrf FROM capped WHERE of_version <= 5)
+        SELECT position, p.chunk_id, p.version_id, p.formal, p.preferred, round(rrf, 9) AS rrf, round(l.score, 6) AS lexical_score, round(n.score, 6) AS vector_score, e.text
+        FROM page p JOIN eligible e USING (chunk_id) LEFT JOIN kept l ON l.chunk_id = p.chunk_id LEFT JOIN kept2 n ON n.chunk_id = p.chunk_id WHERE position <= {TOP}""",
     "rrf_fusion": f"WITH {LISTS_SQL} SELECT chunk_id, round(rrf, 9) AS rrf FROM fused",
-    "truncation_bound": f"""WITH {LISTS_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS place FROM fused),
-        f AS (SELECT greatest(coalesce(max(CASE WHEN place > {BUDGET} THEN rrf END), 0), CASE WHEN (SELECT count(*) FROM lex) > {BUDGET} OR (SELECT count(*) FROM near) > {BUDGET} THEN 2.0::DOUBLE / (60 + {BUDGET}) ELSE 0 END) AS best, min(CASE WHEN place <= {TOP} THEN rrf END) AS page_floor FROM p)
-        SELECT round(best, 9) AS best_discarded, round(page_floor, 9) AS page_floor, best >= page_floor AS truncated FROM f""",
+    "packed_vectors": f"WITH {SCORED_SQL} SELECT vec_id, round(score, 6) AS score, 'vector_binary_scan' AS status FROM scored ORDER BY scored.score DESC, vec_id LIMIT 50",
+    "truncation_bound": f"WITH {lists_sql(SMALL)}, {facts_sql(SMALL)} SELECT round(best, 9) AS best_discarded, round(page_floor, 9) AS page_floor, coalesce(best >= page_floor, false) AS truncated FROM facts",
+    "search_diagnostics": f"""WITH {LISTS_SQL}, {facts_sql(BUDGET)}
+        SELECT (SELECT count(*) FROM eligible) AS eligible, n_lex AS lexical_matches, n_near AS vectors, n_lex > {BUDGET} AS lexical_list_cut, n_near > {BUDGET} AS vector_list_cut, union_count, union_count > {BUDGET} AS union_cut,
+               round(best, 9) AS best_discarded, round(page_floor, 9) AS page_floor, coalesce(best >= page_floor, false) AS truncated,
+               CASE WHEN best >= page_floor THEN 'candidate_budget_exhausted' WHEN hits > 0 THEN 'matching_results' WHEN (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') > 0 THEN 'processing_incomplete' ELSE 'no_matching_results' END AS status,
+               'vector_binary_scan' AS warnings
+        FROM facts""",
     "literature_query": f"""WITH {SCORED_SQL}, b AS (
             SELECT doc_id, len(list_filter({KEYS_SQL}, lambda k: contains(lower(text), k))) > 0 AS hit, {_lead()} AS j, s.score, l.quality
             FROM documents LEFT JOIN scored s ON s.vec_id = doc_id LEFT JOIN labels l USING (doc_id)),

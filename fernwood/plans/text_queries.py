@@ -48,6 +48,13 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """From the kept index, which reads the blocks that can reach the best 20."""
+    best = index.topk(index.kept(table(spark, d, "documents").select("doc_id", "text")), QUERY, 20).rows
+    return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: all texts are read."""
     terms = search.query_terms(QUERY)
     held = search.tallied(table(spark, d, "documents").select("doc_id", "text"), terms)
     best = held.select("doc_id", search.bm25(held, terms).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
@@ -129,7 +136,7 @@ def normal_sql(words: str) -> str:
 
 
 SPLIT_SQL = r"string_split_regex(text, '[ \n\t]+')"
-QUERIES = {f.__name__: f for f in (chunk_lines, chunk_stats, tokenize_terms, doc_lengths, bm25_topk, substring_score, normalize_tokens, heading_jaccard, token_hit, article_type_case, raw_match_verdict, token_budget, identifier_normalize, html_visible_text, page_markdown_nodes, page_tree_chunks, snippet_extract)}
+QUERIES = {f.__name__: f for f in (chunk_lines, chunk_stats, tokenize_terms, doc_lengths, bm25_topk, bm25_scan, substring_score, normalize_tokens, heading_jaccard, token_hit, article_type_case, raw_match_verdict, token_budget, identifier_normalize, html_visible_text, page_markdown_nodes, page_tree_chunks, snippet_extract)}
 SQL = {
     "chunk_lines": f"WITH {CHUNKS_SQL} SELECT * FROM chunks",
     "chunk_stats": f"""WITH {CHUNKS_SQL}, sizes AS (SELECT length(text) AS size, row_number() OVER (ORDER BY length(text)) - 1 AS place, count(*) OVER () AS n FROM chunks)
@@ -162,3 +169,4 @@ SQL = {
             regexp_extract(url, '^([A-Za-z]+)://([^/?#@\s]+)([^?#\s]*)([^\s]*)$', 3) AS path, regexp_extract(url, '^([A-Za-z]+)://([^/?#@\s]+)([^?#\s]*)([^\s]*)$', 4) AS rest FROM pages)
         SELECT page_id, CASE WHEN scheme IN ('http', 'https') THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || rest END AS identifier FROM p""",
 }
+SQL["bm25_scan"] = SQL["bm25_topk"]

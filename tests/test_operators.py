@@ -178,19 +178,6 @@ def test_lookups(spark):
     assert [r.status for r in lookup.status(counts, 200).collect()] == ["no_matching_results", "processing_incomplete", "matching_results", "candidate_budget_exhausted"]
 
 
-def test_index_is_built_once_a_state_and_prunes(spark):
-    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta beta gamma") for i in range(300)], "doc_id long, text string")
-    first = index.opened(docs, "doc_id", "text", name="tested")
-    again = index.opened(docs, "doc_id", "text", name="tested")
-    assert first.postings.inputFiles() == again.postings.inputFiles() and first.n == 300
-    grown = index.opened(docs.unionByName(spark.createDataFrame([(900, "delta")], docs.schema)), "doc_id", "text", name="tested")
-    assert grown.n == 301 and grown.postings.inputFiles() != first.postings.inputFiles()
-    plan = index.scores(first, "alpha3 beta")._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(term" in plan
-    got = {r.id: r.tf for r in first.postings.filter("term = 'beta'").collect()}
-    assert got == dict.fromkeys(range(300), 2)
-
-
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "pmid long, title string, note string")
     tables.write_jsonl(rows, str(tmp_path / "jsonl"))
