@@ -12,8 +12,8 @@ The template then says what its slots hold, by how their contents vary over the
 * the article lies below the nested class tags that stand once a page and hold most of their parent's text (outside links) on at
   least half of the pages that have them. Going down from the root, each layout of a host may have its own such tags; a page's
   article is below the last of them that it has. Headings directly in a tag around it belong to it, body and html excepted;
-* wording of the template goes; so do slots that hold little but links (menus) and those that hold little but texts which other
-  pages have too (notices). Where most of the text of the articles found recurs, its pages are copies of each other, and then
+* wording of the template goes, but for that inside the article; so do slots that hold little but links (menus) and those that hold little but texts which other
+  pages have too (notices; headings are none). Where most of the text of the articles found recurs, its pages are copies of each other, and then
   nothing inside the article goes for recurring; nor on a page of which nothing would be left.
 
 Names of HTML and of structure (``names``) only break ties: below the article they remove asides, forms, adverts, comments and
@@ -93,32 +93,26 @@ def step_of(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
 
 
 class Frame:
-    """An open tag. ``named``: by its names it holds no article; one found to hold an ``article`` or ``main`` loses this."""
+    """A tag of a page. ``named``: by its names it holds no article; one found to hold an ``article`` or ``main`` loses this.
 
-    __slots__ = ("tag", "path", "bad", "named", "main", "up")
+    What depends on the tags around is passed down (or sums up) in one walk over the tags in their order, so depth costs nothing:
+    ``unwanted`` (by names, known once the page is read), ``held`` and ``linked`` (characters below, and of them inside links), ``slot`` (innermost tag
+    of the template) and ``inside`` (below an end of the way to the article).
+    """
+
+    __slots__ = ("tag", "path", "bad", "named", "main", "up", "unwanted", "held", "linked", "slot", "inside")
 
     def __init__(self, tag: str, path: int, bad: bool, named: bool, main: bool, up: Frame | None) -> None:
         self.tag, self.path, self.bad, self.named, self.main, self.up = tag, path, bad, named, main, up
-
-    def around(self) -> Iterator[Frame]:
-        """This tag and those around it, from the inside out; the last is the page."""
-        frame: Frame | None = self
-        while frame:
-            yield frame
-            frame = frame.up
-
-
-ROOT = Frame("", 0, False, False, False, None)
-
-
-def unwanted(frame: Frame) -> bool:
-    """Whether a block's enclosing structure is not article by names, known once the page is read."""
-    return frame.bad or any(f.named for f in frame.around())
+        self.unwanted = self.inside = False
+        self.held = self.linked = self.slot = 0
 
 
 def read(html: str, names: bool = True) -> tuple[list[Frame], list[tuple[Frame, str, int]]]:
     """Opened tags, and blocks as (enclosing tag, text, characters inside links). Without ``names`` no tag counts as article or not by them."""
-    stack: list[Frame] = [ROOT]
+    stack: list[Frame] = [Frame("", 0, False, False, False, None)]
+    places: dict[str, list[int]] = {}  # open tags by name, as places in the stack
+    holders: set[int] = {0}  # places in the stack of tags known to hold an article
     opened: list[Frame] = []
     blocks: list[tuple[Frame, str, int]] = []
     run: list[str] = []
@@ -133,6 +127,12 @@ def read(html: str, names: bool = True) -> tuple[list[Frame], list[tuple[Frame,
             run.clear()
         linked = 0
 
+    def leave(depth: int) -> None:
+        """Closes the tags from this place on."""
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+            holders.discard(len(stack))
+
     for m in TOKEN.finditer(html):
         kind = m.lastgroup
         text = m["text"]
@@ -156,26 +156,31 @@ def read(html: str, names: bool = True) -> tuple[list[Frame], list[tuple[Frame,
         close_block()
         in_link = 0
         if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            if places.get(tag):
+                leave(places[tag][-1])
             continue
         if tag in VOID:
             continue
         if stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option")):
-            stack.pop()
+            leave(len(stack) - 1)
         top = stack[-1]
         if top.tag == "head" and tag in ("body", "article", "div", "main", "p"):
-            stack.pop()
+            leave(len(stack) - 1)
             top = stack[-1]
         label, hidden, kind, named = step_of(tag, m["attrs"])
         main = top.main or (names and tag in MAIN_TAGS)
         if names and tag in MAIN_TAGS and not top.main and not named:
-            for above in stack[1:]:
-                above.named = False
+            at = len(stack) - 1
+            while at not in holders:  # tags around one that holds an article are known to hold one
+                stack[at].named = False
+                holders.add(at)
+                at -= 1
+        places.setdefault(tag, []).append(len(stack))
         stack.append(Frame(tag, token_hash(str(top.path), label), top.bad or hidden or (names and (kind or (tag == "header" and not top.main))), names and named, main, top))
         opened.append(stack[-1])
     close_block()
+    for f in opened:
+        f.unwanted = f.bad or f.named or f.up.unwanted
     return opened, blocks
 
 
@@ -197,16 +202,27 @@ def tally(html: str, digest: int, names: bool) -> Iterator[tuple[int, int, bool,
     opened, blocks = read(html, names)
     tags: dict[int, list] = {0: [1, None, False, 0, 0]}
     for f in opened:
-        tags.setdefault(f.path, [0, f.up.path, unwanted(f), 0, 0])[0] += 1
+        tags.setdefault(f.path, [0, f.up.path, f.unwanted, 0, 0])[0] += 1
     texts: dict[tuple[int, str], list[int]] = {}
     for frame, text, linked in blocks:
         linked = min(linked, len(text))
         texts.setdefault((frame.path, text), [0, 0])
         texts[frame.path, text][0] += 1
         texts[frame.path, text][1] += linked
-        for f in frame.around():
-            tags[f.path][3] += len(text)
-            tags[f.path][4] += linked
+        frame.held += len(text)
+        frame.linked += linked
+        if not frame.path:
+            tags[0][3] += len(text)
+            tags[0][4] += linked
+    for f in reversed(opened):  # inner tags come after those around them
+        tags[f.path][3] += f.held
+        tags[f.path][4] += f.linked
+        if f.up.path:
+            f.up.held += f.held
+            f.up.linked += f.linked
+        else:
+            tags[0][3] += f.held
+            tags[0][4] += f.linked
     for path, (n, up, named, chars, linked) in tags.items():
         over = tags[up] if up is not None else None
         wins = over is not None and 2 * (chars - linked) > over[3] - over[4]
@@ -308,10 +324,6 @@ class Template:
         self.wording, self.slots, self.route, self.menus, self.notices = map(frozenset, (wording, [*slots, 0], route, menus, notices))
         self.copies = copies
 
-    def slot_of(self, frame: Frame) -> int:
-        """The innermost tag of the template around a block."""
-        return next(f.path for f in frame.around() if f.path in self.slots)
-
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -320,22 +332,35 @@ def main_text(html: str, template: Template, names: bool = True) -> str:
     """The article's blocks, joined by newlines."""
     opened, blocks = read(html, names)
     on_way = {f.path: f for f in opened if f.path in template.route}
-    ends = {path: f for path, f in on_way.items() if not any(g.up.path == path for g in on_way.values())}
-    around = {g.path for f in ends.values() for g in f.around() if g is not f and g.tag not in ("", "html", "body")}
+    passed = {f.up.path for f in on_way.values()}
+    ends = {path: f for path, f in on_way.items() if path not in passed}
+    around: set[int] = set()  # paths of tags around an end
+    for f in ends.values():
+        up = f.up
+        while up and up.path not in around:
+            around.add(up.path)
+            up = up.up
+    bare = {f.path for f in opened if f.tag in ("html", "body")} | {0}
     whole = names and any(f.main for f in ends.values())
+    for f in opened:
+        f.slot = f.path if f.path in template.slots else f.up.slot
+        f.inside = f.up.inside or f.path in ends or (f.tag in HEADINGS and f.up.path in around and f.up.path not in bare)
 
     def inside(frame: Frame) -> bool:
-        return not ends or any(f.path in ends or (f.tag in HEADINGS and f.up.path in around) for f in frame.around()) or (whole and frame.main)
+        return not ends or frame.inside or (whole and frame.main)
 
     def varies(frame: Frame, text: str) -> bool:
-        return not (token_hash(str(frame.path), text) in template.wording or (template.slot_of(frame) in template.notices and frame.tag not in HEADINGS))
+        return not (token_hash(str(frame.path), text) in template.wording or (frame.slot in template.notices and frame.tag not in HEADINGS))
+
+    def of_article(frame: Frame) -> bool:
+        """Inside the article wording stays, on however many pages it stands; where no tag says that it is one, slots of notices go, unless pages are copies."""
+        return frame.main or (frame.inside and (template.copies or frame.tag in HEADINGS or frame.slot not in template.notices))
 
-    kept = [(f, t) for f, t, linked in blocks if inside(f) and not f.bad and not (names and unwanted(f)) and not (linked >= LINKED * len(t) and template.slot_of(f) in template.menus and not f.main)]
+    kept = [(f, t) for f, t, linked in blocks if inside(f) and not f.bad and not (names and f.unwanted) and not (linked >= LINKED * len(t) and f.slot in template.menus and not f.main)]
     if names and any(f.main for f, _ in kept):
         kept = [(f, t) for f, t in kept if f.main]
     if template.wording or template.notices:
-        # Where pages are copies, only what stands outside of the article found can be told from it by recurring.
-        kept = [(f, t) for f, t in kept if varies(f, t) or (template.copies and (ends or f.main))] or kept
+        kept = [(f, t) for f, t in kept if varies(f, t) or of_article(f)] or kept
     return "\n".join(t for _, t in kept)
 
 

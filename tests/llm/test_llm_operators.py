@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -675,6 +676,30 @@ def test_extraction_keeps_article_text(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Own {i}.\nLinked reference {i}\nPlain {i}" if i < 20 else f"Note {i}\nOwn {i}." for i in range(40)}
 
 
+def test_fixed_wording_of_an_article_stays(spark):
+    """Subheadings and sentences that stand on all pages of a host, in articles with and without a telling tag."""
+    named = "<nav><a href=/>Home</a></nav><article><h1>Title {0}</h1><h2>Summary</h2><p>Own text {0} of this page.</p><h2 class=m>Methods</h2><p>As always.</p><p>More of {0}.</p></article><footer>All rights kept.</footer>"
+    bare = "<ul class=q1><li><a href=/>Home</a></li></ul><div class=q2><h1>Title {0}</h1><h2>Summary</h2><p>Own text {0} of this page, which is long enough to be most of it.</p><h2>Methods</h2><p>More of {0}.</p></div><div class=q3>All rights kept.</div>"
+    rows = [(i, f"http://a.example/{i}", named.format(i)) for i in range(10)] + [(i, f"http://b.example/{i}", bare.format(i)) for i in range(10, 20)]
+    rows += [(i, f"http://c.example/{i}", f"<article><h2>Results</h2><p>Text {i} of two pages.</p></article>") for i in (20, 21)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nSummary\nOwn text {i} of this page.\nMethods\nAs always.\nMore of {i}." for i in range(10))
+    assert all(got[i] == f"Title {i}\nSummary\nOwn text {i} of this page, which is long enough to be most of it.\nMethods\nMore of {i}." for i in range(10, 20))
+    assert all(got[i] == f"Results\nText {i} of two pages." for i in (20, 21))
+
+
+def test_depth_costs_nothing(spark):
+    n = 50_000
+    deep = ["<div>x" * n, "<div>" * n + "</span2></b2>" * n + "y", "<div>" * n + "<article><p>z</p></article>" * n, "<p class=a>" * n + "</p>" * n]
+    began = time.perf_counter()
+    texts = [templates.main_text(h, templates.Template()) for h in deep]
+    tokens = [sum(1 for _ in templates.tally(h, 1, True)) for h in deep]
+    assert time.perf_counter() - began < 30
+    assert [len(t.split()) for t in texts] == [n, 1, n, 0] and tokens[0] == 2 * n + 1
+    got = templates.extract(spark.createDataFrame([(i, f"http://h.example/{i % 2}", h) for i, h in enumerate(deep)], "page_id long, url string, html string")).collect()
+    assert len(got) == 4
+
+
 # --- neighbours --------------------------------------------------------------------------------------------------
 
 
@@ -828,9 +853,9 @@ def test_registered_queries(spark, sf_dir):
     assert {r.page_id: r.url for r in got[4]} == {i: p.url for i, p in pages.items()} and all(r.n_chars == len(r.text) for r in got[4])
     for r in got[4]:
         body = re.search(r"(?s)<article>(.*)</article>", pages[r.page_id].html or "")
-        if body:  # words of the article, markup aside
-            plain = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ", body[1])
-            assert set(r.text.split()) <= set(html.unescape(plain).split()) | {""}
+        if body:  # all of the article's text, markup and what is no article by its tag aside
+            plain = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<(aside|form|nav|footer)\b.*?</\1>|<[^>]*>", " ", body[1])
+            assert "".join(r.text.split()) == "".join(html.unescape(plain).split())
     vectors = [(r.vec_id, np.array(r.embedding, float)) for r in table("embeddings") if r.embedding]
     asked = {i for i, v in vectors if i % 50 == 0}
     assert Counter(r.query_id for r in got[5]) == dict.fromkeys(asked, 5)
