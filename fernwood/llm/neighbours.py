@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .shared import dropped, written
 
-DIMS = 24
-CONFIDENCE = 0.93
+DIMS = 32
+CONFIDENCE = 0.88
 LEAST, SHARD = 1_024, 65_536  # rows of a cell, at least and at most; in between, a 64th of the table
 LEAF = 32
 SAMPLE = 16_384  # projections that the cells are fitted on
@@ -162,7 +162,7 @@ def _packed(batch: pa.RecordBatch, at: int, kind: str) -> np.ndarray:
 
 
 def _rows(vectors: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
-    """id, v (bytes of the components) of the vectors that can take part."""
+    """id, v (bytes of the components) of the different vectors that can take part: copies of a row go here, before anything is sampled, counted or dealt out."""
     schema = pa.schema([("id", pa.int64()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _rows(vectors: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
                     out.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
-    return vectors.select(F.col(key).cast("long"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(run, "id long, v binary")
+    return vectors.select(F.col(key).cast("long"), F.col(vector).cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(run, "id long, v binary").distinct()
 
 
 def nearest(vectors: DataFrame, *, k: int = 5, query: Column, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -198,7 +198,7 @@ def searched(vectors: DataFrame, *, k: int, query: Column, key: str = "vec_id",
     turn = directions(size // int(kind[2]))
     full = min(max(LEAST, n // 64), SHARD)
     depth = max(0, math.ceil(math.log2(min(CELLS, n / full))))
-    sample = np.array([np.frombuffer(r["v"], kind) for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], np.float64)
+    sample = np.array([np.frombuffer(r["v"], kind) for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()], np.float64)
     cells = Cells(unit(sample) @ turn, depth)
     names = [f"c{j}" for j in range(DIMS)]
     doubles = ", ".join(f"{c} double" for c in names)
@@ -216,8 +216,8 @@ def searched(vectors: DataFrame, *, k: int, query: Column, key: str = "vec_id",
     low, high = (np.array([[r[f"{c}{side}"] for c in names] for r in boxes]) for side in ("low", "high"))
     ids = np.array([r["cell"] for r in boxes])
     salt_of = F.create_map(*(F.lit(x) for r in salts.items() for x in r))
-    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.element_at(salt_of, F.col("cell"))).cast("int").alias("salt"))
-    asked = written(placed.filter(query).dropDuplicates(["id", "v"]).withColumn("number", F.monotonically_increasing_id()), "asked")
+    data = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id", "v"), F.element_at(salt_of, F.col("cell"))).cast("int").alias("salt"))
+    asked = written(placed.filter(query).withColumn("number", F.monotonically_increasing_id()), "asked")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     asked_in = asked.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int"))
     quantile = chi_square_quantile(CONFIDENCE, DIMS)
@@ -248,7 +248,7 @@ def searched(vectors: DataFrame, *, k: int, query: Column, key: str = "vec_id",
             q, d = left.combine_chunks().to_batches()[0], right.combine_chunks().to_batches()[0]
             at = [q.schema.get_field_index(c) for c in ("number", "id", "v", "bound")]
             asks = list(zip(q.column(at[0]).to_pylist(), q.column(at[1]).to_pylist(), _packed(q, at[2], kind), q.column(at[3]).to_pylist(), strict=True))
-            rows = sorted(set(zip(d.column("id").to_pylist(), d.column("v").to_pylist(), strict=True)))  # equal rows are in one shard
+            rows = list(zip(d.column("id").to_pylist(), d.column("v").to_pylist(), strict=True))
             matrix = np.frombuffer(b"".join(v for _, v in rows), kind).reshape(len(rows), -1).astype(np.float64)
             found, verified = search(np.array([i for i, _ in rows]), matrix, asks, k)
         found.append((None, None, None, None, verified))
