@@ -82,7 +82,7 @@ def _tallied(collapsed: DataFrame) -> DataFrame:
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for group, own in counts.items():
-                found = list(own)
+                found = sorted(own)  # neighbours share beginnings, which packs well
                 columns = [*(pa.array([g] * len(found), pa.string()) for g in group), pa.array([t.decode("utf-8", "replace") for t in found], pa.string()),
                            pa.array([own[t] for t in found], pa.int64()), pa.array([docs[group][t] for t in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -127,7 +127,8 @@ def _tallied(collapsed: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, count, docs of all terms, each distinct text of a language tokenized once; with them a row without a term for every (lang, source)."""
     near = _collapsed(docs).repartition("lang", "digest").sortWithinPartitions("lang", "digest", F.col("body").isNull())
-    return _tallied(near).groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # Dealt by term, so what follows by source and then by term needs no other shuffle; tasks have added up before, and a hot term is a row for each task and source.
+    return _tallied(near).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def _rate(count: str) -> str:
@@ -168,13 +169,14 @@ def _pair_sums(spread: DataFrame, sources: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, *, least: int = LEAST, shown: int = SHOWN) -> DataFrame:
     """lang, source, part, item, value, rank: every other source of the language by its distance (``pair``), and the first ``shown`` terms that a source uses more than its language (``term``)."""
-    tallies = written(term_counts(docs), "tallies")
-    per_term = tallies.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("df"), F.sum("count").alias("all"), F.collect_list(F.struct("source", "count")).alias("held"))
-    kept = written(per_term.filter(F.col("df") >= least), "kept")  # a list holds one entry a source
+    held = F.collect_list(F.struct("source", "count")).alias("held")  # one entry a source
+    per_term = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("df"), F.sum("count").alias("all"), held)
+    tallies = written(per_term.filter(F.col("term").isNull() | (F.col("df") >= least)), "tallies")
+    kept = tallies.filter("term is not null")
     cells = kept.select("lang", "term", "all", F.explode("held").alias("h")).select("lang", "term", "all", "h.source", F.col("h.count").alias("count"))
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("all").alias("L"))
     own = cells.groupBy("lang", "source").agg(F.sum("count").alias("N"))
-    names = tallies.filter("term is null").select("lang", "source").join(own, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["N", "V", "L"])
+    names = tallies.filter("term is null").select("lang", F.explode("held.source").alias("source")).join(own, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["N", "V", "L"])
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long").alias("sid")  # one row a source
     groups = written(names.select("*", number).withColumn("base", F.expr(f"if(V > 0, {_rate('0')}, 0)")), "groups")
     widest = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
