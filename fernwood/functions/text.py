@@ -79,6 +79,20 @@ def web_identifier(url: Column) -> Column:
     return F.when(ok, F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.when(path == "", "/").otherwise(path), rest))
 
 
+#: The forms of identifiers.
+IDENTIFIERS = {"doi": r"^(?:(?i)https://doi\.org/)?(10\.[0-9]{4,9}/\S+)$", "pmid": r"^([1-9][0-9]{0,11})$", "pmcid": r"^(PMC[1-9][0-9]{0,11})$"}
+
+
+def identifier(scheme: Column, raw: Column) -> Column:
+    """The key under which an identifier (doi, pmid, pmcid or url) is looked up; null if it has not the form of its scheme. DOIs lose their resolver and are lower case."""
+    ok = (raw == F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")) & F.length(raw).between(1, 4096)
+    out = F.when(scheme == "url", web_identifier(raw))
+    for name, form in IDENTIFIERS.items():
+        key = F.nullif(F.regexp_extract(raw, form, 1), F.lit(""))
+        out = out.when(scheme == name, F.lower(key) if name == "doi" else key)
+    return F.when(ok, out)
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

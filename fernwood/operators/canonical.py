@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernwood.sources.scratch import dropped, written
+from fernwood.sources.scratch import written
 
 #: Patterns of markdown lines.
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
@@ -207,7 +207,7 @@ def broken(tree: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     increase, gaps (a node whose parent stands after it), paths repeated, and paths that are not the parent's with one more step. Parents are joined by
     (doc, id) and ways up are doubled, so three joins settle every depth.
     """
-    at = tree.select(F.col(doc).alias("doc"), "node_id", "parent_id", "kind", "level", "ordinal", "path", "text", "attrs")
+    at = written(tree.select(F.col(doc).alias("doc"), "node_id", "parent_id", "kind", "level", "ordinal", "path", "text", "attrs"), "tree")
     single = at.select("doc", "node_id", F.explode(F.filter(F.array(*(F.when(bad, rule) for rule, bad in _rules().items())), lambda x: x.isNotNull())).alias("rule"))
     repeated = [at.groupBy("doc", c).agg(F.count("*").alias("n")).filter("n > 1").join(at.select("doc", c, *(["node_id"] if c != "node_id" else [])), ["doc", c]).select("doc", "node_id", F.lit(rule).alias("rule")) for c, rule in (("node_id", "repeated_id"), ("path", "repeated_path"), ("ordinal", "repeated_ordinal"))]
     parents = at.select(F.col("doc").alias("of"), F.col("node_id").alias("up"), F.col("path").alias("up_path"), F.col("ordinal").alias("up_at")).dropDuplicates(["of", "up"])
@@ -225,3 +225,51 @@ def broken(tree: DataFrame, *, doc: str = "doc_id") -> DataFrame:
         way = written(way.join(over, (F.col("doc") == F.col("of")) & (F.col("up") == F.col("mid"))).select("doc", "node_id", F.col("top").alias("up")).distinct(), "way")
     circles = way.select("doc", "node_id", F.lit("circle").alias("rule"))
     return reduce(DataFrame.unionByName, [single, *repeated, dangling, late, misplaced, circles])
+
+
+# --- located chunks of source texts ------------------------------------------------------------------------------
+
+#: What ends a line beside \n, once \r\n and \r have become \n.
+ENDS = "\n\u000b\u000c\u001c\u001d\u001e\u0085  "
+SEGMENT, MOST_CHUNKS, TITLE = 800, 10_000, 500
+
+
+def located(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pages: str | None = None) -> DataFrame:
+    """row, doc_id, ordinal, char_start, char_end, page, heading (titles), canonical_hash, text, error: every line, its end included, in segments of ``SEGMENT`` characters.
+
+    Blank segments are left out, offsets count them. A heading outside fences cuts the chain of titles to the levels above it and joins it; titles are cut to ``TITLE`` characters.
+    ``pages`` names a column of (start, end, number); a segment has the page in which it starts. Texts without a visible character have one row with PARSE_EMPTY,
+    texts with more than ``MOST_CHUNKS`` chunks one with PARSER_LIMIT, and no chunks.
+    """
+    normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
+    rows = docs.select(F.col(key).alias("doc_id"), normal.alias("whole"), (F.col(pages) if pages else F.lit(None).cast("array<struct<start:long,end:long,number:int>>")).alias("pages"), F.monotonically_increasing_id().alias("row"))
+    hashed = rows.withColumn("canonical_hash", F.sha2("whole", 256))
+    blank = r"(?U)^[\s\x1c-\x1f]*$"
+    lines = hashed.select("row", "doc_id", "pages", "canonical_hash", F.posexplode(F.regexp_extract_all("whole", F.lit(f"[^{ENDS}]*[{ENDS}]|[^{ENDS}]+$"), F.lit(0))).alias("at", "line"))
+    of_row = Window.partitionBy("row").orderBy("at")
+    before = of_row.rowsBetween(Window.unboundedPreceding, -1)
+    fence = F.regexp_replace("line", r"(?U)^\s+", "").startswith("```")
+    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("line").cast("bigint")).over(before), F.lit(0).cast("bigint"))).withColumn("inside", F.sum(fence.cast("int")).over(of_row) % 2 == 1)
+    form = r"(?U)^(#{1,6})\s+(.+)"
+    title = F.trim(F.regexp_replace(F.regexp_extract("line", form, 2), r"(?U)^\s+|\s+$", ""))
+    lines = lines.withColumn("head", F.when(~F.col("inside") & F.col("line").rlike(form), F.struct("at", F.length(F.regexp_extract("line", form, 1)).alias("depth"), F.left(title, F.lit(TITLE)).alias("title"))))
+    lines = lines.withColumn("heads", F.count("head").over(of_row).cast("int"))
+    none = F.array().cast("array<string>")
+    headed = lines.filter("head is not null").groupBy("row").agg(F.sort_array(F.collect_list("head")).alias("all"))
+
+    def longer(state: Column, h: Column) -> Column:
+        chain = F.concat(F.slice(F.element_at(state, -1), F.lit(1), h["depth"] - 1), F.array(h["title"]))
+        return F.concat(state, F.array(chain))
+
+    chains = headed.select(F.col("row").alias("of"), F.aggregate("all", F.array(none), longer).alias("chains"))
+    cut = F.filter(F.transform(F.regexp_extract_all("line", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)), lambda part, i: F.struct((F.col("start") + i * SEGMENT).alias("start"), part.alias("text"))), lambda x: ~x["text"].rlike(blank))
+    parts = lines.select("row", "doc_id", "pages", "canonical_hash", "heads", "at", F.posexplode(cut).alias("k", "x"))
+    counted = parts.withColumn("ordinal", F.row_number().over(Window.partitionBy("row").orderBy("at", "k")).cast("bigint") - 1).withColumn("n", F.count("*").over(Window.partitionBy("row")))
+    met = counted.filter(F.col("n") <= MOST_CHUNKS).join(chains, F.col("row") == F.col("of"), "left")
+    start = F.col("x.start")
+    page = F.get(F.filter("pages", lambda p: (p["start"] <= start) & (start < p["end"])), F.lit(0))["number"]
+    heading = F.coalesce(F.element_at("chains", F.col("heads") + 1), none)
+    found = met.select("row", "doc_id", "ordinal", start.alias("char_start"), (start + F.length("x.text")).alias("char_end"), page.alias("page"), heading.alias("heading"), "canonical_hash", F.col("x.text").alias("text"), F.lit(None).cast("string").alias("error"))
+    empty = hashed.filter(F.col("whole").rlike(blank)).select("row", "doc_id", "canonical_hash", F.lit("PARSE_EMPTY").alias("error"))
+    over = counted.filter((F.col("n") > MOST_CHUNKS) & (F.col("ordinal") == 0)).select("row", "doc_id", "canonical_hash", F.lit("PARSER_LIMIT").alias("error"))
+    return found.unionByName(empty.unionByName(over), allowMissingColumns=True)

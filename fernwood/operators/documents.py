@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,40 +19,44 @@ BREAKS = frozenset(("p", "br", "div", "h1", "h2", "h3", "li"))
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*$")
 
 
-class _Text(HTMLParser):
-    """Collects text outside scripts and styles; with ``markdown``, only headings, paragraphs and list items of the body."""
-
-    def __init__(self, markdown: bool) -> None:
-        super().__init__(convert_charrefs=True)
-        self.markdown, self.skip, self.out = markdown, 0, []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style") or (self.markdown and tag in ("head", "nav", "footer")):
-            self.skip += 1
-        elif self.markdown and re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif self.markdown and tag == "li":
-            self.out.append("\n- ")
-        elif tag in BREAKS:
-            self.out.append("\n\n" if self.markdown else "\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style") or (self.markdown and tag in ("head", "nav", "footer")):
-            self.skip = max(0, self.skip - 1)
-        elif self.markdown and tag in ("h1", "h2", "h3", "p", "article"):
-            self.out.append("\n\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data)
+HIDDEN = frozenset(("script", "style"))
+CHROME = HIDDEN | {"head", "nav", "footer"}
+PART = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:"[^"]*"|'[^']*'|[^'">])*>?|([^<]+|<)""", re.S | re.I)
 
 
 def text_of(html: str | None, markdown: bool = False) -> str:
-    parser = _Text(markdown)
-    parser.feed(html or "")
-    parser.close()
-    text = "".join(parser.out)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", text)).strip() if markdown else text
+    """Text outside of scripts and styles with a newline before block tags; with ``markdown``, headings, paragraphs and list items of the body."""
+    out: list[str] = []
+    hidden: list[str] = []  # open tags whose text does not count
+    for hit in PART.finditer(html or ""):
+        raw, end, name, text = hit.groups()
+        if text is not None:
+            if not hidden:
+                out.append(unescape(text))
+            continue
+        if name is None or raw:
+            continue
+        tag = name.lower()
+        if markdown and tag in CHROME:
+            if not end:
+                hidden.append(tag)
+            elif tag in hidden:
+                del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+        elif not end:
+            out.append(_opening(tag, markdown))
+        elif markdown and tag in ("h1", "h2", "h3", "p", "article"):
+            out.append("\n\n")
+    whole = "".join(out)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", whole)).strip() if markdown else whole
+
+
+def _opening(tag: str, markdown: bool) -> str:
+    """What stands for an opening tag."""
+    if not markdown:
+        return "\n" if tag in BREAKS else ""
+    if re.fullmatch("h[1-6]", tag):
+        return "\n\n" + "#" * int(tag[1]) + " "
+    return "\n- " if tag == "li" else "\n\n" if tag in BREAKS else ""
 
 
 def visible_text(pages: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernwood.plans import evidence_queries, lookup_queries, record_queries, search_queries, stream_queries, text_queries
+from fernwood.plans import canonical_queries, evidence_queries, lookup_queries, record_queries, search_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (search_queries, text_queries, record_queries, evidence_queries, lookup_queries, stream_queries)
+MODULES = (search_queries, text_queries, record_queries, evidence_queries, lookup_queries, stream_queries, canonical_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

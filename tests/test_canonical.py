@@ -151,3 +151,44 @@ def test_broken_trees(spark):
         (6, "a", "table_markdown"), (6, "b", "list_lines"), (6, "c", "unknown_kind"), (6, "a", "repeated_path"), (6, "b", "repeated_path"), (6, "b", "repeated_ordinal"), (6, "c", "repeated_ordinal"),
         (7, "a", "formula_attrs"), (7, "b", "figure_attrs"), (7, "c", "empty_note"), (7, "d", "heading_title"), (7, "e", "circle"), (7, "e", "parent_after_child"), (7, "e", "path_of_parent"), (8, "a", "parent_after_child"),
     }
+
+
+# --- located chunks ----------------------------------------------------------------------------------------------
+
+
+def plain_located(text):
+    """Line by line: (ordinal, start, end, heading, text)."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    out, chain, position, fenced = [], [], 0, False
+    for line in text.splitlines(keepends=True):
+        fenced ^= line.lstrip().startswith("```")
+        head = re.match(r"^(#{1,6})\s+(.+)", line)
+        if head and not fenced:
+            chain = [*chain[: len(head[1]) - 1], head[2].strip()[:500]]
+        for at in range(0, len(line), 800):
+            if line[at : at + 800].strip():
+                out.append((len(out), position + at, position + at + len(line[at : at + 800]), list(chain), line[at : at + 800]))
+        position += len(line)
+    return out
+
+
+def test_located_chunks(spark, monkeypatch):
+    rnd = random.Random(12)
+    parts = ["### Deep first", "## Then up\t", "# Top", "```", "text", "", "  \t", "x" * 1700, "a\x0bb", "c\x0cd", "e\x1cf", "g\x85h", "i j", "k l", "# in\r", "m\r\nn", "## " + "t" * 600, "é" * 801, "\x1f\x1e"]
+    texts = ["\n".join(rnd.choices(parts, k=rnd.randint(1, 14))) for _ in range(120)] + ["one line", "ends\n", "\n\nlate"]
+    rows = [(i, t, [(0, 5, 1), (5, 900, 2)]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([*rows, (900, None, None), (901, " \n\x1f", None)], "doc_id long, text string, pages array<struct<start:long,end:long,number:int>>")
+    found = canonical.located(table, pages="pages").collect()
+    for i, t, _ in rows:
+        own = sorted((r for r in found if r.doc_id == i), key=lambda r: r.ordinal or 0)
+        want = plain_located(t)
+        if not want:
+            assert [r.error for r in own] == ["PARSE_EMPTY"], ascii(t)
+            continue
+        assert [(r.ordinal, r.char_start, r.char_end, r.heading, r.text) for r in own] == want, ascii(t)
+        assert all(r.page == (1 if r.char_start < 5 else 2 if r.char_start < 900 else None) for r in own)
+        assert {r.canonical_hash for r in own} == {hashlib.sha256(t.replace("\r\n", "\n").replace("\r", "\n").encode()).hexdigest()}
+    assert sorted((r.doc_id, r.error) for r in found if r.doc_id >= 900) == [(900, "PARSE_EMPTY"), (901, "PARSE_EMPTY")]
+    monkeypatch.setattr(canonical, "MOST_CHUNKS", 3)
+    few = canonical.located(spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.error or r.text.strip()) for r in few) == [(1, "a"), (1, "b"), (1, "c"), (2, "PARSER_LIMIT")]
