@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwood.sources.scratch import written
+from fernwood.sources.scratch import dropped, written
 
 MAX_DEPTH = 32
 MAX_ROUNDS = 20
@@ -16,18 +16,23 @@ def closure(roots: DataFrame, edges: DataFrame, *, max_depth: int = MAX_DEPTH) -
 
     A loop ends when a step finds nothing new, and with an error when ``max_depth`` steps still find something. Its frontier is written, so a lost executor costs no earlier step.
     """
+    steps = []
     reached = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct()
     frontier = reached
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
         frontier = written(frontier, "frontier")
+        steps.append(frontier)
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
     else:
         raise ValueError(f"nodes lie more than {max_depth} steps away")
-    return reached
+    out = written(reached, "closure")
+    for step in steps:
+        dropped(step)
+    return out
 
 
 def canonical(aliases: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -45,7 +50,8 @@ def canonical(aliases: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             raise ValueError("merges run in a circle")
         ahead = now.filter("owner <> id").select(F.col("id").alias("owner"), F.col("owner").alias("next"), F.col("hops").alias("more"))
         joined = now.join(ahead, "owner", "left")
-        now = written(joined.select("id", F.coalesce("next", "owner").alias("owner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "owners")
+        before, now = now, written(joined.select("id", F.coalesce("next", "owner").alias("owner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("moved")), "owners")
+        dropped(before)
     if not now.filter("owner = id and hops > 0").isEmpty():
         raise ValueError("merges run in a circle")
     return now.drop("moved")

@@ -217,6 +217,30 @@ def diagnostics(found: Lists, unfinished: DataFrame, *, top_k: int = 10) -> Data
     )
 
 
+def self_search(pieces: DataFrame, near: DataFrame, keywords: list[str], *, level: int | None = None, top_k: int = 10) -> DataFrame:
+    """chunk_id, path, level, similarity, boost, score, snippet, snippet_source, context of the best ``top_k`` of one's own chunks.
+
+    ``pieces``: chunk_id, path, level, parent_id, text of the chunks that count; ``near``: chunk_id, distance, similarity of all vectors, of which the nearest are fetched: four times
+    as many as there are own chunks, 20 times the page, 200 at least. A chunk gains 0.05 for every other candidate under its path; ties go to the smaller id.
+    ``context`` holds the ids of parent and siblings, chunks of the page excepted.
+    """
+    reach = max(4 * pieces.count(), 20 * top_k, 200)
+    fetched = near.orderBy("distance", "chunk_id").limit(reach)
+    own = pieces if level is None else pieces.filter(F.col("level") == level)
+    met = written(fetched.join(own.drop("text"), "chunk_id"), "own")
+    counts = met.groupBy("path").agg((F.count("*") - 1).alias("others"))
+    boosted = met.join(counts, "path").withColumns({"similarity": F.round("similarity", 4), "boost": F.round(F.col("others") * 0.05, 4)}).withColumn("score", F.round(F.col("similarity") + F.col("boost"), 4))
+    top = written(boosted.orderBy(F.desc("score"), "chunk_id").limit(top_k), "top")
+    shown = F.broadcast(top.select("chunk_id"))  # ``top_k`` rows
+    parents = F.broadcast(top.select("parent_id").filter("parent_id is not null").distinct())
+    around = pieces.select("chunk_id", "parent_id").join(parents, "parent_id", "left_semi").join(shown, "chunk_id", "left_anti")
+    above = pieces.select("chunk_id", F.col("chunk_id").cast("string").alias("parent_id")).join(parents, "parent_id", "left_semi").join(shown, "chunk_id", "left_anti")
+    lists = around.unionByName(above.select("chunk_id", "parent_id")).groupBy("parent_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("context"))
+    texts = pieces.join(shown, "chunk_id", "left_semi").select("chunk_id", T.snippet(F.col("text"), keywords).alias("s"))
+    out = top.join(texts, "chunk_id").join(lists, "parent_id", "left")
+    return out.select("chunk_id", "path", "level", "similarity", "boost", "score", F.col("s.snippet").alias("snippet"), F.col("s.source").alias("snippet_source"), F.coalesce("context", F.array().cast(lists.schema["context"].dataType)).alias("context"))
+
+
 def bound(lex: DataFrame, near: DataFrame, budget: int, top_k: int) -> DataFrame:
     """best_discarded, page_floor, truncated: whether what the budget cut could have reached the page."""
     cut = 2.0 / (RRF_K + budget)

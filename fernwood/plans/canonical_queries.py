@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernwood.functions import registered
 from fernwood.functions import text as T
 from fernwood.functions import vectors as V
-from fernwood.operators import canonical, jats, rankings
+from fernwood.operators import canonical, jats, rankings, relations
 from fernwood.plans.search_queries import V0
 from fernwood.plans.text_queries import CHUNKS_SQL
 from fernwood.sources.tables import table
@@ -47,6 +47,11 @@ def tree_violations(spark: SparkSession, d: str) -> DataFrame:
     return canonical.broken(edited).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def heading_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of the transcripts by level."""
+    return relations.heading_levels(_transcripts(spark, d), "text")
+
+
 def jats_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as articles in JATS and read back as markdown."""
     safe = F.col("text")
@@ -89,7 +94,7 @@ def identifier_keys(spark: SparkSession, d: str) -> DataFrame:
     return each.select("c_custkey", "x.scheme", T.identifier(F.col("x.scheme"), F.col("x.raw")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_nodes, document_nodes, located_chunks, tree_violations, jats_markdown, rank_inversions, sql_text_pieces, sql_visible_text, identifier_keys)}
+QUERIES = {f.__name__: f for f in (transcript_nodes, document_nodes, located_chunks, tree_violations, heading_levels, jats_markdown, rank_inversions, sql_text_pieces, sql_visible_text, identifier_keys)}
 TURNS_SQL = r"""t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, role, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g')) AS said FROM conversations),
     s AS (SELECT *, length('## ' || turn || ' ' || role || chr(10) || chr(10)) AS head, length('## ' || turn || ' ' || role || chr(10) || chr(10) || said || chr(10)) + 1 AS size FROM t),
     p AS (SELECT *, length('# Conversation ' || conv_id) + 2 + coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
@@ -99,6 +104,7 @@ TURNS_SQL = r"""t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id OR
         UNION ALL SELECT conv_id, k, 1, 'paragraph', 0, NULL, 'Conversation ' || conv_id || ' > ' || role, '/1/' || k || '/1', start + head, said FROM p WHERE said <> ''
     ), nodes AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k, j) AS ordinal, kind, level::BIGINT AS level, sec_num, chain, path, char_start::BIGINT AS char_start, text FROM n)"""
 SQL = {
+    "heading_levels": "SELECT 1::BIGINT AS level, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 2, count(*) FROM conversations",
     "transcript_nodes": f"WITH {TURNS_SQL} SELECT * FROM nodes",
     "tree_violations": f"""WITH {TURNS_SQL}, c AS (SELECT *, conv_id % 5 AS which, count(*) FILTER (kind = 'paragraph') OVER (PARTITION BY conv_id) AS said FROM nodes)
         SELECT rule, count(*) AS n FROM (

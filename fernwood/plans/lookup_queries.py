@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernwood.functions import vectors as V
-from fernwood.operators import index, lookup
+from fernwood.operators import index, lookup, relations, search
 from fernwood.plans.search_queries import SCORED_SQL, _scored
 from fernwood.plans.text_queries import PLAIN_SQL, QUERY
 from fernwood.sources.tables import table
@@ -16,16 +16,13 @@ FIELDS = ("orderstatus", "orderpriority")
 
 def identifier_filter(spark: SparkSession, d: str) -> DataFrame:
     """Orders that own, themselves or through their customer, the identifier with one normal key."""
-    names = table(spark, d, "customer").filter(F.lower(F.trim("c_name")) == "customer#000000007").select(F.col("c_custkey").alias("owner"))
-    owned = table(spark, d, "orders").select("o_orderkey", F.explode(F.array("o_orderkey", "o_custkey")).alias("owner"))
-    return owned.join(names, "owner", "left_semi").select("o_orderkey").distinct()
+    names = table(spark, d, "customer").filter(F.lower(F.trim("c_name")) == "customer#000000007")
+    return relations.holding(table(spark, d, "orders"), "o_orderkey", ["o_orderkey", "o_custkey"], names, "c_custkey")
 
 
 def active_generation(spark: SparkSession, d: str) -> DataFrame:
     """Turns of the last generation (turn) of each conversation."""
-    turns = table(spark, d, "conversations")
-    active = turns.groupBy("conv_id").agg(F.max("turn").alias("turn"))
-    return turns.join(active, ["conv_id", "turn"]).select("conv_id", "turn", "role")
+    return relations.of_last(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
 def optional_filters(spark: SparkSession, d: str) -> DataFrame:
@@ -46,39 +43,41 @@ def included_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def reviews_by_target(spark: SparkSession, d: str) -> DataFrame:
     """Events (reviews) of users among the suppliers of one nation."""
-    refs = table(spark, d, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("user_id"))
-    return table(spark, d, "events").join(refs, "user_id", "left_semi").select("event_id", "user_id")
+    return relations.targeting(table(spark, d, "events"), "user_id", table(spark, d, "supplier").filter("s_nationkey = 3"), "s_suppkey").select("event_id", "user_id")
 
 
 def source_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Line (version) to order (work) to customer (canonical work), with each order's latest returned line."""
-    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    partial = lines.filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.max(F.struct("l_shipdate", "l_linenumber"))["l_linenumber"].cast("bigint").alias("latest_partial"))
-    chain = lines.filter("l_suppkey = 3").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return chain.join(partial, "l_orderkey", "left").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "o_custkey", "c_mktsegment", "latest_partial")
+    lines = table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
+    chain = relations.chained(lines.filter("l_suppkey = 3"), (table(spark, d, "orders"), "l_orderkey", "o_orderkey"), (table(spark, d, "customer"), "o_custkey", "c_custkey"))
+    met = relations.with_latest(chain, "l_orderkey", lines.filter("l_returnflag = 'R'"), ["l_shipdate"], "l_linenumber", "latest_partial")
+    return met.select("l_orderkey", F.col("l_linenumber").alias("line"), "o_custkey", "c_mktsegment", "latest_partial")
 
 
 def current_or_linked(spark: SparkSession, d: str) -> DataFrame:
     """Orders whose newest line was shipped in 1997 or later, or that a large event points at."""
-    orders = table(spark, d, "orders").select("o_orderkey")
-    current = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("newest"))
-    fresh = orders.join(current, F.col("o_orderkey") == F.col("l_orderkey"), "left").filter("newest >= timestamp '1997-01-01'").select("o_orderkey")
-    linked = orders.join(table(spark, d, "events").filter("value > 100"), F.col("o_orderkey") == F.col("user_id"), "left_semi")
-    return fresh.unionByName(linked).distinct()
+    big = table(spark, d, "events").filter("value > 100")
+    return relations.fresh_or_linked(table(spark, d, "orders"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", "l_shipdate", "1997-01-01", big, "user_id")
 
 
 def recovered_batches(spark: SparkSession, d: str) -> DataFrame:
     """Orders (batches) all of whose parts are big enough: none of their ids is without a vector."""
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 10).alias("has"))
-    return table(spark, d, "lineitem").join(parts, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_and(F.coalesce("has", F.lit(False))).alias("whole"), F.count("*").alias("ids")).filter("whole").select("l_orderkey", "ids")
+    return relations.whole_groups(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("l_partkey")))
+
+
+def recoverable_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of ten documents of a source, some of which have no vector yet though their batch succeeded: only ids that are still there count."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    batches = docs.groupBy(F.floor(F.col("doc_id") / 10).alias("batch")).agg(F.collect_list("doc_id").alias("ids"))
+    there = docs.filter("lang <> 'fr'")
+    missing = relations.recoverable(batches, "batch", "ids", there, table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    return missing.select("batch", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
 def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Orders (batches) with the number of lines (requests), none included."""
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("requests"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
-    joined = table(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
-    state = F.when(F.col("requests").isNull(), "not_sent").when(F.col("done") == F.col("requests"), "succeeded").when(F.col("done") == 0, "started").otherwise("ambiguous")
-    return joined.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    """Orders (batches) by the state that their lines (requests) give them, those without one included."""
+    told = relations.outcomes(table(spark, d, "orders"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", F.col("l_linestatus") == "F")
+    return told.groupBy("state").agg(F.count("*").alias("n"))
 
 
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +89,7 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 def manifest_entries(spark: SparkSession, d: str) -> DataFrame:
     """Every entry of the JSON manifests kept with events."""
-    entries = F.explode(F.from_json("props", "map<string,string>")).alias("name", "value")
-    return table(spark, d, "events").select("event_id", entries)
+    return relations.entries(table(spark, d, "events"), "event_id", "props")
 
 
 def quality_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -115,32 +113,26 @@ def tree_context(spark: SparkSession, d: str) -> DataFrame:
 def tombstone_chain(spark: SparkSession, d: str) -> DataFrame:
     """From purged lines up to region: every link must exist."""
     lines = table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 45")
-    chain = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    chain = relations.chained(lines, (table(spark, d, "orders"), "l_orderkey", "o_orderkey"), (table(spark, d, "customer"), "o_custkey", "c_custkey"), (table(spark, d, "nation"), "c_nationkey", "n_nationkey"))
     return chain.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("works"))
 
 
 def goal_detail(spark: SparkSession, d: str) -> DataFrame:
     """What hangs on a customer (goal): orders, lines and events, each kind with its number and newest date."""
+    orders = table(spark, d, "orders")
+    lines = relations.chained(orders, (table(spark, d, "lineitem"), "o_orderkey", "l_orderkey"))
     goals = table(spark, d, "customer").filter("c_custkey < 20").select(F.col("c_custkey").alias("goal"))
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("goal"), "o_orderkey", F.col("o_orderdate").alias("at"))
-    lines = orders.drop("at").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("goal", F.lit("line").alias("kind"), F.col("l_shipdate").alias("at"))
-    events = table(spark, d, "events").select(F.col("user_id").alias("goal"), F.lit("event").alias("kind"), F.col("ts").alias("at"))
-    parts = orders.select("goal", F.lit("order").alias("kind"), "at").unionByName(lines).unionByName(events)
-    return parts.join(goals, "goal", "left_semi").groupBy("goal", "kind").agg(F.count("*").alias("n"), F.to_date(F.max("at")).alias("newest"))
+    return relations.hanging(goals, "goal", {"order": (orders, "o_custkey", "o_orderdate"), "line": (lines, "o_custkey", "l_shipdate"), "event": (table(spark, d, "events"), "user_id", "ts")})
 
 
 def recent_items(spark: SparkSession, d: str) -> DataFrame:
     """The five newest orders of each customer, newest first, ties to the larger key."""
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, d, "orders").withColumn("place", F.row_number().over(newest).cast("bigint")).filter("place <= 5").select("o_custkey", "place", "o_orderkey")
+    return relations.newest(table(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 5).select("o_custkey", "place", "o_orderkey")
 
 
 def phase_warning(spark: SparkSession, d: str) -> DataFrame:
     """Orders in an earlier phase than their customer's furthest one."""
-    place = F.array_position(F.array(*map(F.lit, ("O", "P", "F"))), F.col("o_orderstatus"))
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", place.alias("phase"))
-    furthest = orders.groupBy("o_custkey").agg(F.max("phase").alias("furthest"))
-    return orders.join(furthest, "o_custkey").filter("phase < furthest").groupBy("o_custkey").agg(F.count("*").alias("earlier"))
+    return relations.behind(table(spark, d, "orders"), "o_custkey", F.array_position(F.array(*map(F.lit, ("O", "P", "F"))), F.col("o_orderstatus")))
 
 
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -162,24 +154,21 @@ def heading_counts(spark: SparkSession, d: str) -> DataFrame:
 def best_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Up to three longest turns with the word of each conversation, as a list."""
     hits = table(spark, d, "conversations").filter(F.contains(F.lower("text"), F.lit("the"))).select("conv_id", "turn", F.length("text").alias("score"))
-    top = hits.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))).filter("place <= 3")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "turn"))), lambda x: x["turn"].cast("string"))
-    return top.groupBy("conv_id").agg(F.array_join(listed, ",").alias("turns"))
+    best = relations.listed(hits, "conv_id", [F.desc("score"), "turn"], 3, "turn")
+    return best.select("conv_id", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("turns"))
 
 
 def part_suffix(spark: SparkSession, d: str) -> DataFrame:
     """Rows under one path get a running suffix from the second on."""
-    host = F.regexp_extract("url", "^[^?#]*", 0)
-    place = F.row_number().over(Window.partitionBy("path").orderBy("page_id"))
-    return table(spark, d, "pages").select("page_id", host.alias("path")).withColumn("place", place).select("page_id", F.concat("path", F.when(F.col("place") > 1, F.concat(F.lit("-"), F.col("place").cast("string"))).otherwise("")).alias("part"))
+    return relations.suffixed(table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^?#]*", 0).alias("path")), "path", "page_id").select("page_id", "part")
 
 
 def self_search(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest 200 vectors, those of one's own documents, raised by source, with a short head of the text."""
-    near = _scored(spark, d).orderBy(F.desc("score"), "vec_id").limit(200)
-    own = table(spark, d, "documents").filter("lang in ('en', 'de')").select(F.col("doc_id").alias("vec_id"), "source", F.substring("text", 1, 40).alias("head"))
-    boosted = near.join(own, "vec_id").withColumn("boosted", F.col("score") + F.when(F.col("label") == 1, 0.1).otherwise(0.0))
-    return boosted.orderBy(F.desc("boosted"), "vec_id").limit(10).select("vec_id", F.round("boosted", 6).alias("boosted"), "head")
+    """The nearest of one's own documents (English and German), raised where several lie under one path, with snippets and their neighbours in the tree."""
+    pieces = table(spark, d, "documents").filter("lang in ('en', 'de')").select("doc_id", F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("path"), F.lit(2).alias("level"), F.concat("lang", F.lit(":"), "source").alias("parent_id"), "text")
+    near = _scored(spark, d).select(F.col("vec_id").alias("doc_id"), (F.lit(1.0) - F.col("score")).alias("distance"), F.col("score").alias("similarity"))
+    found = search.self_search(pieces.withColumnRenamed("doc_id", "chunk_id"), near.withColumnRenamed("doc_id", "chunk_id"), ["the", "keiten"], level=2, top_k=10)
+    return found.select(F.col("chunk_id").alias("vec_id"), "path", "similarity", "boost", "score", F.size("context").cast("bigint").alias("neighbours"))
 
 
 def first_match(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +242,7 @@ def indexed_page(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        identifier_filter, active_generation, optional_filters, key_whitelist, included_fields, reviews_by_target, source_evidence, current_or_linked, recovered_batches, batch_outcomes, link_targets, manifest_entries,
+        identifier_filter, active_generation, optional_filters, key_whitelist, included_fields, reviews_by_target, source_evidence, current_or_linked, recovered_batches, recoverable_batches, batch_outcomes, link_targets, manifest_entries,
         quality_evidence, group_listing, tree_context, tombstone_chain, goal_detail, recent_items, phase_warning, table_fingerprint, search_status, heading_counts, best_chunks, part_suffix, self_search, first_match,
         chunk_id_codec, ascii_query_tokens, similar_by_chunk, resolver_links, table_dump, value_codecs, hash_embedding, batch_ledger, node_violations, indexed_bm25, indexed_page,
     )
@@ -300,9 +289,12 @@ SQL = {
         SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY place) AS turns FROM t WHERE place <= 3 GROUP BY 1""",
     "part_suffix": """WITH p AS (SELECT page_id, regexp_extract(url, '^[^?#]*') AS path FROM pages), q AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY page_id) AS i FROM p)
         SELECT page_id, path || CASE WHEN i > 1 THEN '-' || i ELSE '' END AS part FROM q""",
-    "self_search": f"""WITH {SCORED_SQL}, near AS (SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 200),
-        b AS (SELECT vec_id, score + CASE WHEN label = 1 THEN 0.1::DOUBLE ELSE 0 END AS boosted, substring(text, 1, 40) AS head FROM near JOIN documents ON doc_id = vec_id WHERE lang IN ('en', 'de'))
-        SELECT vec_id, round(boosted, 6) AS boosted, head FROM b ORDER BY b.boosted DESC, vec_id LIMIT 10""",
+    "self_search": f"""WITH {SCORED_SQL}, own AS (SELECT doc_id, '/' || lang || '/' || source AS path, lang || ':' || source AS parent FROM documents WHERE lang IN ('en', 'de')),
+        near AS (SELECT vec_id, score FROM scored ORDER BY 1 - scored.score, vec_id LIMIT greatest(4 * (SELECT count(*) FROM own), 200)),
+        c AS (SELECT vec_id, path, parent, round(score, 4) AS similarity, round(0.05::DOUBLE * (count(*) OVER (PARTITION BY path) - 1), 4) AS boost FROM near JOIN own ON doc_id = vec_id),
+        top AS (SELECT *, round(similarity + boost, 4) AS score FROM c ORDER BY round(similarity + boost, 4) DESC, vec_id LIMIT 10)
+        SELECT vec_id, path, similarity, boost, score, (SELECT count(*) FROM own o WHERE o.parent = t.parent AND o.doc_id NOT IN (SELECT vec_id FROM top)) AS neighbours FROM top t""",
+    "recoverable_batches": "SELECT doc_id // 10 AS batch, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS missing FROM documents WHERE lang <> 'fr' AND doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY 1",
     "first_match": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "chunk_id_codec": """WITH c AS (SELECT doc_id, lang || '/a:b' || doc_id AS path, doc_id * 7919 AS g, text FROM documents)
         SELECT doc_id, 'c2.' || lpad(lower(to_base(g, 36)), 8, '0') || '.' || left(sha256(text), 12) || '.' || left(sha256('lines2'), 8) || '.3:' || length(path) || ':' || path || ':p1' AS chunk_id, g AS generation, path, 'p1' AS part, true AS valid FROM c""",

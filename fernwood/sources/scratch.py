@@ -29,9 +29,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+#: What ``written`` made in this process and nothing deleted yet.
+_LEFT: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet, read again: later steps, and executors that are lost, need none of the work before it."""
     path = folder(df.sparkSession, name)
+    _LEFT.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,3 +47,14 @@ def dropped(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _LEFT.difference_update([p for p in _LEFT if p.rsplit("/", 1)[1] == path.getName()])
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes the tables that results of this process still read; for when those results are used. How many there were."""
+    n = len(_LEFT)
+    for name in sorted(_LEFT):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _LEFT.clear()
+    return n
