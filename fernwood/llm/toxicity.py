@@ -9,7 +9,8 @@ several lexica gives several, so a clause is a lattice. Three weighted transduce
   reading has the better weight; without a target insults are plain and threats are nothing.
 
 The best path through lattice and composition gives the matched classes of each clause; marks end clauses. The weights of a
-text's matches, summed by class, and whether there is any insult go into a logistic function. A text is scored by its
+text's matches, summed by class, and whether there is any insult go into a logistic function, whose weights keep the signs that the grammar gives
+them: an insult may lose by being negated or reported, never gain. A text is scored by its
 matched clauses: words outside of them never count.
 
 All five lexica are learned, the four smaller ones on top of closed-class words of four languages. Insults are stems and words that
@@ -43,7 +44,6 @@ from .shared import dropped, written
 from .transducers import Transducer
 
 MAX_TOXIC, MAX_CLEAN = 3_000, 7_000  # labelled rows that training reads at most
-MAX_LEXICON = 3_000  # words and stems of each lexicon
 SKETCHES = 4  # least shingle hashes by which the sample loses its copies
 SALTS = np.arange(1, SKETCHES + 1, dtype=np.uint64) * words.MULT[0]
 STEM = range(4, 9)  # letters of a stem
@@ -168,14 +168,20 @@ def matches(text: str | None, entries: Entries) -> list[float] | None:
 
 
 def features(sums: list[float] | None) -> np.ndarray:
+    """All insults together, whatever their clause; what an insult gains or loses by being aimed, negated or reported; threats; any insult; one."""
     x = np.zeros(len(CLASSES) + 2)
     x[-1] = 1.0
     if sums is not None:
-        x[: len(CLASSES)] = np.log1p(sums)
-        x[-2] = float(sum(sums[:4]) > 0)
+        insults = sum(sums[:4])
+        x[: len(CLASSES)] = np.log1p([insults, *sums[1:]])
+        x[-2] = float(insults > 0)
     return x
 
 
+#: What a weight may be: insults, aimed ones and threats never speak for a clean text, and an insult never says more for being negated or reported.
+SIGNS = np.array([1, 1, -1, -1, 1, 0, 0])
+
+
 def held_out(key: str) -> Column:
     """Rows that training never sees: crc32 of the key as text leaves 1 modulo 3."""
     return F.crc32(F.col(key).cast("string")) % 3 == 1
@@ -255,7 +261,7 @@ def _around(grammar: Grammar) -> Callable[[str], Iterator[tuple[str, str]]]:
     return found
 
 
-def _marking(counts: DataFrame, kind: str, of: tuple[str, str], sizes: tuple[int, int], limit: int, margin: float = 4) -> list[tuple[str, float, int]]:
+def _marking(counts: DataFrame, kind: str, of: tuple[str, str], sizes: tuple[int, int], margin: float = 4) -> list[tuple[str, float, int]]:
     """word, log odds, documents: words of a kind that documents of the first side hold far more often than chance allows, the surest first.
 
     The best of n words without an effect has a G of about 2 ln n, which ``margin`` is added to.
@@ -270,7 +276,7 @@ def _marking(counts: DataFrame, kind: str, of: tuple[str, str], sizes: tuple[int
     some = counts.filter((F.col("kind") == kind) & (F.col("word") != ""))
     bar = 2 * math.log(max(2, some.count())) + margin
     rows = some.withColumns({"g": g, "odds": odds}).filter((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= bar) & (a >= 3))
-    return [(r["word"], min(4.0, r["odds"]), r[of[0]]) for r in rows.orderBy(F.desc("g"), F.length("word").desc(), "word").limit(limit).collect()]
+    return [(r["word"], min(4.0, r["odds"]), r[of[0]]) for r in rows.orderBy(F.desc("g"), F.length("word").desc(), "word").collect()]  # words of the bounded sample
 
 
 def _insults(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
@@ -278,7 +284,7 @@ def _insults(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     docs: dict[str, int] = {}
     stems: dict[str, set[str]] = {}  # chosen ones by each of their own beginnings
     # A margin below 0 lets in a handful of chance stems (e^2), to find those of small training sets too. A word brings up to six stems.
-    for s, odds, n in _marking(counts, "any", ("toxic", "clean"), (toxic, clean), 10 * MAX_LEXICON, margin=-4):
+    for s, odds, n in _marking(counts, "any", ("toxic", "clean"), (toxic, clean), margin=-4):
         word = s.rstrip("$")
         shorter = [word[:k] for k in STEM if k < len(s)]
         # A stem whose documents a chosen one explains adds nothing; the longer of equal stems says more exactly what it is.
@@ -287,13 +293,22 @@ def _insults(counts: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         out[s], docs[s] = odds, n
         for k in range(1, len(word) + 1):
             stems.setdefault(word[:k], set()).add(s)
-        if len(out) == MAX_LEXICON:
-            break
     return out
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> np.ndarray:
-    """Logistic regression with balanced classes by Newton steps."""
+    """Logistic regression with balanced classes by Newton steps, with the signs of ``SIGNS``: a weight that wants the other one is 0, and the rest is fitted anew."""
+    free = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[free] = _newton(x[:, free], y, rounds, ridge)
+        wrong = w * SIGNS < -1e-9
+        if not wrong.any():
+            return w
+        free &= ~wrong
+
+
+def _newton(x: np.ndarray, y: np.ndarray, rounds: int, ridge: float) -> np.ndarray:
     w = np.zeros(x.shape[1])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     for _ in range(rounds):
@@ -323,15 +338,15 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         grammar.stems = _insults(counts, size[1], size[0])
         alone = {w.rstrip("$") for w in grammar.stems}
         aimed = counts.filter("kind = 'aimed' and word = ''").first() or {"toxic": 0, "clean": 0}
-        grammar.others[THREAT] |= {w: 1.0 for w, _, _ in _marking(counts, "aimed", sides[0], (aimed["toxic"], aimed["clean"]), MAX_LEXICON) if not any(w[:k] in alone for k in range(3, len(w) + 1))}
+        grammar.others[THREAT] |= {w: 1.0 for w, _, _ in _marking(counts, "aimed", sides[0], (aimed["toxic"], aimed["clean"])) if not any(w[:k] in alone for k in range(3, len(w) + 1))}
         near = written(_counts(sample, _around(grammar)), "around")
         hits = near.filter("kind = 'hits'").first()
         if hits:
             clean_hits = (hits["clean"], hits["toxic"])
-            negations = {w: odds for w, odds, _ in _marking(near, "near", sides[1], clean_hits, MAX_LEXICON)}
+            negations = {w: odds for w, odds, _ in _marking(near, "near", sides[1], clean_hits)}
             grammar.others[NEGATION] |= negations
-            grammar.others[REPORT] |= {w: odds for w, odds, _ in _marking(near, "before", sides[1], clean_hits, MAX_LEXICON) if w not in negations}
-            grammar.others[TARGET] |= {w: odds for w, odds, _ in _marking(near, "clause", sides[0], clean_hits[::-1], MAX_LEXICON)}
+            grammar.others[REPORT] |= {w: odds for w, odds, _ in _marking(near, "before", sides[1], clean_hits) if w not in negations}
+            grammar.others[TARGET] |= {w: odds for w, odds, _ in _marking(near, "clause", sides[0], clean_hits[::-1])}
         dropped(counts)
         dropped(near)
         grammar.weights = _fitted(sample, grammar)

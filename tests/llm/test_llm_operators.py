@@ -440,6 +440,20 @@ def test_clause_classes_decide_on_held_out_texts(spark):
     assert {i % 10 for i in changed} >= {2, 3} and len(changed) >= 0.05 * len(got) and not right[False] - right[True]
 
 
+def test_negated_insults_never_add(spark):
+    """Labels that go against the grammar's signs give a weight of 0, not a wrong one."""
+    rng = np.random.default_rng(10)
+    sums = [[float(rng.integers(0, 3)), 0.0, float(rng.integers(0, 3)), float(rng.integers(0, 2)), float(rng.integers(0, 2))] for _ in range(400)]
+    x = np.array([toxicity.features(s) for s in sums])
+    for sign in (1, -1):  # toxic with, or without, negated insults and threats
+        y = np.array([float(sign * (s[2] + s[4] - 2) > 0) for s in sums])
+        w = toxicity._fit(x, y)
+        assert (w * toxicity.SIGNS >= -1e-9).all() and len(w) == len(toxicity.CLASSES) + 2
+        plain, negated = (toxicity.features([1.0, 0.0, n, 0.0, 0.0]) - toxicity.features([1.0 + n, 0.0, 0.0, 0.0, 0.0]) for n in (0.0, 1.0))
+        assert negated @ w <= 1e-9 and abs(plain @ w) < 1e-9  # the same insults, one of them negated, are never worse
+    assert (toxicity._fit(x, (x[:, 0] > 1.2).astype(float))[0]) > 0
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     none = spark.createDataFrame([(1, 1, None), (None, 0, 1), (77, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.score(odd, toxicity.train(odd, none)).collect()
