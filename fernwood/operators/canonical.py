@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernwood.operators import documents
 from fernwood.sources.scratch import written
 
 #: Patterns of markdown lines.
@@ -178,6 +179,41 @@ def nodes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", markdown:
     return named.select("row", "doc_id", "ordinal", "node_id", F.try_element_at("ids", F.lit(-1))["value"].alias("parent_id"), "kind", level.alias("level"), "sec_num", titles.alias("heading_chain"), "path", "char_start", "text", "attrs")
 
 
+# --- chunks of the tree ------------------------------------------------------------------------------------------
+
+CAP = 400  # characters of a chunk
+
+
+def chunks(tree: DataFrame, *, cap: int = CAP) -> DataFrame:
+    """row, doc_id, chunk_id, parent_id, child_ids, sibling_ids, level, path, section_number, section_title, heading_chain, part, text, char_count of a node table.
+
+    A section is a heading with the blocks below it, or the preface: blocks before the first heading. Its text is packed into parts of ``cap`` characters: whole paragraphs while they fit,
+    longer ones cut after a sentence in their second half, else at the cap; tables, code and lists are not cut apart from paragraphs. A section without blocks
+    is one empty part. Parent, children and siblings are named by the first parts of their sections. The preface has level 0, no number and no relatives.
+
+    Sections meet their blocks, parents and children by (row, node id): equality joins, and lists no longer than a document's sections.
+    """
+    held = written(tree.select("row", "doc_id", "ordinal", "node_id", "parent_id", "kind", "level", "sec_num", "heading_chain", "path", "text"), "nodes")
+    body = held.filter("kind <> 'heading'").groupBy("row", "doc_id", F.coalesce("parent_id", F.lit("preface")).alias("section")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    heads = held.filter("kind = 'heading'").select("row", "doc_id", "ordinal", F.col("node_id").alias("section"), F.col("parent_id").alias("above"), "level", "path", "sec_num", "text", F.concat("heading_chain", F.array("text")).alias("heading_chain"))
+    named = heads.join(body.drop("doc_id"), ["row", "section"], "left")
+    preface = body.filter("section = 'preface'").select("row", "doc_id", F.lit(0).cast("long").alias("ordinal"), "section", F.lit(None).cast("string").alias("above"), F.lit(0).cast("long").alias("level"), F.lit("").alias("path"), F.lit(None).cast("string").alias("sec_num"), F.lit("").alias("text"), F.array().cast("array<string>").alias("heading_chain"), "body")
+    sections = written(named.select(preface.columns).unionByName(preface).withColumn("body", F.coalesce("body", F.lit(""))), "sections")
+    own_id = lambda section: F.concat_ws("__", F.col("doc_id").cast("string"), section, F.lit("p1"))
+    families = sections.filter("section <> 'preface'").groupBy("row", "above").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", own_id(F.col("section")).alias("id")))), lambda x: x["id"]).alias("ids"))
+    kids = families.select(F.col("row").alias("of_row"), F.col("above").alias("of"), F.col("ids").alias("kids"))
+    peers = families.select(F.col("row").alias("peer_row"), F.col("above").alias("under"), F.col("ids").alias("peers"))
+    met = sections.join(kids, (F.col("row") == F.col("of_row")) & (F.col("section") == F.col("of")), "left").join(peers, (F.col("row") == F.col("peer_row")) & F.col("above").eqNullSafe(F.col("under")) & (F.col("section") != "preface"), "left")
+    split = F.pandas_udf(lambda bodies: bodies.map(lambda b: documents.split_body(b, cap) or [""]), "array<string>")
+    none = F.array().cast("array<string>")
+    parts = met.withColumn("parts", split("body")).select("*", F.posexplode("parts").alias("at", "piece"))
+    return parts.select(
+        "row", "doc_id", F.concat_ws("__", F.col("doc_id").cast("string"), "section", F.concat(F.lit("p"), (F.col("at") + 1).cast("string"))).alias("chunk_id"), F.when(F.col("above").isNotNull(), own_id(F.col("above"))).alias("parent_id"),
+        F.coalesce("kids", none).alias("child_ids"), F.coalesce(F.filter("peers", lambda x: x != own_id(F.col("section"))), none).alias("sibling_ids"), "level", "path", F.col("sec_num").alias("section_number"), F.col("text").alias("section_title"), "heading_chain",
+        (F.col("at") + 1).cast("long").alias("part"), F.col("piece").alias("text"), F.length("piece").cast("long").alias("char_count"),
+    )
+
+
 # --- checks of node tables ---------------------------------------------------------------------------------------
 
 

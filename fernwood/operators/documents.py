@@ -185,14 +185,19 @@ def split_body(body: str, cap: int = CAP) -> list[str]:
     held = ""
     for paragraph in re.split(r"\n\s*\n", body):
         paragraph = paragraph.strip()
-        while len(paragraph) > cap:
-            ends = [m.end() for m in re.finditer(r"[.!?。！？](?=\s|$)", paragraph[:cap]) if m.end() >= cap // 2]
+        at = 0
+        while len(paragraph) - at > cap:
+            window = paragraph[at : at + cap]
+            ends = [m.end() for m in re.finditer(r"[.!?。！？](?=\s|$)", window) if m.end() >= cap // 2]
             cut = ends[-1] if ends else cap
             if held:
                 out.append(held)
                 held = ""
-            out.append(paragraph[:cut].strip())
-            paragraph = paragraph[cut:].strip()
+            out.append(window[:cut].strip())
+            at += cut
+            while paragraph[at : at + 1].isspace():
+                at += 1
+        paragraph = paragraph[at:]
         if held and len(held) + 2 + len(paragraph) > cap:
             out.append(held)
             held = ""

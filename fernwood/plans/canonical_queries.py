@@ -32,6 +32,18 @@ def document_nodes(spark: SparkSession, d: str) -> DataFrame:
     return canonical.nodes(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ordinal", "node_id", "parent_id", "kind", "level", "path", "char_start", "text")
 
 
+def transcript_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the transcripts in chunks, with parents, children and siblings."""
+    found = canonical.chunks(canonical.nodes(_transcripts(spark, d), key="conv_id"))
+    return found.select(F.col("doc_id").alias("conv_id"), "path", "part", "level", "section_number", "section_title", F.array_join("heading_chain", " > ").alias("chain"), F.size("child_ids").cast("bigint").alias("children"), F.size("sibling_ids").cast("bigint").alias("siblings"), F.col("parent_id").isNotNull().alias("has_parent"), "text", "char_count")
+
+
+def transcript_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The same by section."""
+    kept = ["conv_id", "path", "level", "section_number", "section_title", "chain", "children", "siblings", "has_parent"]
+    return transcript_chunks(spark, d).groupBy(kept).agg(F.sum(F.length(F.regexp_replace("text", " ", ""))).alias("letters"))
+
+
 def located_chunks(spark: SparkSession, d: str) -> DataFrame:
     return canonical.located(table(spark, d, "documents").select("doc_id", "text")).drop("row")
 
@@ -94,7 +106,7 @@ def identifier_keys(spark: SparkSession, d: str) -> DataFrame:
     return each.select("c_custkey", "x.scheme", T.identifier(F.col("x.scheme"), F.col("x.raw")).alias("key"))
 
 
-QUERIES = {f.__name__: f for f in (transcript_nodes, document_nodes, located_chunks, tree_violations, heading_levels, jats_markdown, rank_inversions, sql_text_pieces, sql_visible_text, identifier_keys)}
+QUERIES = {f.__name__: f for f in (transcript_nodes, document_nodes, transcript_chunks, transcript_sections, located_chunks, tree_violations, heading_levels, jats_markdown, rank_inversions, sql_text_pieces, sql_visible_text, identifier_keys)}
 TURNS_SQL = r"""t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn, role, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g')) AS said FROM conversations),
     s AS (SELECT *, length('## ' || turn || ' ' || role || chr(10) || chr(10)) AS head, length('## ' || turn || ' ' || role || chr(10) || chr(10) || said || chr(10)) + 1 AS size FROM t),
     p AS (SELECT *, length('# Conversation ' || conv_id) + 2 + coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
@@ -106,6 +118,10 @@ TURNS_SQL = r"""t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id OR
 SQL = {
     "heading_levels": "SELECT 1::BIGINT AS level, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 2, count(*) FROM conversations",
     "transcript_nodes": f"WITH {TURNS_SQL} SELECT * FROM nodes",
+    "transcript_sections": f"""WITH {TURNS_SQL}, h AS (SELECT conv_id, count(*) - 1 AS turns FROM nodes WHERE kind = 'heading' GROUP BY conv_id)
+        SELECT n.conv_id, n.path, n.level, n.sec_num AS section_number, n.text AS section_title, CASE WHEN n.level = 1 THEN n.text ELSE n.chain || ' > ' || n.text END AS chain, CASE WHEN n.level = 1 THEN turns ELSE 0 END AS children,
+               CASE WHEN n.level = 1 THEN 0 ELSE turns - 1 END AS siblings, n.level > 1 AS has_parent, coalesce(length(replace(p.text, ' ', '')), 0)::BIGINT AS letters
+        FROM nodes n JOIN h USING (conv_id) LEFT JOIN nodes p ON p.conv_id = n.conv_id AND p.kind = 'paragraph' AND p.path = n.path || '/1' WHERE n.kind = 'heading'""",
     "tree_violations": f"""WITH {TURNS_SQL}, c AS (SELECT *, conv_id % 5 AS which, count(*) FILTER (kind = 'paragraph') OVER (PARTITION BY conv_id) AS said FROM nodes)
         SELECT rule, count(*) AS n FROM (
             SELECT 'heading_level' AS rule FROM c WHERE which = 1 AND kind = 'heading' UNION ALL SELECT 'dangling_parent' FROM c WHERE which = 2 AND kind = 'paragraph'

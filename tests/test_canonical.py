@@ -153,6 +153,22 @@ def test_broken_trees(spark):
     }
 
 
+def test_chunks_know_their_relatives(spark):
+    text = "before\n\n# A\n\n" + "Sentence one. " * 60 + "\n\n## 1.1 B\n\n## C\n\nshort\n\n- x\n- y\n### D\n\nd\n# A\n"
+    found = canonical.chunks(canonical.nodes(spark.createDataFrame([(7, text), (7, "only words"), (8, "")], "doc_id long, text string"))).collect()
+    rows = [r for r in found if r.row == max((x.row for x in found if x.section_title), default=0)]
+    first = {r.section_title + r.path: r for r in rows if r.part == 1}
+    a, b, c, d, last, pre = (first[k] for k in ("A/2", "B/2/2", "C/2/3", "D/2/3/3", "A/3", ""))
+    assert pre.text == "before" and pre.level == 0 and pre.parent_id is None and not pre.child_ids and not pre.sibling_ids and pre.chunk_id == "7__preface__p1"
+    assert a.child_ids == [b.chunk_id, c.chunk_id] and a.sibling_ids == [last.chunk_id] and last.child_ids == [] and a.chunk_id != last.chunk_id
+    assert c.child_ids == [d.chunk_id] and b.sibling_ids == [c.chunk_id] and d.parent_id == c.chunk_id and b.parent_id == a.chunk_id and (b.section_number, b.text, b.char_count) == ("1.1", "", 0)
+    assert d.heading_chain == ["A", "C", "D"] and d.level == 3 and c.text == "short\n\n- x\n- y"
+    parts = [r for r in sorted(rows, key=lambda r: r.part) if r.path == "/2"]
+    assert [r.part for r in parts] == [1, 2, 3] and all(r.char_count == len(r.text) <= 400 for r in parts) and "".join(r.text for r in parts).replace(" ", "") == "Sentenceone." * 60
+    assert [(r.text, r.chunk_id) for r in found if r.row not in (pre.row,)] == [("only words", "7__preface__p1")]
+    assert len({r.chunk_id for r in rows}) == len(rows)
+
+
 # --- located chunks ----------------------------------------------------------------------------------------------
 
 
