@@ -263,6 +263,44 @@ def broken(tree: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     return reduce(DataFrame.unionByName, [single, *repeated, dangling, late, misplaced, circles])
 
 
+#: The version of canonical documents, and levels of their warnings.
+VERSION = "1.0"
+WARNINGS = ("info", "warn", "error")
+DOCUMENT = (
+    "schema_version string, doc_id string, content_hash string, source_file string, parser string, parser_version string, parser_warnings array<struct<level:string,code:string,msg:string>>, "
+    "nodes array<struct<node_id:string,kind:string,level:long,sec_num:string,title:string,text:string,ordinal:long,parent_id:string,path:string,locator:struct<char_start:long,char_end:long>,attrs:map<string,string>>>, broken string"
+)
+
+
+def documents_of(tree: DataFrame, *, source_file: str = "source_file", version: str = VERSION) -> DataFrame:
+    """One canonical document for each document of a node table (as ``nodes`` makes them): its nodes in order, in the shape of ``DOCUMENT``."""
+    title = F.when(F.col("kind") == "heading", F.col("text")).otherwise("")
+    place = F.struct("char_start", F.lit(None).cast("long").alias("char_end")).alias("locator")
+    node = F.struct("node_id", "kind", "level", "sec_num", title.alias("title"), "text", "ordinal", "parent_id", "path", place, "attrs")
+    in_order = F.array_sort(F.collect_list(node), lambda a, b: (a["ordinal"] - b["ordinal"]).cast("int"))  # nodes of one document
+    whole = tree.groupBy("row", F.col("doc_id").cast("string").alias("doc_id")).agg(in_order.alias("nodes"))
+    content = F.concat(F.lit("sha256:"), F.sha2(F.array_join("nodes.text", "\n"), 256))
+    warnings = F.array().cast("array<struct<level:string,code:string,msg:string>>")
+    return whole.select(F.lit(version).alias("schema_version"), "doc_id", content.alias("content_hash"), F.lit(source_file).alias("source_file"), F.lit("lines").alias("parser"), F.lit("1.0").alias("parser_version"), warnings.alias("parser_warnings"), "nodes")
+
+
+def faults(docs: DataFrame) -> DataFrame:
+    """doc, node_id, rule of canonical documents in the shape of ``DOCUMENT``: broken JSON, wrong version or hash, unknown or error-level warnings, repeated documents, and all that ``broken`` finds in their trees."""
+    docs = written(docs.withColumn("doc_id", F.col("doc_id").cast("string")), "documents")
+    level = F.transform(F.coalesce("parser_warnings", F.array().cast("array<struct<level:string,code:string,msg:string>>")), lambda w: w["level"])
+    rules = {
+        "broken_json": F.col("broken").isNotNull(),
+        "schema_version": F.col("broken").isNull() & ~F.coalesce(F.col("schema_version") == VERSION, F.lit(False)),
+        "content_hash": F.col("broken").isNull() & ~F.coalesce(F.col("content_hash").rlike("^sha256:[0-9a-f]{64}$"), F.lit(False)),
+        "warning_level": F.exists(level, lambda x: ~F.coalesce(x.isin(*WARNINGS), F.lit(False))),
+        "error_warning": F.array_contains(level, "error"),
+    }
+    heads = docs.select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("node_id"), F.explode(F.filter(F.array(*(F.when(bad, rule) for rule, bad in rules.items())), lambda x: x.isNotNull())).alias("rule"))
+    twice = docs.filter("broken is null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("node_id"), F.lit("repeated_document").alias("rule"))
+    tree = docs.select("doc_id", F.inline("nodes"))
+    return heads.unionByName(twice).unionByName(broken(tree))
+
+
 # --- located chunks of source texts ------------------------------------------------------------------------------
 
 #: What ends a line beside \n, once \r\n and \r have become \n.

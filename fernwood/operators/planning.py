@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -139,3 +140,24 @@ def embed(texts: DataFrame, provider: Callable[[list[str]], list[list[float]]],
                 yield pd.DataFrame({key: some[key], "vector": provider(some["text"].tolist())})
 
     return texts.select(key, "text").mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, vector array<double>")
+
+
+def index_vectors(texts: DataFrame, vectors: DataFrame, provider: Callable[[list[str]], list[list[float]]], *, key: str, budget: int = 100, batch: int = 10, dim: int | None = None, forbidden: DataFrame | None = None) -> DataFrame:
+    """key, vector of the texts that have none yet, by an injected provider; an error before any call if more than ``budget`` lack one or one of them is ``forbidden``.
+
+    A provider that returns another number of vectors, or one that is not valid (of ``dim`` components, finite, not zero), fails the job. Keys with a vector are not sent again.
+    """
+    lacking = written(texts.select(key, "text").join(vectors.select(key), key, "left_anti"), "lacking")
+    n = lacking.count()
+    if n > budget:
+        raise ValueError(f"{n} texts exceed the budget of {budget}")
+    if forbidden is not None and not lacking.join(forbidden.select(key), key, "left_semi").isEmpty():
+        raise ValueError("texts whose vectors must not be made anew are among them")
+
+    def checked(some: list[str]) -> list[list[float]]:
+        out = provider(some)
+        if len(out) != len(some) or any(not all(map(math.isfinite, v)) or not any(v) or (dim and len(v) != dim) for v in out):
+            raise ValueError("the provider's vectors are not valid")
+        return out
+
+    return embed(lacking, checked, key=key, batch=batch)

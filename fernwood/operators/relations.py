@@ -116,3 +116,34 @@ def heading_levels(rows: DataFrame, text: str) -> DataFrame:
     lines = rows.select(F.explode(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?ms)^\s{0,3}```.*?(?:^\s{0,3}```[^\n]*$|\z)", ""), "\n")).alias("line"))
     level = F.length(F.regexp_extract("line", r"^(#{1,6}) ", 1))
     return lines.select(level.cast("long").alias("level")).filter("level > 0").groupBy("level").agg(F.count("*").alias("n"))
+
+
+def known(rows: DataFrame, held: DataFrame, keys: list[str], found: str) -> DataFrame:
+    """``rows`` with the least ``found`` of the held rows that agree in all ``keys``, nulls with nulls; null where none does."""
+    names = {k: f"_{i}" for i, k in enumerate(keys)}
+    least = held.groupBy(*(F.col(k).alias(n) for k, n in names.items())).agg(F.min(found).alias(found))
+    on = None
+    for k, n in names.items():
+        one = F.col(k).eqNullSafe(F.col(n))
+        on = one if on is None else on & one
+    return rows.join(least, on, "left").drop(*names.values())
+
+
+def research(revisions: DataFrame, current: DataFrame, query: str, *, context: str | None = None, links: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """record_id, id, kind, is_current, created_at, ref of revisions whose body holds the query: current ones first, then the newest, then by id.
+
+    ``revisions``: id, record_id, body, created_at; ``current``: record_id, revision_id, kind, project; with a ``context``, records of that project or that a link
+    (context, target) ties to it. An empty query is an error.
+    """
+    if not query:
+        raise ValueError("a query is needed")
+    met = revisions.filter(F.contains(F.lower("body"), F.lit(query.lower()))).join(current, "record_id")
+    if context is not None:
+        tied = F.col("project") == context
+        if links is not None:
+            met = met.join(links.filter(F.col("context") == context).select(F.col("target").alias("record_id")).distinct().withColumn("_tied", F.lit(True)), "record_id", "left")
+            tied = F.coalesce(tied, F.lit(False)) | F.coalesce("_tied", F.lit(False))
+        met = met.filter(tied)
+    is_current = F.coalesce(F.col("id") == F.col("revision_id"), F.lit(False))
+    ref = F.concat(F.lit("ref/"), F.col("record_id").cast("string"), F.lit("/revision/"), F.col("id").cast("string"))
+    return met.select("record_id", "id", "kind", is_current.alias("is_current"), "created_at", ref.alias("ref")).orderBy(F.desc("is_current"), F.desc("created_at"), "id").limit(limit)

@@ -239,12 +239,27 @@ def indexed_page(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(F.broadcast(page.withColumnRenamed("id", "doc_id")), "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.length("text").cast("bigint").alias("chars"), F.substring("text", 1, 30).alias("head"))
 
 
+def known_sources(spark: SparkSession, d: str) -> DataFrame:
+    """For every document the first one outside French that agrees in all seven parts of a source's key, missing ones with missing ones."""
+    key = {"hash": F.sha2("text", 256), "version_kind": F.col("lang"), "coverage": F.when(F.col("n_chars") > 500, "full"), "media_type": F.lit("text/plain"), "origin": F.col("source"), "url": F.lit(None).cast("string"), "relation": F.when(F.col("n_chars") > 2000, "long")}
+    keyed = table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in key.items()))
+    return relations.known(keyed, keyed.filter("version_kind <> 'fr'").withColumnRenamed("doc_id", "first_id"), list(key), "first_id").select("doc_id", "first_id")
+
+
+def research_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Turns (revisions) of conversations (records) with a word, those that are current first; a record's project is its first role."""
+    turns = table(spark, d, "conversations")
+    revisions = turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.col("conv_id").alias("record_id"), F.col("text").alias("body"), F.col("turn").alias("created_at"))
+    current = turns.groupBy(F.col("conv_id").alias("record_id")).agg((F.col("record_id") * 100_000 + F.max("turn")).alias("revision_id"), F.min(F.struct("turn", "role"))["role"].alias("project")).withColumn("kind", F.lit("talk"))
+    return relations.research(revisions, current, "ING", context="user").select("record_id", "id", "is_current", "ref")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         identifier_filter, active_generation, optional_filters, key_whitelist, included_fields, reviews_by_target, source_evidence, current_or_linked, recovered_batches, recoverable_batches, batch_outcomes, link_targets, manifest_entries,
         quality_evidence, group_listing, tree_context, tombstone_chain, goal_detail, recent_items, phase_warning, table_fingerprint, search_status, heading_counts, best_chunks, part_suffix, self_search, first_match,
-        chunk_id_codec, ascii_query_tokens, similar_by_chunk, resolver_links, table_dump, value_codecs, hash_embedding, batch_ledger, node_violations, indexed_bm25, indexed_page,
+        chunk_id_codec, ascii_query_tokens, similar_by_chunk, resolver_links, table_dump, value_codecs, hash_embedding, batch_ledger, node_violations, known_sources, research_lookup, indexed_bm25, indexed_page,
     )
 }
 BM25_SQL = f"""WITH words AS (SELECT doc_id, text, regexp_extract_all({PLAIN_SQL}, '[\\p{{L}}\\p{{N}}_]+') AS words FROM documents),
@@ -313,4 +328,9 @@ SQL = {
         UNION ALL SELECT 'bad_length', count(*) FROM documents WHERE n_chars <> length(text) UNION ALL SELECT 'long', count(*) FROM documents WHERE n_chars > 10000""",
     "indexed_bm25": BM25_SQL.replace("sum(greatest(", "sum(CAST(contains(lower(w.text), f.term) AS INT) + greatest(") + " SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 20",
     "indexed_page": f"{BM25_SQL}, page AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 5) SELECT doc_id, round(score, 6) AS score, length(text)::BIGINT AS chars, substring(text, 1, 30) AS head FROM page",
+    "known_sources": """WITH k AS (SELECT doc_id, sha256(text) AS hash, lang, CASE WHEN n_chars > 500 THEN 'full' END AS coverage, source, CASE WHEN n_chars > 2000 THEN 'long' END AS relation FROM documents)
+        SELECT a.doc_id, min(b.doc_id) AS first_id FROM k a LEFT JOIN k b ON a.hash = b.hash AND a.lang = b.lang AND a.coverage IS NOT DISTINCT FROM b.coverage AND a.source = b.source AND a.relation IS NOT DISTINCT FROM b.relation AND b.lang <> 'fr' GROUP BY a.doc_id""",
+    "research_lookup": """WITH c AS (SELECT conv_id, max(turn) AS last, arg_min(role, turn) AS project FROM conversations GROUP BY conv_id)
+        SELECT conv_id AS record_id, conv_id * 100000 + turn AS id, turn = last AS is_current, 'ref/' || conv_id || '/revision/' || (conv_id * 100000 + turn) AS ref
+        FROM conversations JOIN c USING (conv_id) WHERE contains(lower(text), 'ing') AND project = 'user' ORDER BY (turn = last) DESC, turn DESC, 2 LIMIT 20""",
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernwood.sources import scratch
+from fernwood.sources import scratch, snapshots
 
 MAX_BYTES = 10 * 1024 * 1024  # of one source file
 FRAME_BYTES = 1 << 20  # of one JSONL frame
@@ -35,15 +36,46 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
     return read.select("frame.*", error.alias("error"))
 
 
+PUBLISH_TRIES = 5
+
+
 def publish_blobs(blobs: DataFrame, folder: str) -> DataFrame:
-    """Appends the contents whose hash ``folder`` does not hold yet; returns what was new. Running it again adds nothing."""
+    """Adds the contents whose hash ``folder`` does not hold yet; hash, size of all it holds. Running it again adds nothing.
+
+    New contents go to a folder of their own and count from its commit on. Of two writers at once, the second finds its version taken, leaves its
+    folder unnamed and tries again with what is new by then: so a hash is held once.
+    """
     spark = blobs.sparkSession
-    new = blobs.select(F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("bigint").alias("size"), "content").dropDuplicates(["hash"])
-    if scratch.exists(spark, f"{folder}/_SUCCESS"):
-        new = new.join(spark.read.parquet(folder).select("hash"), "hash", "left_anti")
-    new.write.mode("append").parquet(folder)
-    # Two writers at once may both add a hash: readers take one of them.
-    return spark.read.parquet(folder).select("hash", "size").dropDuplicates(["hash"])
+    every = blobs.select(F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("bigint").alias("size"), "content").dropDuplicates(["hash"])
+    for turn in range(PUBLISH_TRIES):
+        last = snapshots.latest(spark, folder)
+        held = published(spark, folder, last)
+        new = every if held is None else every.join(held.select("hash"), "hash", "left_anti")
+        path = snapshots.fresh(folder, "objects")
+        new.write.parquet(path)
+        if last and spark.read.parquet(path).isEmpty():
+            break
+        try:
+            snapshots.commit(spark, folder, {"version": last["version"] + 1 if last else 1, "parts": [*(last["parts"] if last else []), path.rsplit("/", 1)[1]]})
+            break
+        except AnalysisException:
+            if turn == PUBLISH_TRIES - 1:
+                raise
+    return published(spark, folder).select("hash", "size")
+
+
+def published(spark: SparkSession, folder: str, manifest: dict | None = None) -> DataFrame | None:
+    """hash, size, content of the blobs in a folder; None if there is no commit."""
+    manifest = manifest or snapshots.latest(spark, folder)
+    return spark.read.parquet(*(f"{folder}/{p}" for p in manifest["parts"])) if manifest else None
+
+
+def objects_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """path, hash, size, fault of files kept under the hash of their content: a null fault where name and content agree."""
+    named = F.regexp_extract("path", "([^/]*)$", 1)
+    fault = F.when(~named.rlike("^[0-9a-f]{64}$"), "INVALID_NAME").when(named != F.col("sha256"), "OBJECT_CORRUPT").when(~F.col("path").contains(F.concat(F.lit("/"), F.left(named, F.lit(2)), F.lit("/"))), "WRONG_FOLDER")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return raw.select("path", named.alias("hash"), "size", fault.alias("fault"))
 
 
 def verified(blobs: DataFrame) -> DataFrame:
@@ -80,7 +112,10 @@ def memoized(df: DataFrame, folder: str, key: str, compute) -> DataFrame:
     return spark.read.parquet(folder)
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, size, modified of files below a folder; their contents are not read."""
+def listing(spark: SparkSession, folder: str, pattern: str = "*", *, depth: int | None = None) -> DataFrame:
+    """path, size, modified of files below a folder, of those ``depth`` folders down at most; their contents are not read."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    if depth is not None:
+        below = F.substring_index(F.col("path"), folder.rstrip("/").removeprefix("file:") + "/", -1)
+        raw = raw.filter(F.length(below) - F.length(F.replace(below, F.lit("/"), F.lit(""))) <= depth)
     return raw.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
