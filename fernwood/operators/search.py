@@ -169,12 +169,10 @@ def lists(kept: index.Index, flags: DataFrame, query: str, near: DataFrame | Non
     """Lists of the eligible chunks of ``kept``. ``flags``: version_id, formal, preferred of eligible versions; ``near``: chunk_id, score of vectors, or None. No text is read."""
     fields = ["chunk_id", "version_id", "formal", "preferred", "score"]
     versions = flags.select("version_id", "formal", "preferred")
-    eligible = written(kept.units().select(F.col("owner").alias("version_id"), F.col("id").alias("chunk_id")).join(versions, "version_id"), "eligible")
-    spark = kept.spark
-    none = spark.createDataFrame([], eligible.schema.add("score", "double")).select(fields)
+    eligible = kept.units().select(F.col("owner").alias("version_id"), F.col("id").alias("chunk_id")).join(versions, "version_id")
     found = index.matches(kept, query).select(F.col("owner").alias("version_id"), F.col("id").alias("chunk_id"), "score")
     lex = written(found.join(versions, "version_id").select(fields), "lexical")
-    scored = written(near.join(eligible, "chunk_id").select(fields), "near") if near is not None else none
+    scored = written(near.join(eligible, "chunk_id").select(fields), "near") if near is not None else lex.limit(0)
     best = [written(retained(x, budget), "retained") for x in (lex, scored)]
     return Lists(*best, eligible.count(), lex.count(), scored.count(), budget, warnings)
 

@@ -25,57 +25,80 @@ def title_of(text):
     return squeeze(re.sub(r"[*_`~]", "", text))
 
 
+def alone(pattern, kind, value, bare=True):
+    """A rule of blocks of one line: how many lines it takes from the front, and what it makes of them."""
+
+    def rule(lines):
+        m = re.match(pattern, lines[0].strip(" ") if bare else lines[0])
+        return (1, kind, 0, value(m)) if m else None
+
+    return rule
+
+
+def run_of(count, kind, value):
+    """A rule of blocks of several lines; ``count`` says how many from the front belong to it."""
+
+    def rule(lines):
+        n = count(lines)
+        return (n, kind, 0, value(lines[:n])) if n else None
+
+    return rule
+
+
+def heading_rule(lines):
+    m = re.match(canonical.HEADING, lines[0])
+    if not m or not title_of(m[2]):
+        return None
+    n = re.match(canonical.NUMBER, m[2].strip())
+    return 1, "heading", len(m[1]), title_of(n[2]) if n and title_of(n[2]) else title_of(m[2])
+
+
+def leading(test):
+    return lambda lines: next((k for k, x in enumerate(lines) if not test(x)), len(lines))
+
+
+def fence_lines(lines):
+    if not re.match(canonical.FENCE, lines[0]):
+        return 0
+    return next((k + 1 for k, x in enumerate(lines) if k and re.match(canonical.FENCE, x)), len(lines))
+
+
+def table_lines(lines):
+    begins = lines[0].strip().startswith("|") and len(lines) > 1 and re.match(canonical.SEPARATOR, lines[1])
+    return leading(lambda x: x.strip().startswith("|"))(lines) if begins else 0
+
+
+def trimmed(lines):
+    return "\n".join(x.rstrip() for x in lines)
+
+
+#: Rules that also end a paragraph, and those that do not, in the order in which they are tried.
+CODE = run_of(fence_lines, "code", trimmed)
+FIRM = [heading_rule, alone(canonical.FORMULA, "formula", lambda m: m[1].strip()), alone(canonical.FIGURE, "figure", lambda m: m[1].strip() or "[figure]"), alone(canonical.FOOTNOTE, "footnote", lambda m: squeeze(m[2]), bare=False)]
+TABLE = run_of(table_lines, "table", trimmed)
+ITEMS = run_of(leading(lambda x: re.match(canonical.ITEM, x)), "list", lambda ls: "\n".join("- " + squeeze(re.match(canonical.ITEM, x)[1]) for x in ls))
+LOOSE = [alone(canonical.INLINE_FORMULA, "inline_formula", lambda m: m[1].strip())], [alone(canonical.CAPTION, "caption", lambda m: squeeze(m[0]))]
+
+
 def plain_blocks(text, fences=True):
-    """Reads line by line, block by block."""
-    lines, out, i = text.split("\n"), [], 0
-    starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
-    table_at = lambda k: lines[k].strip().startswith("|") and k + 1 < len(lines) and re.match(canonical.SEPARATOR, lines[k + 1])
-    is_heading = lambda x: (m := re.match(canonical.HEADING, x)) and title_of(m[2]) != ""
-    is_fence = lambda x: fences and re.match(canonical.FENCE, x)
-
-    def hard(k):
-        line = lines[k]
-        bare = line.strip(" ")
-        return is_fence(line) or is_heading(line) or re.match(canonical.FIGURE, bare) or re.match(canonical.FOOTNOTE, line) or re.match(canonical.ITEM, line) or re.match(canonical.FORMULA, bare) or table_at(k)
-
-    while i < len(lines):
-        line, at = lines[i], i
-        bare = line.strip(" ")
-        if not bare and not is_fence(line):
-            i += 1
-            continue
-        i += 1
-        if is_fence(line):
-            while i < len(lines) and not is_fence(lines[i]):
-                i += 1
-            i = min(i + 1, len(lines))
-            out.append(("code", 0, starts[at], "\n".join(x.rstrip() for x in lines[at:i])))
-        elif is_heading(line):
-            m = re.match(canonical.HEADING, line)
-            n = re.match(canonical.NUMBER, m[2].strip())
-            out.append(("heading", len(m[1]), starts[at], title_of(n[2]) if n and title_of(n[2]) else title_of(m[2])))
-        elif m := re.match(canonical.FORMULA, bare):
-            out.append(("formula", 0, starts[at], m[1].strip()))
-        elif m := re.match(canonical.FIGURE, bare):
-            out.append(("figure", 0, starts[at], m[1].strip() or "[figure]"))
-        elif m := re.match(canonical.FOOTNOTE, line):
-            out.append(("footnote", 0, starts[at], squeeze(m[2])))
-        elif m := re.match(canonical.INLINE_FORMULA, bare):
-            out.append(("inline_formula", 0, starts[at], m[1].strip()))
-        elif table_at(at):
-            while i < len(lines) and lines[i].strip().startswith("|"):
-                i += 1
-            out.append(("table", 0, starts[at], "\n".join(x.rstrip() for x in lines[at:i])))
-        elif re.match(canonical.CAPTION, bare):
-            out.append(("caption", 0, starts[at], squeeze(bare)))
-        elif re.match(canonical.ITEM, line):
-            while i < len(lines) and re.match(canonical.ITEM, lines[i]) and not is_fence(lines[i]):
-                i += 1
-            out.append(("list", 0, starts[at], "\n".join("- " + squeeze(re.match(canonical.ITEM, x)[1]) for x in lines[at:i])))
+    """Takes the first rule that fits what is left of the lines, again and again."""
+    code = [CODE] if fences else []
+    rules = [*code, *FIRM, *LOOSE[0], TABLE, *LOOSE[1], ITEMS]
+    ends = [*code, *FIRM, TABLE, ITEMS]
+    left, at, out = text.split("\n"), 0, []
+    while left:
+        if not left[0].strip(" "):
+            took = (1, None, 0, "")
         else:
-            while i < len(lines) and lines[i].strip(" ") and not hard(i):
-                i += 1
-            out.append(("paragraph", 0, starts[at], squeeze(" ".join(lines[at:i]))))
+            took = next(filter(None, (rule(left) for rule in rules)), None)
+        if took is None:
+            n = next((k for k in range(1, len(left)) if not left[k].strip(" ") or any(rule(left[k:]) for rule in ends)), len(left))
+            took = (n, "paragraph", 0, squeeze(" ".join(left[:n])))
+        n, kind, level, body = took
+        if kind:
+            out.append((kind, level, at, body))
+        at += sum(len(x) + 1 for x in left[:n])
+        left = left[n:]
     return out
 
 
