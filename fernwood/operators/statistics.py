@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,3 +33,9 @@ def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Callable[
 def quantile(numerator: int, denominator: int) -> Callable[[Column], Column]:
     """The rank of the least value that the given share of rows does not exceed."""
     return lambda n: F.greatest(F.ceil(n * numerator / F.lit(denominator)), F.lit(1))
+
+
+def wrapped_sum(value: Column) -> Column:
+    """The sum of whole numbers modulo 2^64 as a signed 64-bit number: the plain sum wherever that fits, and no error where it does not."""
+    half = F.lit(Decimal(2**63))
+    return (F.pmod(F.sum(value.cast("decimal(20,0)")) + half, F.lit(Decimal(2**64))) - half).cast("bigint")

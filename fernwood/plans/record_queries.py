@@ -90,10 +90,10 @@ def candidate_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multiset_digest(spark: SparkSession, d: str) -> DataFrame:
-    """A count and order-free digests of each customer segment's rows; repeated rows count."""
+    """A count and order-free digests of each customer segment's rows; repeated rows count. Totals beyond 64 bits wrap around (modulo 2^64, signed), as a digest may; all rows count."""
     row = F.sha2(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), 256)
     part = F.conv(row.substr(1, 12), 16, 10).cast("bigint")
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum(part).alias("total"), F.bit_xor(part).alias("parity"))
+    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), statistics.wrapped_sum(part).alias("total"), F.bit_xor(part).alias("parity"))
 
 
 def percentiles(spark: SparkSession, d: str) -> DataFrame:

@@ -306,3 +306,20 @@ def test_owner_of_a_long_chain_and_of_a_circle(spark):
         graphs.canonical(spark.createDataFrame([(200, 201), (201, 200)], "id long, merged_into long"), max_rounds=4)
     with pytest.raises(ValueError, match="steps"):
         graphs.closure(spark.createDataFrame([(0,)], "root long"), spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long"), max_depth=5)
+
+
+def test_digests_of_segments_whose_total_passes_64_bits(spark, tmp_path):
+    from fernwood.plans import record_queries
+
+    n = 200_000
+    rows = spark.range(n).select(F.col("id").alias("c_custkey"), F.format_string("Customer#%09d", "id").alias("c_name"), F.lit("MACHINERY").alias("c_mktsegment"))
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    parts = [int(hashlib.sha256(f"{i}|Customer#{i:09d}|MACHINERY".encode()).hexdigest()[:12], 16) for i in range(n)]
+    assert sum(parts) > 2**63
+    parity = 0
+    for p in parts:
+        parity ^= p
+    got = record_queries.multiset_digest(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("MACHINERY", n, (sum(parts) + 2**63) % 2**64 - 2**63, parity)]
+    edges = spark.createDataFrame([(1, 2**63 - 1), (1, 1), (2, -(2**63)), (2, -1), (3, 5), (3, -7), (4, None)], "k long, v long")
+    assert dict(edges.groupBy("k").agg(statistics.wrapped_sum(F.col("v"))).collect()) == {1: -(2**63), 2: 2**63 - 1, 3: -2, 4: None}
