@@ -226,3 +226,33 @@ def test_codec_round_trip():
     for broken in ([b"123"], [None], [rows[0].tobytes() + b"x"], [np.array([np.nan, 0, 0], "<f4").tobytes()], [np.array([np.inf, 0, 0], "<f4").tobytes()]):
         with pytest.raises(ValueError):
             artefact.unpacked(pa.array(broken, pa.binary()), 3)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 24])
+def test_blocks_are_folded_where_their_words_are(most):
+    """Spans that run over batches, and those closed before their end, hold each word of each unit with its count and mark."""
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    rows = [(u, " ".join(rnd.choices(["a", "b", "été", f"w{u}"], k=rnd.randint(1, 9)))) for u in sorted(rnd.sample(range((3 << 33), (3 << 33) + 600), 300))]
+    columns = [[u for u, _ in rows], [x.count(" ") + 1 for _, x in rows], [x for _, x in rows], [1] * len(rows)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "n_words", "line", "tf"])
+    got, marked = {}, {}
+    blocks = [r for b in index._blocks(5.0, most)(whole.slice(i, 70) for i in range(0, 300, 70)) for r in b.to_pylist()]
+    for r in blocks:
+        assert r["n"] == len(r["places"]) <= 128 and r["top"] == max(t * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / 5.0)) for t, n in zip(r["tfs"], r["lengths"], strict=True))
+        assert {p for p in range(128) if ((r["high"] if p > 63 else r["low"]) >> (p & 63)) & 1} == set(r["places"])
+        for p, t, n in zip(r["places"], r["tfs"], r["lengths"], strict=True):
+            uid = r["span"] * 128 + p
+            got[uid, r["word"]] = got.get((uid, r["word"]), 0) + t
+            marked[uid] = n
+    assert got == {(u, w): x.split().count(w) for u, x in rows for w in x.split()}
+    assert marked == {u: x.count(" ") + 1 for u, x in rows}
+    assert len({(r["span"], r["word"]) for r in blocks}) == len(blocks) or most == 1
+
+
+def test_an_index_of_another_format_is_built_anew(spark, tmp_path):
+    at = str(tmp_path / "old")
+    snapshots.commit(spark, at, {"version": 4, "segments": [{"seg": 1, "path": "segment-gone", "n": 9, "words": 9, "average": 1.0, "dead": 0}], "n": 9, "words": 9, "lost": 0, "state": "x"})
+    ix = index.kept(frame(spark, [(1, "apple"), (2, "")]), at=at)
+    assert (ix.n, ix.manifest["version"]) == (2, 5) and [r.id for r in index.matches(ix, "apple").collect()] == [1]
