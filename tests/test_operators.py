@@ -323,3 +323,16 @@ def test_digests_of_segments_whose_total_passes_64_bits(spark, tmp_path):
     assert [tuple(r) for r in got] == [("MACHINERY", n, (sum(parts) + 2**63) % 2**64 - 2**63, parity)]
     edges = spark.createDataFrame([(1, 2**63 - 1), (1, 1), (2, -(2**63)), (2, -1), (3, 5), (3, -7), (4, None)], "k long, v long")
     assert dict(edges.groupBy("k").agg(statistics.wrapped_sum(F.col("v"))).collect()) == {1: -(2**63), 2: 2**63 - 1, 3: -2, 4: None}
+
+
+def test_nodes_are_handed_on_in_parts(monkeypatch):
+    """A batch of many long documents leaves a task in parts of bounded size, with every node in order."""
+    import pyarrow as pa
+
+    texts = [f"# Title {i}\n\n" + "word " * 50 + "\n\n## Below\n\n- item" for i in range(200)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(documents, "PART_CHARS", 3000)
+    parts = list(documents._in_parts(documents.NODES, lambda d, t: documents._node_rows(d, t, True))(iter([batch, batch])))
+    assert len(parts) > 50 and max(p.num_rows for p in parts) <= 40
+    want = [r for _ in range(2) for i, t in enumerate(texts) for r in documents._node_rows(i, t or "", True)]
+    assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want
