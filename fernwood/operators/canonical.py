@@ -319,15 +319,22 @@ def located(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pages:
     rows = docs.select(F.col(key).alias("doc_id"), normal.alias("whole"), (F.col(pages) if pages else F.lit(None).cast("array<struct<start:long,end:long,number:int>>")).alias("pages"), F.monotonically_increasing_id().alias("row"))
     hashed = rows.withColumn("canonical_hash", F.sha2("whole", 256))
     blank = r"(?U)^[\s\x1c-\x1f]*$"
-    lines = hashed.select("row", "doc_id", "pages", "canonical_hash", F.posexplode(F.regexp_extract_all("whole", F.lit(f"[^{ENDS}]*[{ENDS}]|[^{ENDS}]+$"), F.lit(0))).alias("at", "line"))
-    of_row = Window.partitionBy("row").orderBy("at")
-    before = of_row.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.regexp_replace("line", r"(?U)^\s+", "").startswith("```")
-    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("line").cast("bigint")).over(before), F.lit(0).cast("bigint"))).withColumn("inside", F.sum(fence.cast("int")).over(of_row) % 2 == 1)
+    # What a line alone tells is found before the one shuffle: its segments, fence and heading.
+    ended = hashed.select("row", "doc_id", "pages", "canonical_hash", F.posexplode(F.split("whole", f"(?<=[{ENDS}])")).alias("at", "line")).filter("line <> ''")
+    size = F.length("line")
+    whole_or_cut = F.when(size <= SEGMENT, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)))
+    cut = F.filter(F.transform(whole_or_cut, lambda part, i: F.struct((i * SEGMENT).alias("offset"), part.alias("text"))), lambda x: ~x["text"].rlike(blank))
     form = r"(?U)^(#{1,6})\s+(.+)"
     title = F.trim(F.regexp_replace(F.regexp_extract("line", form, 2), r"(?U)^\s+|\s+$", ""))
-    lines = lines.withColumn("head", F.when(~F.col("inside") & F.col("line").rlike(form), F.struct("at", F.length(F.regexp_extract("line", form, 1)).alias("depth"), F.left(title, F.lit(TITLE)).alias("title"))))
-    lines = lines.withColumn("heads", F.count("head").over(of_row).cast("int"))
+    headed_line = F.when(F.col("line").rlike(form), F.struct("at", F.length(F.regexp_extract("line", form, 1)).alias("depth"), F.left(title, F.lit(TITLE)).alias("title")))
+    alone = ended.select("row", "doc_id", "pages", "canonical_hash", "at", size.cast("bigint").alias("size"), F.col("line").rlike(r"(?U)^\s*```").cast("int").alias("fence"), headed_line.alias("head"), cut.alias("cut"))
+    of_row = Window.partitionBy("row").orderBy("at")
+    before = of_row.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    lines = alone.withColumns({"start": F.coalesce(F.sum("size").over(before), zero), "inside": F.sum("fence").over(of_row) % 2 == 1, "first": F.coalesce(F.sum(F.size("cut").cast("bigint")).over(before), zero)})
+    lines = lines.withColumn("head", F.when(~F.col("inside"), F.col("head")))
+    lines = lines.withColumns({"heads": F.count("head").over(of_row).cast("int"), "n": F.sum(F.size("cut").cast("bigint")).over(Window.partitionBy("row"))}).drop("size", "fence", "inside")
+    lines = written(lines, "lines")
     none = F.array().cast("array<string>")
     headed = lines.filter("head is not null").groupBy("row").agg(F.sort_array(F.collect_list("head")).alias("all"))
 
@@ -336,14 +343,13 @@ def located(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pages:
         return F.concat(state, F.array(chain))
 
     chains = headed.select(F.col("row").alias("of"), F.aggregate("all", F.array(none), longer).alias("chains"))
-    cut = F.filter(F.transform(F.regexp_extract_all("line", F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0)), lambda part, i: F.struct((F.col("start") + i * SEGMENT).alias("start"), part.alias("text"))), lambda x: ~x["text"].rlike(blank))
-    parts = lines.select("row", "doc_id", "pages", "canonical_hash", "heads", "at", F.posexplode(cut).alias("k", "x"))
-    counted = parts.withColumn("ordinal", F.row_number().over(Window.partitionBy("row").orderBy("at", "k")).cast("bigint") - 1).withColumn("n", F.count("*").over(Window.partitionBy("row")))
-    met = counted.filter(F.col("n") <= MOST_CHUNKS).join(chains, F.col("row") == F.col("of"), "left")
-    start = F.col("x.start")
+    within = lines.filter(F.col("n") <= MOST_CHUNKS)
+    below = within.filter("heads > 0").join(chains, F.col("row") == F.col("of")).withColumn("heading", F.element_at("chains", F.col("heads") + 1)).drop("of", "chains")
+    chained = within.filter("heads = 0").withColumn("heading", none).unionByName(below)  # lines above all headings meet no other table
+    met = chained.select("row", "doc_id", "pages", "canonical_hash", "heading", "start", "first", F.posexplode("cut").alias("k", "x"))
+    start = F.col("start") + F.col("x.offset")
     page = F.get(F.filter("pages", lambda p: (p["start"] <= start) & (start < p["end"])), F.lit(0))["number"]
-    heading = F.coalesce(F.element_at("chains", F.col("heads") + 1), none)
-    found = met.select("row", "doc_id", "ordinal", start.alias("char_start"), (start + F.length("x.text")).alias("char_end"), page.alias("page"), heading.alias("heading"), "canonical_hash", F.col("x.text").alias("text"), F.lit(None).cast("string").alias("error"))
+    found = met.select("row", "doc_id", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("char_start"), (start + F.length("x.text")).alias("char_end"), page.alias("page"), "heading", "canonical_hash", F.col("x.text").alias("text"), F.lit(None).cast("string").alias("error"))
     empty = hashed.filter(F.col("whole").rlike(blank)).select("row", "doc_id", "canonical_hash", F.lit("PARSE_EMPTY").alias("error"))
-    over = counted.filter((F.col("n") > MOST_CHUNKS) & (F.col("ordinal") == 0)).select("row", "doc_id", "canonical_hash", F.lit("PARSER_LIMIT").alias("error"))
+    over = lines.filter((F.col("n") > MOST_CHUNKS) & (F.col("at") == 0)).select("row", "doc_id", "canonical_hash", F.lit("PARSER_LIMIT").alias("error"))
     return found.unionByName(empty.unionByName(over), allowMissingColumns=True)

@@ -231,3 +231,14 @@ def test_located_chunks(spark, monkeypatch):
     monkeypatch.setattr(canonical, "MOST_CHUNKS", 3)
     few = canonical.located(spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.error or r.text.strip()) for r in few) == [(1, "a"), (1, "b"), (1, "c"), (2, "PARSER_LIMIT")]
+
+
+def test_located_chunks_read_texts_once(spark):
+    """Texts are cut into lines for one written table; chunks, chains of titles and limits all come from it."""
+    docs = spark.createDataFrame([(1, "# A\ntext\n"), (2, "plain\n\n" + "y" * 900), (3, "```\n# no\n```\n## B\nz")], "doc_id long, text string")
+    found = canonical.located(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"{f}(whole" in plan for f in ("regexp_extract_all", "split"))
+    assert sorted((r.doc_id, r.ordinal, tuple(r.heading), r.char_start, len(r.text)) for r in found.collect()) == [
+        (1, 0, ("A",), 0, 4), (1, 1, ("A",), 4, 5), (2, 0, (), 0, 6), (2, 1, (), 7, 800), (2, 2, (), 807, 100), (3, 0, (), 0, 4), (3, 1, (), 4, 5), (3, 2, (), 9, 4), (3, 3, ("B",), 13, 5), (3, 4, ("B",), 18, 1),
+    ]
