@@ -65,18 +65,18 @@ def _classified(lines: DataFrame, fences: bool) -> DataFrame:
     )
     out = out.withColumn("own", own).withColumn("last", F.lag("own").over(of_row))
 
-    def stretch(name: str, within: Column, was: Column) -> DataFrame:
-        """A number for each run of lines within a set of kinds."""
-        return out.withColumn(name, F.sum((within & ~F.coalesce(was, F.lit(False))).cast("int")).over(of_row))
+    def since(within: Column, was: Column, what: Column) -> Column:
+        """Whether ``what`` was true in the run of lines within a set of kinds that a line belongs to, up to it: by places in the one order, so that nothing is sorted anew."""
+        begun, met = (F.max(F.when(c, F.col("at"))).over(of_row) for c in (within & ~F.coalesce(was, F.lit(False)), what))
+        return within & F.coalesce(met >= begun, F.lit(False))
 
     rows, were_rows = F.col("own").isin("table", "|"), F.col("last").isin("table", "|")
-    out = stretch("run", rows, were_rows)
-    out = out.withColumn("own", F.when(rows & (F.max((F.col("own") == "table").cast("int")).over(Window.partitionBy("row", "run").orderBy("at")) == 1), "table").when(F.col("own") == "|", "paragraph").otherwise(F.col("own")))
+    out = out.withColumn("run", since(rows, were_rows, F.col("own") == "table"))
+    out = out.withColumn("own", F.when(F.col("run"), "table").when(F.col("own") == "|", "paragraph").otherwise(F.col("own")))
     out = out.withColumn("last", F.lag("own").over(of_row))
     soft = F.col("own").isin("caption", "inline_formula", "paragraph")
-    out = stretch("run", soft, F.col("last").isin("caption", "inline_formula", "paragraph"))
-    plain_before = F.max((F.col("own") == "paragraph").cast("int")).over(Window.partitionBy("row", "run").orderBy("at"))
-    out = out.withColumn("kind", F.when(soft & (plain_before == 1), "paragraph").otherwise(F.col("own"))).withColumn("last", F.lag("kind").over(of_row))
+    out = out.withColumn("run", since(soft, F.col("last").isin("caption", "inline_formula", "paragraph"), F.col("own") == "paragraph"))
+    out = out.withColumn("kind", F.when(F.col("run"), "paragraph").otherwise(F.col("own"))).withColumn("last", F.lag("kind").over(of_row))
     opens = F.col("fence") & ~F.col("before")
     joins = (F.col("kind") == F.col("last")) & F.col("kind").isin("list", "table", "paragraph", "code") & ~opens
     return out.withColumn("starts", (F.col("kind") != "") & ~F.coalesce(joins, F.lit(False)))
@@ -169,9 +169,9 @@ def nodes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", markdown:
     steps = F.concat(F.transform(way, lambda x: x["step"]), F.array("step"))
     full = F.sha2(F.concat_ws("\u0000", F.col("content"), F.array_join(steps, "/"), F.col("kind"), F.col("text")), 256)
     named = each.withColumns({"path": path, "full": full})
-    for n in (12, 16, 20):
-        named = named.withColumn(f"n{n}", F.count("*").over(Window.partitionBy("row", F.left("full", F.lit(n)))))
-    short = F.when(F.col("n12") == 1, F.left("full", F.lit(12))).when(F.col("n16") == 1, F.left("full", F.lit(16))).when(F.col("n20") == 1, F.left("full", F.lit(20))).otherwise(F.col("full"))
+    named = named.withColumn("near", F.collect_list("full").over(Window.partitionBy("row", F.left("full", F.lit(12)))))  # nearly always one
+    alone = lambda n: F.size(F.filter("near", lambda x: F.left(x, F.lit(n)) == F.left("full", F.lit(n)))) == 1
+    short = F.when(F.size("near") == 1, F.left("full", F.lit(12))).when(alone(16), F.left("full", F.lit(16))).when(alone(20), F.left("full", F.lit(20))).otherwise(F.col("full"))
     named = named.withColumn("node_id", F.concat(F.lit("nd_"), short))
     named = _chain(named, F.col("node_id"), "ids")
     level = F.when(F.col("kind") == "heading", F.size("above") + 1).otherwise(0).cast("bigint")

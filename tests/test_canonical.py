@@ -242,3 +242,12 @@ def test_located_chunks_read_texts_once(spark):
     assert sorted((r.doc_id, r.ordinal, tuple(r.heading), r.char_start, len(r.text)) for r in found.collect()) == [
         (1, 0, ("A",), 0, 4), (1, 1, ("A",), 4, 5), (2, 0, (), 0, 6), (2, 1, (), 7, 800), (2, 2, (), 807, 100), (3, 0, (), 0, 4), (3, 1, (), 4, 5), (3, 2, (), 9, 4), (3, 3, ("B",), 13, 5), (3, 4, ("B",), 18, 1),
     ]
+
+
+def test_nodes_are_sorted_few_times(spark):
+    """Each sort holds a task's lines or nodes at once; runs of lines and short ids need none of their own."""
+    docs = spark.createDataFrame([(1, "# A\n| a |\n|---|\n| b |\n\nFigure 1. x\nplain\nTable 2. y")], "doc_id long, text string")
+    found = canonical.nodes(docs)
+    sorts = found._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    assert 0 < sorts <= 8
+    assert [(r.kind, r.text) for r in found.orderBy("ordinal").collect()] == [("heading", "A"), ("table", "| a |\n|---|\n| b |"), ("caption", "Figure 1. x"), ("paragraph", "plain Table 2. y")]
