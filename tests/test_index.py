@@ -256,3 +256,43 @@ def test_an_index_of_another_format_is_built_anew(spark, tmp_path):
     snapshots.commit(spark, at, {"version": 4, "segments": [{"seg": 1, "path": "segment-gone", "n": 9, "words": 9, "average": 1.0, "dead": 0}], "n": 9, "words": 9, "lost": 0, "state": "x"})
     ix = index.kept(frame(spark, [(1, "apple"), (2, "")]), at=at)
     assert (ix.n, ix.manifest["version"]) == (2, 5) and [r.id for r in index.matches(ix, "apple").collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 24])
+def test_a_word_is_one_row_of_its_run(most):
+    """A task may read files in any order: runs end where units fall or leap, no unit is lost, and rows are in the order of terms."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    starts = [5 << 33, 2 << 33, (2 << 33) + 64, 7 << 33]  # falls, goes on, leaps
+    units = [(s + i, " ".join(rnd.choices(["zoo", "été", "eta", "etf", f"w{i}"], k=rnd.randint(1, 6)))) for s in starts for i in range(64)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in ([u for u, _ in units], [x.count(" ") + 1 for _, x in units], [x for _, x in units], [1] * len(units))], ["uid", "n_words", "line", "tf"])
+    rows = [r for b in index._rows(4.0, most)(whole.slice(i, 50) for i in range(0, len(units), 50)) for r in b.to_pylist()]
+    got = [((r["base"] + u, r["word"]), (tf, n)) for r in rows for u, tf, n in zip(r["units"], r["tfs"], r["lengths"], strict=True)]
+    assert len(dict(got)) == len(got) and dict(got) == {(u, w): (x.split().count(w), x.count(" ") + 1) for u, x in units for w in x.split()}
+    for r in rows:
+        assert [(r["base"] >> 7) + s for s in r["spans"]] == sorted({(r["base"] + u) >> 7 for u in r["units"]})
+        for s, top in zip(r["spans"], r["tops"], strict=True):
+            assert top == max(t * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / 4.0)) for u, t, n in zip(r["units"], r["tfs"], r["lengths"], strict=True) if (r["base"] + u) >> 7 == (r["base"] >> 7) + s)
+    bases = {r["base"] for r in rows}
+    assert most < 1 << 24 or len(bases) == 3
+    for base in bases:
+        terms = [r["word"].translate(PLAIN) for r in rows if r["base"] == base]
+        assert terms == sorted(terms) and len(terms) == len({r["word"] for r in rows if r["base"] == base})
+
+
+def test_posting_rows_grow_with_words_and_not_with_spans(spark, tmp_path, monkeypatch):
+    """Rows for every word of every span had to be sorted by Spark, which spilled on larger tables."""
+    rows = [(i, f"the été of {'ete ' * (i % 3)}thing w{i % 40}") for i in range(1500)]
+    queries = ("the ete", "thing w7 été", "w3")
+    ix = index.kept(frame(spark, rows).coalesce(1), at=str(tmp_path / "one"))
+    stored = spark.read.parquet(f"{ix.folder}/{ix.manifest['segments'][0]['path']}/postings")
+    assert stored.count() == 45 < index.Index.blocks(ix).count()  # the words of one run, each in twelve spans
+    check(ix, rows, *queries)
+    monkeypatch.setattr(index, "MOST_HELD", 2000)  # many runs
+    many = index.kept(frame(spark, rows).repartition(3), at=str(tmp_path / "many"))
+    check(many, rows, *queries)
+    left = [(i, t) for i, t in rows if i % 5]
+    less = index.kept(frame(spark, left), at=str(tmp_path / "many"))  # dead units in many runs
+    check(less, left, *queries)
+    check(index.compacted(less), left, *queries)
