@@ -305,15 +305,17 @@ def faults(docs: DataFrame) -> DataFrame:
 
 #: What ends a line beside \n, once \r\n and \r have become \n.
 ENDS = "\n\u000b\u000c\u001c\u001d\u001e\u0085  "
-SEGMENT, MOST_CHUNKS, TITLE = 800, 10_000, 500
+SEGMENT, TITLE = 800, 500
+#: Chunks that a text may have; None: any number. The reference has 10,000, as its parser is one process; larger texts are left to "a different approved pipeline".
+MOST_CHUNKS: int | None = None
 
 
 def located(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pages: str | None = None) -> DataFrame:
     """row, doc_id, ordinal, char_start, char_end, page, heading (titles), canonical_hash, text, error: every line, its end included, in segments of ``SEGMENT`` characters.
 
     Blank segments are left out, offsets count them. A heading outside fences cuts the chain of titles to the levels above it and joins it; titles are cut to ``TITLE`` characters.
-    ``pages`` names a column of (start, end, number); a segment has the page in which it starts. Texts without a visible character have one row with PARSE_EMPTY,
-    texts with more than ``MOST_CHUNKS`` chunks one with PARSER_LIMIT, and no chunks.
+    ``pages`` names a column of (start, end, number); a segment has the page in which it starts. Texts without a visible character have one row with PARSE_EMPTY.
+    Texts of any length are cut whole; only where ``MOST_CHUNKS`` is set, texts with more have one row with PARSER_LIMIT, and no chunks.
     """
     normal = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
     rows = docs.select(F.col(key).alias("doc_id"), normal.alias("whole"), (F.col(pages) if pages else F.lit(None).cast("array<struct<start:long,end:long,number:int>>")).alias("pages"), F.monotonically_increasing_id().alias("row"))
@@ -326,30 +328,26 @@ def located(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pages:
     cut = F.filter(F.transform(whole_or_cut, lambda part, i: F.struct((i * SEGMENT).alias("offset"), part.alias("text"))), lambda x: ~x["text"].rlike(blank))
     form = r"(?U)^(#{1,6})\s+(.+)"
     title = F.trim(F.regexp_replace(F.regexp_extract("line", form, 2), r"(?U)^\s+|\s+$", ""))
-    headed_line = F.when(F.col("line").rlike(form), F.struct("at", F.length(F.regexp_extract("line", form, 1)).alias("depth"), F.left(title, F.lit(TITLE)).alias("title")))
+    headed_line = F.when(F.col("line").rlike(form), F.struct(F.length(F.regexp_extract("line", form, 1)).alias("depth"), F.left(title, F.lit(TITLE)).alias("title")))
     alone = ended.select("row", "doc_id", "pages", "canonical_hash", "at", size.cast("bigint").alias("size"), F.col("line").rlike(r"(?U)^\s*```").cast("int").alias("fence"), headed_line.alias("head"), cut.alias("cut"))
     of_row = Window.partitionBy("row").orderBy("at")
     before = of_row.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     lines = alone.withColumns({"start": F.coalesce(F.sum("size").over(before), zero), "inside": F.sum("fence").over(of_row) % 2 == 1, "first": F.coalesce(F.sum(F.size("cut").cast("bigint")).over(before), zero)})
     lines = lines.withColumn("head", F.when(~F.col("inside"), F.col("head")))
-    lines = lines.withColumns({"heads": F.count("head").over(of_row).cast("int"), "n": F.sum(F.size("cut").cast("bigint")).over(Window.partitionBy("row"))}).drop("size", "fence", "inside")
-    lines = written(lines, "lines")
-    none = F.array().cast("array<string>")
-    headed = lines.filter("head is not null").groupBy("row").agg(F.sort_array(F.collect_list("head")).alias("all"))
-
-    def longer(state: Column, h: Column) -> Column:
-        chain = F.concat(F.slice(F.element_at(state, -1), F.lit(1), h["depth"] - 1), F.array(h["title"]))
-        return F.concat(state, F.array(chain))
-
-    chains = headed.select(F.col("row").alias("of"), F.aggregate("all", F.array(none), longer).alias("chains"))
-    within = lines.filter(F.col("n") <= MOST_CHUNKS)
-    below = within.filter("heads > 0").join(chains, F.col("row") == F.col("of")).withColumn("heading", F.element_at("chains", F.col("heads") + 1)).drop("of", "chains")
-    chained = within.filter("heads = 0").withColumn("heading", none).unionByName(below)  # lines above all headings meet no other table
-    met = chained.select("row", "doc_id", "pages", "canonical_hash", "heading", "start", "first", F.posexplode("cut").alias("k", "x"))
+    # A heading of depth d makes the chain one longer, but no longer than d. So the i-th leaves it i + min(0, least d - j of the j-th up to it) long, and a place in it has the last title put there.
+    lines = lines.withColumn("heads", F.count("head").over(of_row)).withColumn("least", F.min(F.col("head.depth") - F.col("heads")).over(of_row))
+    lines = lines.withColumn("long", (F.col("heads") + F.least(F.lit(0), "least")).cast("int"))
+    places = (F.last(F.when(F.col("long") == k, F.col("head.title")), ignorenulls=True).over(of_row) for k in range(1, LEVELS + 1))
+    lines = lines.withColumn("heading", F.slice(F.array(*places), F.lit(1), F.col("long")))
+    n = F.lit(None).cast("bigint") if MOST_CHUNKS is None else F.sum(F.size("cut").cast("bigint")).over(Window.partitionBy("row"))
+    met = lines.withColumn("n", n).select("row", "doc_id", "pages", "canonical_hash", "heading", "start", "first", "n", F.posexplode("cut").alias("k", "x"))
     start = F.col("start") + F.col("x.offset")
     page = F.get(F.filter("pages", lambda p: (p["start"] <= start) & (start < p["end"])), F.lit(0))["number"]
-    found = met.select("row", "doc_id", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("char_start"), (start + F.length("x.text")).alias("char_end"), page.alias("page"), "heading", "canonical_hash", F.col("x.text").alias("text"), F.lit(None).cast("string").alias("error"))
+    found = met.select("row", "doc_id", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("char_start"), (start + F.length("x.text")).alias("char_end"), page.alias("page"), "heading", "canonical_hash", F.col("x.text").alias("text"), F.lit(None).cast("string").alias("error"), "n")
+    found = written(found, "chunks")
     empty = hashed.filter(F.col("whole").rlike(blank)).select("row", "doc_id", "canonical_hash", F.lit("PARSE_EMPTY").alias("error"))
-    over = lines.filter((F.col("n") > MOST_CHUNKS) & (F.col("at") == 0)).select("row", "doc_id", "canonical_hash", F.lit("PARSER_LIMIT").alias("error"))
-    return found.unionByName(empty.unionByName(over), allowMissingColumns=True)
+    if MOST_CHUNKS is not None:
+        empty = empty.unionByName(found.filter((F.col("n") > MOST_CHUNKS) & (F.col("ordinal") == 0)).select("row", "doc_id", "canonical_hash", F.lit("PARSER_LIMIT").alias("error")))
+        found = found.filter(F.col("n") <= MOST_CHUNKS)
+    return found.drop("n").unionByName(empty, allowMissingColumns=True)

@@ -233,6 +233,18 @@ def test_located_chunks(spark, monkeypatch):
     assert sorted((r.doc_id, r.error or r.text.strip()) for r in few) == [(1, "a"), (1, "b"), (1, "c"), (2, "PARSER_LIMIT")]
 
 
+def test_located_chunks_of_long_texts(spark):
+    """Texts of more than 10,000 chunks are cut whole, with their chains of titles: many lines, many headings, one long line."""
+    rnd = random.Random(4)
+    headed = "\n".join("#" * rnd.randint(1, 6) + f" T{i}" if i % 3 == 0 else "```" if i % 500 == 1 else "words" for i in range(12_000))
+    texts = ["x\n" * 10_000, "x\n" * 10_001, headed, "z" * 800 * 10_001]
+    found = canonical.located(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not [r for r in found if r.error]
+    for i, t in enumerate(texts):
+        own = sorted((r for r in found if r.doc_id == i), key=lambda r: r.ordinal)
+        assert [(r.ordinal, r.char_start, r.char_end, r.heading, r.text) for r in own] == plain_located(t)
+
+
 def test_located_chunks_read_texts_once(spark):
     """Texts are cut into lines for one written table; chunks, chains of titles and limits all come from it."""
     docs = spark.createDataFrame([(1, "# A\ntext\n"), (2, "plain\n\n" + "y" * 900), (3, "```\n# no\n```\n## B\nz")], "doc_id long, text string")
